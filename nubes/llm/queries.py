@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, sharding, warc
+from . import chat, lmscore, media, segment, sharding, warc
 from .common import table, work_dir
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,6 +49,11 @@ FROM c GROUP BY conv_id
 """
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document with the subword lattice model."""
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place every document on 64 shards, and on the 63 left without the last."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -61,6 +66,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.documents_as_media(table(spark, sf_dir, "documents")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample a segmentation of every text and decode it again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    back = segment.decode_pieces(segment.encode_pieces(docs, drop_text=True))
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convert every page from ARC to WARC, write the archives and read them back."""
     parsed = warc.read_arc(warc.pages_to_arc(table(spark, sf_dir, "pages")))
@@ -81,8 +93,10 @@ FROM f
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_lm_score": op2_lm_score,
     "op3_sharding": op3_sharding,
     "op4_media": op4_media,
+    "op5_sentencepiece": op5_sentencepiece,
     "op10_warc": op10_warc,
 }
 SQL = {"op1_chat": OP1_SQL, "op10_warc": OP10_SQL}
