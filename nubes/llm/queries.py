@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lmscore, media, segment, sharding, warc
+from . import chat, decontaminate, lmscore, media, repeats, segment, sharding, toxicity, warc
 from .common import table, work_dir
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -73,6 +73,21 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that documents share."""
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with its best window."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convert every page from ARC to WARC, write the archives and read them back."""
     parsed = warc.read_arc(warc.pages_to_arc(table(spark, sf_dir, "pages")))
@@ -97,6 +112,9 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_media": op4_media,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 SQL = {"op1_chat": OP1_SQL, "op10_warc": OP10_SQL}
