@@ -50,55 +50,67 @@ def shingles(hashes: str, k: int) -> Column:
     return F.expr(f"CASE WHEN size({hashes}) >= {k} THEN transform(sequence(0, size({hashes}) - {k}), i -> xxhash64({at})) ELSE cast(array() AS array<bigint>) END")
 
 
-def simhash(shingle_col: str) -> tuple[Column, Column]:
-    """Two columns to be added one after the other: sixteen sums of four 16-bit
-    counters over the shingles' bits, named ``lanes``, and from them the
-    64-bit fingerprint."""
-    lanes = ", ".join(f"aggregate({shingle_col}, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & 281479271743489L))" for k in range(16))
-    bit = f"CASE WHEN 2 * (shiftrightunsigned(get(lanes, cast(b % 16 AS int)), cast(16 * (b div 16) AS int)) & 65535L) > size({shingle_col}) THEN shiftleft(1L, b) ELSE 0L END"
-    return F.expr(f"array({lanes})"), F.expr(f"aggregate(sequence(0, 63), 0L, (a, b) -> a | {bit})")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a column that a lambda
+    uses is otherwise written into it and computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def simhash(name: str) -> Column:
+    """64-bit SimHash of a column of shingle hashes: sixteen sums of four
+    16-bit counters each, then the majority of each bit."""
+    lanes = ", ".join(f"aggregate({name}, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & 281479271743489L))" for k in range(16))
+    bit = f"CASE WHEN 2 * (shiftrightunsigned(get(lanes, cast(b % 16 AS int)), cast(16 * (b div 16) AS int)) & 65535L) > size({name}) THEN shiftleft(1L, b) ELSE 0L END"
+    return F.expr(f"get(transform(array(array({lanes})), lanes -> aggregate(sequence(0, 63), 0L, (a, b) -> a | {bit})), 0)")
+
+
+def in_blocks(name: str) -> Column:
+    """array of struct<block, value, fp> of a column's fingerprint."""
+    return let(
+        simhash(name),
+        lambda fp: F.transform(
+            F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
+            lambda b: F.struct(b.alias("block"), F.call_function("shiftrightunsigned", fp, b * 3).bitwiseAND(F.lit(7).cast("long")).alias("value"), fp.alias("fp")),
+        ),
+    )
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, k, ish`` (shingles), ``m`` (how many) and ``ifp`` (fingerprint)."""
+    """``item_id, k, ish`` (shingles) and ``m`` (how many)."""
     base = benchmark.select("item_id", word_hashes(F.col("text")).alias("iw")).where("size(iw) > 0")
     parts = []
     for k in range(1, K + 1):
         own = base.where(F.size("iw") >= K) if k == K else base.where(F.size("iw") == k)
         parts.append(own.select("item_id", F.lit(k).alias("k"), shingles("iw", k).alias("ish")))
-    lanes, fp = simhash("ish")
-    both = reduce(DataFrame.unionByName, parts).where("size(ish) < 65536").withColumn("m", F.size("ish"))
-    return both.withColumn("lanes", lanes).withColumn("ifp", fp).drop("lanes")
+    return reduce(DataFrame.unionByName, parts).withColumn("m", F.size("ish"))
 
 
 def _block_pairs(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
     """Leaks of the items of one block that have shingles of k words."""
     rows = items.select("ish", "m").collect()  # BLOCK_ITEMS rows at most
-    known = sorted({h for r in rows for h in r["ish"]})
+    known = "(" + ", ".join(f"{h}L" for h in sorted({h for r in rows for h in r["ish"]}) if h != -(1 << 63)) + ", (-9223372036854775807L - 1L))"
     longest = max(r["m"] for r in rows)
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("w")).withColumn("sh", shingles("w", k)).select("doc_id", "sh")
-    hits = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.get("sh", i).isin(known))
-    starts = F.when(F.size("sh") > 0, F.transform(hits, lambda i: F.struct(i.alias("pos"), F.slice("sh", i + 1, longest).alias("win"))))
+    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", shingles("w", k).alias("sh"))
+    starts = F.expr(
+        f"CASE WHEN size(sh) > 0 THEN transform(filter(sequence(0, size(sh) - 1), i -> get(sh, i) IN {known}),"
+        f" i -> named_struct('pos', i, 'win', slice(sh, i + 1, {longest}))) END"
+    )
     found = hashed.select("doc_id", F.explode_outer(starts).alias("x")).where("x is not null").select("doc_id", "x.pos", "x.win")
 
     sizes = items.select(F.explode("ish").alias("h"), "m").distinct()
-    w = found.join(F.broadcast(sizes), F.get("win", F.lit(0)) == F.col("h")).drop("h")
-    w = w.select("doc_id", "pos", "m", F.slice("win", 1, F.col("m")).alias("win"))
-    w = w.where(F.size(F.filter("win", lambda h: h.isin(known))) >= F.ceil(F.col("m") * similarity))
-    lanes, fp = simhash("win")
-    w = w.withColumn("lanes", lanes).withColumn("fp", fp).drop("lanes")
-
-    value = lambda c: F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> shiftrightunsigned({c}, 3 * b) & 7L)")
-    left = w.select("*", F.posexplode(value("fp")).alias("block", "value"))
-    right = items.select("item_id", "m", "ish", "ifp", F.posexplode(value("ifp")).alias("block", "value"))
-    pairs = left.join(F.broadcast(right), ["m", "block", "value"]).withColumn("x", F.expr("fp ^ ifp"))
-    equal = f"(~(x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2)) & {_LOW_BITS}L)"
-    pairs = pairs.where(F.bit_count("x") <= RADIUS)
+    w = found.join(F.broadcast(sizes), F.get("win", F.lit(0)) == F.col("h")).select("doc_id", "pos", "m", F.slice("win", 1, F.col("m")).alias("win"))
+    w = w.where(F.expr(f"size(filter(win, h -> h IN {known})) >= ceil(m * {similarity}D)"))
+
+    left = w.select("*", F.explode(in_blocks("win")).alias("x")).select("doc_id", "pos", "m", "win", "x.*")
+    right = items.select("item_id", "m", "ish", F.explode(in_blocks("ish")).alias("y")).select("item_id", "m", "ish", "y.block", "y.value", F.col("y.fp").alias("ifp"))
+    pairs = left.join(F.broadcast(right), ["m", "block", "value"])
+    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
     # of the blocks that agree, the lowest stands for the pair
-    pairs = pairs.where(F.expr(f"{equal} & ~shiftleft(-1L, 3 * block)") == 0)
+    equal = let(differ, lambda x: F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))).bitwiseAND(F.lit(_LOW_BITS)))
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (equal.bitwiseAND(F.expr("~shiftleft(-1L, 3 * block)")) == 0))
     both = F.expr("aggregate(array_distinct(ish), 0, (a, h) -> a + least(size(filter(ish, y -> y = h)), size(filter(win, y -> y = h))))")
-    pairs = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("ish") + F.size("win") - F.col("both")))
-    return pairs.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "pos", (F.size("win") + k - 1).alias("n_words"), "similarity")
+    alike = let(both, lambda n: n / (F.size("ish") + F.size("win") - n))
+    return pairs.where(alike >= similarity).select("doc_id", "item_id", "pos", (F.size("win") + k - 1).alias("n_words"), alike.alias("similarity"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
