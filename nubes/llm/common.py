@@ -3,14 +3,13 @@ vectorised word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise, work_dir  # noqa: F401
+
 SPACES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
 
@@ -19,36 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a private temporary folder
-    is set as that directory only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="nubes-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/nubes-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, codec: str = "lz4") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and
-    survives the loss of an executor."""
-    spark = df.sparkSession
-    path = work_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder written by :func:`materialise` through Hadoop's API."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def lower_ascii(col):
-    """Lower-case A-Z only, whatever the locale or script."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo ``n``; null ids give null."""
     return F.pmod(F.crc32(F.encode(col.cast("string"), "utf-8")), F.lit(n))
@@ -179,3 +148,24 @@ def passes(bitset: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the uint64 hashes may be members."""
     i = hashes & np.uint64(len(bitset) * 8 - 1)
     return (bitset[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def split_by_filter(docs: DataFrame, bitset, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be a member, rows whose key is none); null keys are
+    none. Only the first part then has to be shuffled for an exact join."""
+
+    @F.pandas_udf("boolean")
+    def maybe(ids):
+        import pandas as pd
+
+        ok = ids.notna().to_numpy()
+        return pd.Series(ok & passes(bitset.value, ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)))
+
+    hit = maybe(F.col(key).cast("long"))
+    return docs.where(hit), docs.where(~hit)
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the ids in ``gone`` (a written table of one id column)."""
+    some, rest = split_by_filter(docs, bit_filter(gone, key), key)
+    return rest.unionByName(some.join(gone, key, "left_anti").select(docs.columns))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lmscore, media, repeats, segment, sharding, toxicity, warc
+from . import chat, decontaminate, jaccard, lmscore, media, repeats, segment, sharding, toxicity, warc
 from .common import table, work_dir
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -83,6 +83,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-gram similarity of 0.9 or more."""
+    return jaccard.components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for toxicity."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -114,6 +119,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }

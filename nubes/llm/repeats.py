@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .common import bit_filter, each_text, materialise, mix64, passes, word_hashes
+from .common import bit_filter, each_text, materialise, mix64, passes, split_by_filter, word_hashes
 
 MIN_WORDS, PREFIX = 50, 16
 
@@ -164,14 +164,16 @@ def cut_repeats(docs: DataFrame, size: int = MIN_WORDS, prefix: int = PREFIX) ->
     again, and a document of which no word is left goes. Texts without repeats
     stay byte for byte."""
     spans = find_repeats(docs, size, prefix).where("not is_first").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))).alias("_spans"))
+    spans = materialise(spans)
     cut_udf = F.pandas_udf(_cut_batches, "string")
-    joined = docs.join(spans, "doc_id", "left")
+    some, rest = split_by_filter(docs, bit_filter(spans, "doc_id"))
+    joined = some.join(spans, "doc_id", "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_udf("text", F.transform("_spans", lambda s: F.array(s["start_word"], s["end_word"]))))
     out = joined.withColumn("_new", text).where(F.col("_spans").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     kept = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
         kept["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_new")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(kept).select(docs.columns)
+    return rest.unionByName(out.withColumns(kept).select(docs.columns))
 
 
 def _cut_batches(text, spans):
