@@ -545,6 +545,35 @@ def tool_log(spark, d):
     return log.select("tool", "action", "user", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', at)").alias("at_us"))
 
 
+@query(f"WITH {E_SQL}, {_CATALOG} SELECT point_id, CASE WHEN sem = 0 THEN 5 ELSE sem END AS sem FROM points_e WHERE concat('doc', inst) IN (SELECT doc_name FROM ct WHERE schema_name = 's1' AND sig = (SELECT sig FROM ct WHERE doc_name = 'doc1'))")
+def update_schema(spark, d):
+    p = points_e(spark, d).withColumn("doc_name", F.concat(F.lit("doc"), F.col("inst")))
+    c = _catalog(spark, d)
+    one = c.where("doc_name = 'doc1'").select(F.col("classes").alias("wanted"))
+    pairs = p.select(F.lit(0).alias("old"), F.lit(5).alias("new"), F.lit(1).alias("seq")).limit(1)
+    return schema.update_schema(p, c.crossJoin(F.broadcast(one)), "s1", F.col("wanted"), pairs, "sem").select("point_id", "sem")
+
+
+@query(f"WITH {E_SQL} SELECT concat('a/scan_', inst, '.ply') AS path, concat('scan_', inst, CASE WHEN inst IN (1, 3, 5) THEN '_000' ELSE '' END) AS doc_name FROM points_e GROUP BY inst")
+def document_names(spark, d):
+    """Names for one file an instance, beside documents that exist for odd ones."""
+    p = points_e(spark, d).select("inst").distinct()
+    known = p.where("inst IN (1, 3, 5)").select(F.concat(F.lit("scan_"), F.col("inst")).alias("doc_name"))
+    return documents.unique_names(p.select(F.concat(F.lit("a/scan_"), F.col("inst"), F.lit(".ply")).alias("path")), known)
+
+
+@query(f"WITH {E_SQL} SELECT min(intensity) AS lo, max(intensity) AS hi FROM points_e WHERE inst <> 3")
+def scalar_range(spark, d):
+    p = points_e(spark, d).withColumn("visible", F.col("inst") != 3)
+    return select.visible_points(p).agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"))
+
+
+@query(f"WITH {E_SQL} SELECT point_id, CAST(CASE WHEN sem < 0 THEN 0 ELSE sem * 10 END AS INT) AS r FROM points_e")
+def colorize_color(spark, d):
+    c = F.array(F.greatest(F.col("sem") * 10.0, F.lit(0.0)), F.lit(200.0), F.lit(3.0))
+    return _rgb(fields.colorize(points_e(spark, d).withColumn("c", c), "c", "COLOR")).select("point_id", "r")
+
+
 @query(f"WITH {E_SQL} SELECT concat('scan_', inst) AS doc_name, count(*) AS n_points FROM points_e GROUP BY inst")
 def document_catalog(spark, d):
     """Write one document an instance, list them, read them back and count."""

@@ -70,6 +70,22 @@ def duplicate_names(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def unique_names(files: DataFrame, known: DataFrame, extensions: tuple[str, ...] = ("ply", "npy", "npz", "h5", "hdf5")) -> DataFrame:
+    """``path, doc_name`` for files to be imported: the file's name without a
+    known extension, with the next free ``_%03d`` where it is taken. Files of
+    one base name, in path order, share out its free numbers."""
+    base = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), rf"\.({'|'.join(extensions)})$", "")
+    want = files.select("path", base.alias("base")).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("path")) - 1)
+    plain = known.select(F.col("doc_name").alias("base"), F.lit(-1).alias("used"))
+    number = F.regexp_extract("doc_name", r"^(.*)_(\d{3})$", 2)
+    counted = known.where(number != "").select(F.regexp_extract("doc_name", r"^(.*)_(\d{3})$", 1).alias("base"), number.cast("int").alias("used"))
+    taken = plain.unionByName(counted).groupBy("base").agg(F.collect_set("used").alias("taken"))
+    j = want.join(taken, "base", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(-1), F.size("taken") + F.col("k")), lambda i: ~F.array_contains(F.col("taken"), i))
+    pick = F.get(free, F.col("k").cast("int"))
+    return j.withColumn("n", pick).select("path", F.when(F.col("n") < 0, F.col("base")).otherwise(F.format_string("%s_%03d", "base", "n")).alias("doc_name"))
+
+
 def add_cloud(points: DataFrame, cloud: DataFrame, cloud_id: str) -> DataFrame:
     if points.where(F.col("cloud_id") == cloud_id).limit(1).count():
         raise ValueError(f"cloud {cloud_id} exists")
