@@ -13,13 +13,14 @@ sets; sets of similarity J or more lie within 1 - J by the first, and within
    class contents they overlap so much that among each one's most selective
    classes at least one is common: sets with an equal class content form a
    block, and no partners are missed.
-3. Within a block one member is the pivot. Every member is compared with it,
-   exactly; what lies within 1 - J is linked. Members linked to the pivot are
-   one component, so a block of copies is done after one comparison each. What
-   is left is compared with further pivots, 4, then 16, and so on, farthest
-   first, but only members of other components within the triangle window
-   |d(x, p) - d(y, p)| <= 1 - J. A block ends when it is one component or when
-   every pair is decided, so the result is exact.
+3. Within a block one member is the pivot. Each member's distance to it is taken
+   between parity sketches of fixed size: a metric that never exceeds the true
+   difference. Members that may be partners of the pivot are compared with it
+   exactly; what is linked to it is one component, so a block of copies is done
+   after one comparison each. What is left is compared in waves, farthest first:
+   members of other components within the triangle window |d(x, p) - d(y, p)|,
+   and near enough by their own sketches, are compared exactly. A block ends
+   when it is one component or every pair is decided, so the result is exact.
 
 Equal sets are one node. A class content that one set alone has is dropped by
 a count and a bit filter of fixed size before blocks are formed. Joins on
@@ -44,6 +45,7 @@ from pyspark.sql.window import Window
 from ..functions.storage import connected_components, materialise
 from .common import bit_filter, drop_ids, each_text, mix64, ngram_hashes, passes, word_hashes
 
+SKETCH, FIRST_WAVE = 1024, 64
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -108,17 +110,16 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, n: int, regions: Regions, keep=None) -> DataFrame:
-    """``content, fp, size`` of each set, equal sets once a task; with ``keep``
+    """``content, fp`` of each set, equal sets once a task; with ``keep``
     only contents that pass the bit filter."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            toks, fps, sizes, rows = [], [], [], 0
+            toks, fps, rows = [], [], 0
 
-            def flush(toks, fps, sizes):
-                lens = list(map(len, toks))
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], names=["content", "fp", "size"])
+            def flush(toks, fps):
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), list(map(len, toks))))], names=["content", "fp"])
 
             for raw in each_text(b):
                 s = shingle_set(raw, n)
@@ -133,25 +134,35 @@ def _contents(docs: DataFrame, n: int, regions: Regions, keep=None) -> DataFrame
                 if keep is not None:
                     t = t[passes(keep.value, t)]
                 if len(t):
-                    toks.append(t), fps.append(fp), sizes.append(len(s))
+                    toks.append(t), fps.append(fp)
                     rows += len(t)
                 if rows > 200_000:
-                    yield flush(toks, fps, sizes)
-                    toks, fps, sizes, rows = [], [], [], 0
+                    yield flush(toks, fps)
+                    toks, fps, rows = [], [], 0
             if toks:
-                yield flush(toks, fps, sizes)
+                yield flush(toks, fps)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "content long, fp long, size int")
+    return docs.select("doc_id", "text").mapInArrow(run, "content long, fp long")
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH parities: an element flips the one its hash picks. Two sketches
+    never differ in more parities than their sets in elements, and hardly in
+    fewer while those are few."""
+    at = (mix64(s ^ _C3) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def _shingles_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``fp, shingles`` for the fingerprints in ``wanted``, read from the texts."""
+    """``fp, shingles, sketch`` for the fingerprints in ``wanted``, read from the texts."""
     keep = bit_filter(wanted, "fp")
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            fps, sets = [], []
+            fps, sets, sketches = [], [], []
             for raw in each_text(b):
                 s = shingle_set(raw, n)
                 fp = fingerprint(s) if len(s) else None
@@ -159,24 +170,33 @@ def _shingles_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                fps.append(fp), sets.append(s.view(np.int64))
+                fps.append(fp), sets.append(s.view(np.int64)), sketches.append(parity_sketch(s))
                 if len(fps) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
-                    fps, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, longs), pa.array(sketches, longs)], names=["fp", "shingles", "sketch"])
+                    fps, sets, sketches = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, longs), pa.array(sketches, longs)], names=["fp", "shingles", "sketch"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "fp long, shingles array<long>, sketch array<long>")
+    return rows.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "fp long, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+def _apart(a: str, b: str):
+    """In how many parities two sketches differ."""
+    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH // 64))
 
 
-def _verify(docs: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """``a, b, inter, uni`` of the pairs (a, b) of fingerprints, exactly."""
-    pairs = materialise(pairs)
-    wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
-    sets = materialise(_shingles_of(docs, n, wanted))
+def _may_differ(sa: str, sb: str, percent: int):
+    """The most elements in which partners of these sizes can differ."""
+    return F.floor((F.col(sa) + F.col(sb)) * (100 - percent) / (100 + percent))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of fingerprints that are linked, exactly."""
     one = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return materialise(both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("uni")))
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    linked = two.select("a", "b", both.alias("inter"), (F.size("sa") + F.size("sb")).alias("total"))
+    return materialise(linked.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b"))
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -184,38 +204,38 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     regions = Regions(percent)
     rows = materialise(_sets(docs, n))
     shared = _contents(docs, n, regions).groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    blocks = _contents(docs, n, regions, bit_filter(shared, "content")).distinct()
+    blocks = materialise(_contents(docs, n, regions, bit_filter(shared, "content")).select("content", "fp").distinct())
     # the pivot of a block is its smallest fingerprint; single members drop out
     pivots = blocks.groupBy("content").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").select("content", "pivot")
     member = materialise(blocks.join(pivots, "content"))
-
-    first = member.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-    decided = _verify(docs, n, first)
-    linked = (F.col("inter") * 100 >= F.col("uni") * percent)
-    links = decided.where(linked).select("a", "b")
+    sets = materialise(_shingles_of(docs, n, member.select("fp").distinct()))
+    brief = sets.select("fp", F.size("shingles").alias("size"), "sketch")
+
+    # distances to the pivots, in the sketches' metric
+    pairs = member.where("fp <> pivot").select("pivot", "fp").distinct()
+    far = pairs.join(brief, "fp").join(brief.select(F.col("fp").alias("pivot"), F.col("size").alias("psize"), F.col("sketch").alias("psketch")), "pivot")
+    far = materialise(far.select("pivot", "fp", _apart("sketch", "psketch").alias("dist"), _may_differ("size", "psize", percent).alias("most")))
+    links = _verify(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b")), sets, percent)
     labels = connected_components(links)
 
-    dist = decided.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), (1 - F.col("inter") / F.col("uni")).alias("dist"))
-    left = _open_blocks(member.select("content", "fp", "size", "pivot"), labels)
-    left = left.join(dist, ["pivot", "fp"], "left").withColumn("dist", F.coalesce("dist", F.lit(0.0))).drop("label")
+    left = _open_blocks(member, labels).where("fp <> pivot").drop("label").join(far.select("pivot", "fp", "dist"), ["pivot", "fp"])
     order = Window.partitionBy("content").orderBy(F.desc("dist"), "fp")
     left = materialise(left.withColumn("rank", F.row_number().over(order)))
     top, upto = left.agg(F.max("rank")).first()[0] or 0, 0
     while upto < top:
-        low, upto = upto, max(4, 4 * upto)
-        now = _open_blocks(left.where(F.col("rank") > low), labels)
-        x = now.where(F.col("rank") <= upto).where("fp <> pivot").select("content", F.col("fp").alias("a"), F.col("size").alias("sa"), F.col("dist").alias("da"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        y = now.where("fp <> pivot").select("content", F.col("fp").alias("b"), F.col("size").alias("sb"), F.col("dist").alias("db"), F.col("rank").alias("rb"), F.col("label").alias("lb"))
-        apart = (F.col("ra") < F.col("rb")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9)
-        sizes = (F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent)
-        more = x.join(y, "content").where(apart & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialise(more)
-        if more.limit(1).count():
-            new = _verify(docs, n, more).where(linked).select("a", "b")
-            links = materialise(links.unionAll(new))
-            labels = connected_components(links)
-        elif not now.limit(1).count():
-            break
+        low, upto = upto, max(FIRST_WAVE, 16 * upto)
+        now = _open_blocks(left.where(F.col("rank") > low), labels).join(brief, "fp")
+        side = lambda t: now.select("content", *(F.col(c).alias(c[:2] + t) for c in ("fp", "size", "sketch", "dist", "rank", "label")))  # noqa: E731, B023
+        x, y = side("a").where(F.col("raa") <= upto), side("b")
+        most = _may_differ("sia", "sib", percent)
+        window = (F.col("raa") < F.col("rab")) & (F.col("laa") != F.col("lab")) & (F.abs(F.col("dia") - F.col("dib")) <= most)
+        near = x.join(y, "content").where(window & (_apart("ska", "skb") <= most))
+        near = materialise(near.select(F.least("fpa", "fpb").alias("a"), F.greatest("fpa", "fpb").alias("b")).distinct())
+        if near.limit(1).count():
+            new = _verify(near, sets, percent)
+            if new.limit(1).count():
+                links = materialise(links.unionAll(new))
+                labels = connected_components(links)
     return rows, labels.withColumnRenamed("node", "fp")
 
 
@@ -223,7 +243,7 @@ def _open_blocks(member: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of blocks that are not yet one component, with labels."""
     m = member.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     many = m.groupBy("content").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("content")
-    return materialise(m.join(many, "content", "left_semi"))
+    return m.join(many, "content", "left_semi")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
