@@ -17,7 +17,7 @@ CHUNK_BYTES = 48
 MAX_PIECE = 16
 _K = np.uint64(0x100000001B3)
 _SHIFT = np.uint64(44)
-ROWS = 8192
+ROWS = 2048
 
 
 class Pieces:
