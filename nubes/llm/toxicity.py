@@ -9,8 +9,10 @@ the two log-likelihoods divided by its number of words; a logistic curve,
 fitted on documents that the models have not seen, turns it into a score.
 
 The models are fitted on a bounded sample of labelled rows: SAMPLE documents
-of each class at most, those whose ids hash lowest, and of their words the
-MAX_WORDS most frequent. Everything is then scored over whole texts.
+of each class at most, those whose ids hash lowest, with all their words. The
+n-grams are counted in Spark; the driver gets the table of distinct n-grams
+(ORDER + 1 bytes at most), not the words. Everything is then scored over whole
+texts.
 
 Words are runs of letters and of bytes from 128 up, A-Z lower-cased, so marks
 stuck to a word do not hide it; a word counts with its first MAX_LETTERS bytes.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, each_text
 
 ORDER, DISCOUNT = 4, 0.75
-SAMPLE, MAX_WORDS, MAX_LETTERS = 6000, 200_000, 40
+SAMPLE, MAX_LETTERS = 6000, 40
 CALIBRATE = 3  # one sampled document in so many fits the curve, the others the models
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 CACHE = 100_000
@@ -63,20 +65,41 @@ def _keys(words: list[bytes]):
             yield part, key
 
 
+def ngram_counts(counts: DataFrame) -> DataFrame:
+    """``n, key, toxic, ordinary``: how often the contexts of n bytes with a next
+    byte, packed as key, occur in the words of each class (n = ORDER), and in
+    how many places of the distinct words (n < ORDER, in ``toxic``).
+    counts: distinct words as word, toxic, ordinary."""
+
+    def run(batches):
+        for b in batches:
+            words = b.column(0).to_pylist()
+            weights = [b.column(i).to_numpy() for i in (1, 2)]
+            for some, key in _keys(words):
+                flat = key.ravel()
+                for n in range(ORDER + 1):
+                    own, at = np.unique(flat & ((1 << 8 * (n + 1)) - 1), return_inverse=True)
+                    if n < ORDER:
+                        sums = [np.bincount(at), np.zeros(len(own))]
+                    else:
+                        sums = [np.bincount(at, np.repeat(w[some], key.shape[1])) for w in weights]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own), *(pa.array(x.astype(np.int64)) for x in sums)], names=["n", "key", "toxic", "ordinary"])
+
+    rows = counts.select("word", "toxic", "ordinary").mapInArrow(run, "n int, key long, toxic long, ordinary long")
+    return rows.groupBy("n", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
 class Models:
     """Both class models over their shared lower orders."""
 
-    def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray):
-        parts = list(_keys(words))
-        key = np.concatenate([k.ravel() for _, k in parts])
-        owner = np.concatenate([np.repeat(i, k.shape[1]) for i, k in parts])
-        self.shared = []
-        for k in range(1, ORDER):
-            own, n = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_counts=True)
-            self.shared.append(self._order(own, [n.astype(float)]))
-        own, at = np.unique(key, return_inverse=True)
-        self.classes = self._order(own, [np.bincount(at, w[owner], len(own)) for w in (toxic.astype(float), ordinary.astype(float))])
-        first = np.bincount(key & 255, minlength=256) + 0.5
+    def __init__(self, order: np.ndarray, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+        """From the rows of ``ngram_counts``, in any order."""
+        at = np.lexsort((key, order))
+        order, key, toxic, ordinary = order[at], key[at], toxic[at].astype(float), ordinary[at].astype(float)
+        self.shared = [self._order(key[order == k], [toxic[order == k]]) for k in range(1, ORDER)]
+        top = order == ORDER
+        self.classes = self._order(key[top], [toxic[top], ordinary[top]])
+        first = np.bincount(key[order == 0], toxic[order == 0], 256) + 0.5
         self.first = first / first.sum()
 
     @staticmethod
@@ -112,15 +135,15 @@ class Models:
 class Scorer:
     """Evidence of texts, with what it has computed for a word kept for the next."""
 
-    def __init__(self, models: Models, known: dict):
-        self.models, self.known, self.cache = models, known, dict(known)
+    def __init__(self, models: Models):
+        self.models, self.cache = models, {}
 
     def __call__(self, texts) -> list[float]:
         toks = [[w for w in words_of(t) if w] for t in texts]
         new = list({w for t in toks for w in t if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE + len(self.known):
-            self.cache = dict(self.known)
-            new = list({w for t in toks for w in t if w not in self.cache})
+        if len(self.cache) + len(new) > CACHE:
+            self.cache = {}
+            new = list({w for t in toks for w in t})
         if new:
             self.cache.update(zip(new, self.models.evidence(new).tolist(), strict=True))
         return [sum(map(self.cache.__getitem__, t)) / max(1, len(t)) for t in toks]
@@ -130,7 +153,7 @@ def _evidence(docs: DataFrame, shared) -> DataFrame:
     """``doc_id, label, evidence`` of every row; docs: doc_id, label, text."""
 
     def run(batches):
-        scorer = Scorer(*shared.value)
+        scorer = Scorer(shared.value)
         for b in batches:
             ev = [e for at in range(0, b.num_rows, 256) for e in scorer(each_text(b.slice(at, 256)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ev, pa.float64())], names=["doc_id", "label", "evidence"])
@@ -157,8 +180,8 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(broadcast models and evidence of the known words, slope, intercept) from
-    the rows that may be learned from; None without labels of both classes."""
+    """(broadcast models, slope, intercept) from the rows that may be learned from;
+    None without labels of both classes."""
     labelled = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = dict(labelled.groupBy("label").count().collect())
     if len(n) < 2:
@@ -186,15 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         yield flush()
 
     counts = rows.where("part > 0").mapInArrow(count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    top = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "word").limit(MAX_WORDS).toArrow()
-    if not top.num_rows:
+    table = ngram_counts(counts).toArrow()
+    if not table.num_rows:
         share = n[1] / (n[0] + n[1])
         return None, 0.0, float(np.log(share / (1 - share)))
-    words = top["word"].to_pylist()
-    models = Models(words, top["toxic"].to_numpy(), top["ordinary"].to_numpy())
-    known = dict(zip(words, models.evidence(words).tolist(), strict=True))
-    shared = docs.sparkSession.sparkContext.broadcast((models, known))
-    del top, words, models, known
+    models = Models(*(table[c].to_numpy() for c in ("n", "key", "toxic", "ordinary")))
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    del table, models
     fit = _evidence(rows.where("part = 0").drop("part"), shared).select("label", "evidence").collect()
     if len({r["label"] for r in fit}) < 2:
         share = n[1] / (n[0] + n[1])
@@ -229,7 +250,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
     least = float(np.log(threshold / (1 - threshold)))
 
     def run(batches):
-        scorer = Scorer(*shared.value)
+        scorer = Scorer(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

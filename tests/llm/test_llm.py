@@ -379,6 +379,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(d, y.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_models_count_every_word(spark):
+    n = 2000
+    words = spark.range(n).select(F.concat(F.lit("w"), F.col("id").cast("string")).cast("binary").alias("word"), (F.col("id") % 2).alias("toxic"), F.lit(3).cast("long").alias("ordinary"))
+    words = words.unionAll(spark.createDataFrame([(bytearray(b"zzz"), 0, 1), (bytearray("été".encode()), 5, 0)], words.schema))
+    got = {(r.n, r.key): (r.toxic, r.ordinary) for r in toxicity.ngram_counts(words).collect()}
+    want = defaultdict(lambda: [0, 0])
+    for w, t, o in [(f"w{i}".encode(), i % 2, 3) for i in range(n)] + [(b"zzz", 0, 1), ("été".encode(), 5, 0)]:
+        full = b"    " + w + b" "
+        for i in range(4, len(full)):
+            for k in range(5):
+                c = want[k, int.from_bytes(full[i - k : i + 1])]
+                c[0] += 1 if k < 4 else t
+                c[1] += 0 if k < 4 else o
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_toxicity_learns_from_words_seen_once(spark):
+    # 270,000 different words to learn from, each seen once; the toxic ones come last in byte order
+    word = lambda i: f"{i:06d}".translate(str.maketrans("0123456789", "abcdefghij"))
+    data, truth = [], {}
+    for i in range(600):
+        w = [word((i * 900 + j) * 314_159 % 540_000) for j in range(900)]
+        truth[i] = int(i % 3 == 0)
+        data.append((i, " ".join(w + ["zork" + x for x in w[: 400 * truth[i]]])))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1, t) for i, t in truth.items()], "doc_id long, quality int, toxic int")
+    held = toxicity.score(d, y).where("held_out").collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
 # ---------------------------------------------------------------- 10, archives
 
 
