@@ -5,7 +5,7 @@ with contexts of ORDER bytes inside a word. Where a class has not seen a
 context, both fall back to the same lower orders, estimated from the distinct
 words of both classes together, so a rare expression counts for neither class
 unless its class has seen its like. A document's evidence is the difference of
-the two log-likelihoods divided by its number of words; a logistic curve,
+the two log-likelihoods divided by its number of words (and pieces); a logistic curve,
 fitted on documents that the models have not seen, turns it into a score.
 
 The models are fitted on a bounded sample of labelled rows: SAMPLE documents
@@ -15,7 +15,8 @@ n-grams are counted in Spark; the driver gets the table of distinct n-grams
 texts.
 
 Words are runs of letters and of bytes from 128 up, A-Z lower-cased, so marks
-stuck to a word do not hide it; a word counts with its first MAX_LETTERS bytes.
+stuck to a word do not hide it. A run of more than PIECE bytes is read whole, as
+pieces that overlap by their context; each piece counts as one word in the mean.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value
 at zero; rows with null ids are scored and never learned from; null labels are
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, each_text
 
 ORDER, DISCOUNT = 4, 0.75
-SAMPLE, MAX_LETTERS = 6000, 40
+SAMPLE, PIECE = 6000, 40
 CALIBRATE = 3  # one sampled document in so many fits the curve, the others the models
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
-CACHE = 100_000
+CACHE, HELD_BYTES = 100_000, 1 << 25
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -49,20 +50,27 @@ def words_of(raw: np.ndarray) -> list[bytes]:
 
 
 def _keys(words: list[bytes]):
-    """For words of equal length: (indices, contexts with the next byte packed
-    in one integer, a row for each word)."""
-    cut = [w[:MAX_LETTERS] for w in words]
-    lens = np.fromiter(map(len, cut), np.int64, len(cut))
+    """For the pieces of the words, those of equal length together: (indices of
+    their words, contexts with the next byte packed in one integer, a row for
+    each piece). The last piece of a word also holds the blank behind it."""
+    # every piece as ORDER bytes of context and its own bytes
+    cut, own = [], []
+    for i, w in enumerate(words):
+        full = b" " * ORDER + w + b" "
+        last = max(0, len(w) - 1) // PIECE * PIECE
+        cut += [full[at : at + ORDER + PIECE] for at in range(0, last, PIECE)]
+        cut.append(full[last:])
+        own += [i] * (last // PIECE + 1)
+    own, lens = np.array(own, np.int64), np.fromiter(map(len, cut), np.int64, len(cut))
     for n in np.unique(lens):
         some = np.flatnonzero(lens == n)
         for at in range(0, len(some), 16384):
             part = some[at : at + 16384]
             body = np.frombuffer(b"".join([cut[i] for i in part]), np.uint8).reshape(len(part), n).astype(np.int64)
-            padded = np.pad(body, ((0, 0), (ORDER, 1)), constant_values=32)
-            key = np.zeros((len(part), n + 1), np.int64)
+            key = np.zeros((len(part), n - ORDER), np.int64)
             for k in range(ORDER + 1):
-                key = key << 8 | padded[:, k : k + n + 1]
-            yield part, key
+                key = key << 8 | body[:, k : k + n - ORDER]
+            yield own[part], key
 
 
 def ngram_counts(counts: DataFrame) -> DataFrame:
@@ -128,10 +136,16 @@ class Models:
             for k, t in enumerate(self.shared, 1):
                 p = self._mix(t, flat & ((1 << 8 * (k + 1)) - 1), p)
             both = np.log(self._mix(self.classes, flat, p) + 1e-30)
-            out[some] = (both[0] - both[1]).reshape(key.shape).sum(axis=1)
+            np.add.at(out, some, (both[0] - both[1]).reshape(key.shape).sum(axis=1))
         return out
 
 
+def _pieces(words: list[bytes]) -> int:
+    if not words or max(map(len, words)) <= PIECE:
+        return len(words)
+    return sum(-(-len(w) // PIECE) for w in words)
+
+
 class Scorer:
     """Evidence of texts, with what it has computed for a word kept for the next."""
 
@@ -146,7 +160,11 @@ class Scorer:
             new = list({w for t in toks for w in t})
         if new:
             self.cache.update(zip(new, self.models.evidence(new).tolist(), strict=True))
-        return [sum(map(self.cache.__getitem__, t)) / max(1, len(t)) for t in toks]
+        out = [sum(map(self.cache.__getitem__, t)) / max(1, _pieces(t)) for t in toks]
+        for w in new:
+            if len(w) > PIECE:  # hardly ever seen again, and of any size
+                del self.cache[w]
+        return out
 
 
 def _evidence(docs: DataFrame, shared) -> DataFrame:
@@ -193,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = docs.join(picked, "doc_id").select("doc_id", "label", "text", part.alias("part"))
 
     def count(batches):
-        both = (Counter(), Counter())
+        both, held = (Counter(), Counter()), 0
 
         def flush():
             w = list(both[0].keys() | both[1].keys())
@@ -204,8 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         for b in batches:
             for y, t in zip(b.column(1).to_pylist(), each_text(b), strict=True):
                 both[y].update(w for w in words_of(t) if w)
-                if len(both[0]) + len(both[1]) > CACHE:
+                held += len(t)
+                if len(both[0]) + len(both[1]) > CACHE or held > HELD_BYTES:
                     yield flush()
+                    held = 0
         yield flush()
 
     counts = rows.where("part > 0").mapInArrow(count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))

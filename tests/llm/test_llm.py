@@ -409,6 +409,22 @@ def test_toxicity_learns_from_words_seen_once(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
 
 
+def test_toxicity_reads_long_runs_to_their_end(spark):
+    # one run without blanks a text; what tells the classes apart starts after byte 100
+    data, truth = [], {}
+    for i in range(400):
+        w, truth[i] = prose(60).split(), i % 2
+        w[40:50] = ["idiotic" if truth[i] else "lovely"] * 10
+        data.append((i, "é".join(w)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1, t) for i, t in truth.items()], "doc_id long, quality int, toxic int")
+    held = toxicity.score(d, y).where("held_out").collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    words = [b"", b"a", b"b" * 40, b"c" * 41, bytes(range(128, 250)) * 3]
+    got = Counter((int(i), int(k)) for own, key in toxicity._keys(words) for i, row in zip(own, key, strict=True) for k in row)
+    assert got == Counter((i, int.from_bytes((b"    " + w + b" ")[j : j + 5])) for i, w in enumerate(words) for j in range(len(w) + 1))
+
+
 # ---------------------------------------------------------------- 10, archives
 
 
