@@ -8,6 +8,7 @@ regions that are too small go back to the next round.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -73,16 +74,17 @@ def region_offsets(regions: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     return per.withColumn("region_offset", F.coalesce(F.sum("n_regions").over(w), F.lit(0)))
 
 
-def segment_planes(points: DataFrame, epsilon: float = 0.03, k: float = 3.0, alpha: float = 0.15 * math.pi, max_dist: float = 50.0, min_points: int = 80, perform_cca: bool = True, oriented: bool = False, max_rounds: int = 3, chunk: str | None = None) -> DataFrame:
+def segment_planes(points: DataFrame, epsilon: float = 0.03, k: float = 3.0, alpha: float = 0.15 * math.pi, max_dist: float = 50.0, min_points: int = 80, perform_cca: bool = True, oriented: bool = False, max_rounds: int | None = None, chunk: str | None = None) -> DataFrame:
     """``point_id, region_id`` (and the chunk): the region's smallest member, or
-    -1. Rounds stop early when one finds no region."""
+    -1. Rounds go on until one finds no region, each other one assigning
+    min_points points or more, or until ``max_rounds`` if given."""
     more = [chunk] if chunk else []
     base = materialise(points.select(ID, *AXES, *more))
     normals = compute_normals(base, base, epsilon)
     left = materialise(base.join(normals, ID, "left"))
     cos = math.cos(alpha)
     done = None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         has = left.where("normal is not null")
         pairs = neighbor_pairs(has, has, epsilon, tuple(more)).where("q_id < p_id")
         n = has.select(F.col(ID).alias("q_id"), F.col("normal").alias("nq"))

@@ -482,13 +482,13 @@ def region_offsets(spark, d):
 
 @query()
 def segment_planes(spark, d):
-    return segment.segment_planes(points_e(spark, d), epsilon=0.8, min_points=4, max_rounds=2)
+    return segment.segment_planes(points_e(spark, d), epsilon=0.8, min_points=4)
 
 
 @query()
 def segment_chunked(spark, d):
     p = grid.chunk_by_number(points_e(spark, d), 2, 2, 1)
-    return segment.segment_planes(p, epsilon=0.8, min_points=4, max_rounds=1, chunk="chunk_id")
+    return segment.segment_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id")
 
 
 @query()

@@ -119,6 +119,21 @@ def test_planes_components_cleanup(spark):
     assert segment.voxel_components(p, 0.05).select("component").distinct().count() == 12
 
 
+def test_plane_rounds_go_on_until_none_finds_a_region(spark, monkeypatch):
+    # one component of ever smaller flaps, each pair of them flat enough only once the larger ones are gone
+    from nubes.plans import queries
+
+    rows, x, z = [], 0.0, 0.0
+    for f, (n, w) in enumerate([(40, 40), (2, 12), (16, 24), (2, 10), (10, 10), (2, 6), (6, 6)]):
+        for i in range(n):
+            rows += [(len(rows) + j, x, j * 0.32, z) for j in range(w)]
+            x, z = x + 0.32 * np.cos(np.radians(20 * f)), z + 0.32 * np.sin(np.radians(20 * f))
+    p = spark.createDataFrame([(i, float(x), y, float(z)) for i, x, y, z in rows], P)
+    monkeypatch.setattr(queries, "points_e", lambda spark, d: p)
+    got = {r.point_id: r.region_id for r in queries.segment_planes(spark, "").collect()}
+    assert len({got[i] for i in got} - {-1}) >= 3 and all(got[i] >= 0 for i in range(len(rows) - 36, len(rows)))
+
+
 def test_fields(spark):
     p = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 0.1, 0.2, 7)], "point_id long, X double, y double, Z double, nx double, nz double, label int")
     coords, targets = fields.auto_map([c for c in p.columns if c != "point_id"])
