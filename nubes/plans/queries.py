@@ -95,6 +95,14 @@ def normals(spark, d):
     return n.select("point_id", *(steady(F.get("normal", F.lit(i)), 2).alias("n" + c) for i, c in enumerate("xyz")))
 
 
+@query()
+def normals_all(spark, d):
+    """As normals, for every point of the cloud."""
+    p = quantised(points_e(spark, d))
+    n = neighbors.compute_normals(p, p, R, scale=1e-8)
+    return n.select("point_id", *(steady(F.get("normal", F.lit(i)), 2).alias("n" + c) for i, c in enumerate("xyz")))
+
+
 @query(f"WITH {E_SQL} SELECT point_id, (x - 15) * (x - 15) + (y - 2.5) * (y - 2.5) + (z - 5) * (z - 5) AS d2 FROM points_e WHERE (x - 15) * (x - 15) + (y - 2.5) * (y - 2.5) + (z - 5) * (z - 5) <= 4.0")
 def radius_query(spark, d):
     return neighbors.radius_query(points_e(spark, d), (15.0, 2.5, 5.0), 2.0)

@@ -134,6 +134,25 @@ def test_plane_rounds_go_on_until_none_finds_a_region(spark, monkeypatch):
     assert len({got[i] for i in got} - {-1}) >= 3 and all(got[i] >= 0 for i in range(len(rows) - 36, len(rows)))
 
 
+def test_normals_of_all_points_against_brute_force(spark, monkeypatch):
+    from nubes.plans import queries
+
+    xyz = np.round(np.random.default_rng(5).uniform(0, 1.5, (150, 3)), 4)
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xyz)], P).withColumn("inst", (F.col("point_id") % 7).cast("int"))
+    monkeypatch.setattr(queries, "points_e", lambda spark, d: p)
+    got = {r.point_id: (r.nx, r.ny, r.nz) for r in queries.normals_all(spark, "").collect()}
+    assert sorted(got) == list(range(150))
+    held = 0
+    for i, v in enumerate(xyz):
+        near = xyz[((xyz - v) ** 2).sum(axis=1) <= 0.25] - v
+        if len(near) > 4:
+            ev, vec = np.linalg.eigh(near.T @ near)
+            if ev[1] > 1.3 * ev[0]:
+                held += 1
+                assert abs(np.dot(got[i], vec[:, 0])) > 0.97
+    assert held > 75
+
+
 def test_fields(spark):
     p = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 0.1, 0.2, 7)], "point_id long, X double, y double, Z double, nx double, nz double, label int")
     coords, targets = fields.auto_map([c for c in p.columns if c != "point_id"])
