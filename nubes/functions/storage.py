@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a private temporary folder
-    is set as that directory only where the session names none (tests)."""
+    """A new folder below ``spark.checkpoint.dir``. Where the session names
+    none, a local session (tests) gets a private temporary folder as that
+    directory; on a cluster the setting is needed, since executors don't share
+    local folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="nubes-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/nubes-{uuid.uuid4().hex}"
@@ -25,7 +29,19 @@ def materialise(df: DataFrame, codec: str = "lz4") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for these tables, once nothing that is
+    still to run reads them; other tables and None are left alone."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).pop("_written_to", None)
+        if path:
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,6 +52,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = materialise(both.unionAll(both.select("y", "x")).distinct())
     labels = materialise(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"))
+    old = labels
     while True:
         seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("seen"))
         near = labels.join(seen, F.col("node") == F.col("x")).select("node", "label", F.least("label", "seen").alias("near"))
@@ -43,6 +60,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = near.join(jump, F.col("near") == F.col("via"), "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label"))
         new = materialise(new)
         changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
+        discard(old)
+        old, labels = new, new.select("node", "label")
+        labels._written_to = new._written_to
         if not changed:
+            discard(both)
             return labels
