@@ -1,28 +1,52 @@
 """Documents as partitioned Parquet: points by document and cloud, a table of
-documents with format version and metadata, and a catalogue of fields."""
+documents with format version and metadata, a catalogue of fields, and each
+document's tool log. A set of documents is a folder; a root may be one or hold
+several."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import FORMAT_VERSION, field_types
+from ..operators.schema import matching_fields, schema_from_json, update_schema
 
 CATALOG = "doc_name string, cloud_id string, field_name string, field_type string, width int, schema_name string, schema_json string"
+LOG = "doc_name string, entry string"
 
 
-def write_documents(points: DataFrame, root: str, schemas: dict[str, tuple[str, str]] | None = None, meta: dict[str, str] | None = None) -> None:
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _sets_below(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(depth, folder) of the sets at a root and one level below it."""
+    out = [(0, root)] if _exists(spark, f"{root}/documents") else []
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/documents")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return out + sorted((1, f.getPath().getParent().toString()) for f in found)
+
+
+def write_documents(points: DataFrame, root: str, schemas: dict[str, tuple[str, str]] | None = None, meta: dict[str, str] | None = None, log: DataFrame | None = None) -> None:
     """Points need ``doc_name`` and ``cloud_id``. ``schemas`` gives a semantic
-    field's schema name and JSON."""
+    field's schema name and JSON; ``log`` (doc_name, entry) is the tool log that
+    is kept with the documents. A name that the set already has is an error."""
     spark = points.sparkSession
-    points.write.partitionBy("doc_name", "cloud_id").mode("append").parquet(f"{root}/points")
     clouds = points.select("doc_name", "cloud_id").distinct()
+    if _exists(spark, f"{root}/documents"):
+        taken = clouds.join(spark.read.parquet(f"{root}/documents"), "doc_name", "left_semi").limit(1).collect()
+        if taken:
+            raise ValueError(f"document {taken[0].doc_name} exists")
+    points.write.partitionBy("doc_name", "cloud_id").mode("append").parquet(f"{root}/points")
     rows = [(n, k, *(schemas or {}).get(n, (None, None))) for n, k in field_types(points).items()]
     kinds = spark.createDataFrame(rows, "field_name string, field_type string, schema_name string, schema_json string")
     widths = F.when(F.col("field_type").isin("COLOR", "NORMAL"), 3).otherwise(1)
     cat = clouds.crossJoin(F.broadcast(kinds)).withColumn("width", widths)
     cat.select("doc_name", "cloud_id", "field_name", "field_type", "width", "schema_name", "schema_json").write.mode("append").parquet(f"{root}/field_catalog")
+    if log is not None:
+        log.select("doc_name", "entry").join(clouds.select("doc_name").distinct(), "doc_name", "left_semi").write.mode("append").parquet(f"{root}/tool_log")
     info = F.create_map(*(F.lit(x) for kv in (meta or {"type": "Document"}).items() for x in kv))
     docs = clouds.select("doc_name").distinct().select("doc_name", F.lit(FORMAT_VERSION).alias("format_version"), info.alias("meta"))
     docs.write.mode("append").parquet(f"{root}/documents")
@@ -35,14 +59,18 @@ def _checked(docs: DataFrame, newer_only: bool) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, *roots: str) -> DataFrame:
-    """``doc_name, format_version, meta, root``: the first root that has a name
-    wins; newer versions are an error."""
+    """``doc_name, format_version, meta, root`` of the documents in the roots and
+    one level below them: the first set that has a name wins, sets at a root
+    before those below it; newer versions are an error."""
     out = None
     for i, r in enumerate(roots):
-        one = spark.read.parquet(f"{r}/documents").withColumns({"root": F.lit(r), "_depth": F.lit(i)})
-        out = one if out is None else out.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("doc_name").orderBy("_depth", "root"))
-    return _checked(out, True).withColumn("_r", rank).where("_r = 1").drop("_r", "_depth")
+        for depth, at in _sets_below(spark, r):
+            one = spark.read.parquet(f"{at}/documents").withColumns({"root": F.lit(at), "_depth": F.lit(depth), "_nth": F.lit(i)})
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "doc_name string, format_version int, meta map<string,string>, root string")
+    rank = F.row_number().over(Window.partitionBy("doc_name").orderBy("_depth", "_nth", "root"))
+    return _checked(out, True).withColumn("_r", rank).where("_r = 1").drop("_r", "_depth", "_nth")
 
 
 def read_documents(spark: SparkSession, root: str, *names: str) -> DataFrame:
@@ -55,6 +83,33 @@ def read_documents(spark: SparkSession, root: str, *names: str) -> DataFrame:
     return points.join(same, "doc_name", "left_semi")
 
 
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """``doc_name, entry`` of the documents' tool logs."""
+    path = f"{root}/tool_log"
+    return spark.read.schema(LOG).parquet(path) if _exists(spark, path) else spark.createDataFrame([], LOG)
+
+
+def update_documents(spark: SparkSession, root: str, target: str, field: str, name: str, old: Column, new_json: str, pairs: DataFrame) -> None:
+    """Write a set with a new version of a schema to another folder: every
+    document whose ``field`` uses the schema ``name`` with the classes ``old``
+    (a literal array of struct<id, name, color>) gets its labels remapped by a
+    table (old, new, seq) and the new classes in the catalogue; all other points
+    and catalogue rows stay as they are."""
+    cat = spark.read.schema(CATALOG).parquet(f"{root}/field_catalog")
+    own = cat.where((F.col("field_name") == field) & F.col("schema_json").isNotNull()).withColumn("classes", schema_from_json(F.col("schema_json")))
+    hit = matching_fields(own, name, old).select("doc_name").distinct()
+    points = spark.read.parquet(f"{root}/points")
+    edited = update_schema(points, own, name, old, pairs, field).select(points.columns)
+    rest = points.join(hit, "doc_name", "left_anti").select(points.columns)
+    edited.unionByName(rest).write.partitionBy("doc_name", "cloud_id").parquet(f"{target}/points")
+    touched = cat.join(hit.withColumn("_hit", F.lit(True)), "doc_name", "left")
+    json = F.when(F.col("_hit") & (F.col("field_name") == field) & (F.col("schema_name") == name), F.lit(new_json)).otherwise(F.col("schema_json"))
+    touched.withColumn("schema_json", json).select(cat.columns).write.parquet(f"{target}/field_catalog")
+    if _exists(spark, f"{root}/tool_log"):
+        read_log(spark, root).write.parquet(f"{target}/tool_log")
+    spark.read.parquet(f"{root}/documents").write.parquet(f"{target}/documents")
+
+
 def scan_schemas(spark: SparkSession, root: str) -> DataFrame:
     """``key, schema_name, schema_json`` of every semantic field that has a
     schema; points are not read."""
@@ -101,9 +156,18 @@ def item_id(kind: str, number: int) -> str:
     return "".join(c for c in kind if c.isupper()) + f"_{number:04d}"
 
 
-def export_regions(points: DataFrame, path: str) -> None:
-    """One folder for each chunk and region; what has no region under -1."""
-    points.withColumn("region_id", F.coalesce("region_id", F.lit(-1))).write.partitionBy("chunk_id", "region_id").parquet(path)
+def item_id_of(kind: Column, number: Column) -> Column:
+    """As item_id, for columns."""
+    return F.concat(F.regexp_replace(kind, "[^A-Z]", ""), F.format_string("_%04d", number))
+
+
+def export_regions(points: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
+    """One folder for each chunk and region, with the chosen columns; what has
+    no region goes to the chunk's folder of region -1."""
+    out = points.withColumn("region_id", F.coalesce("region_id", F.lit(-1)))
+    if columns:
+        out = out.select("chunk_id", "region_id", *columns)
+    out.write.partitionBy("chunk_id", "region_id").parquet(path)
 
 
 def split_by_label(points: DataFrame, label: str, path: str) -> None:
@@ -114,8 +178,9 @@ def join_segments(spark: SparkSession, path: str, color: str | None = None) -> D
     """Read split segments back with ``labels``, the segment's ordinal; colours
     above 1 in a segment are scaled to the unit range."""
     p = spark.read.parquet(path)
+    # a row a segment, numbered in one task; Spark broadcasts it if it is small
     order = p.select("label_id").distinct().select("label_id", (F.row_number().over(Window.orderBy("label_id")) - 1).cast("int").alias("labels"))
-    p = p.join(F.broadcast(order), "label_id")
+    p = p.join(order, "label_id")
     if color:
         top = p.groupBy("label_id").agg(F.max(F.array_max(color)).alias("_top"))
         p = p.join(top, "label_id").withColumn(color, F.when(F.col("_top") > 1, F.transform(color, lambda v: v / 255)).otherwise(F.col(color))).drop("_top")

@@ -3,7 +3,8 @@
 Columns are named from the file's stem: one column takes the stem, three take
 nx, ny, nz where the stem speaks of normals and red, green, blue where it
 speaks of colours, others take stem_i. ``point_id`` is the row position; row
-ranges are partitions.
+ranges are partitions. A folder of arrays with equal columns is one table, named
+by the folder, whose rows count on from file to file in order of name.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from . import files
+
 ROWS = 1 << 20
 
 
 def column_names(path: str, width: int) -> list[str]:
-    stem = os.path.basename(path).removesuffix(".npy")
+    stem = os.path.basename(path.rstrip("/")).removesuffix(".npy")
     low = stem.lower()
     if width == 1:
         return [stem]
@@ -37,7 +40,7 @@ def header(path: str) -> tuple[tuple[int, ...], np.dtype, int]:
     and column-major arrays of several columns are refused."""
     if path.endswith(".npz"):
         raise ValueError("archives of arrays are not supported")
-    with open(path, "rb") as f:
+    with files.open_file(path) as f:
         version = np.lib.format.read_magic(f)
         read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
         shape, fortran, kind = read(f)
@@ -48,8 +51,10 @@ def header(path: str) -> tuple[tuple[int, ...], np.dtype, int]:
 
 @dataclass
 class Range(InputPartition):
+    path: str
     start: int
     stop: int
+    before: int
 
 
 class NpyReader(DataSourceReader):
@@ -57,18 +62,22 @@ class NpyReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        n = header(self.path)[0][0]
-        return [Range(s, min(n, s + ROWS)) for s in range(0, n, ROWS)] or [Range(0, 0)]
+        out, before = [], 0
+        for p in files.list_files(self.path, ".npy"):
+            n = header(p)[0][0]
+            out += [Range(p, s, min(n, s + ROWS), before) for s in range(0, n, ROWS)] or [Range(p, 0, 0, before)]
+            before += n
+        return out
 
     def read(self, part: Range):
-        shape, kind, offset = header(self.path)
+        shape, kind, offset = header(part.path)
         width = shape[1] if len(shape) == 2 else 1
-        with open(self.path, "rb") as f:
+        with files.open_file(part.path) as f:
             f.seek(offset + part.start * width * kind.itemsize)
             n = part.stop - part.start
             a = np.frombuffer(f.read(n * width * kind.itemsize), kind).reshape(n, width)
         cols = [pa.array(a[:, i].astype(np.float64)) for i in range(width)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.stop)), *cols], names=["point_id", *column_names(self.path, width)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.stop) + part.before), *cols], names=["point_id", *column_names(self.path, width)])
 
 
 class NpySource(DataSource):
@@ -78,7 +87,7 @@ class NpySource(DataSource):
 
     def schema(self):
         path = self.options["path"]
-        shape = header(path)[0]
+        shape = header(files.list_files(path, ".npy")[0])[0]
         return StructType([StructField("point_id", LongType()), *(StructField(n, DoubleType()) for n in column_names(path, shape[1] if len(shape) == 2 else 1))])
 
     def reader(self, schema):

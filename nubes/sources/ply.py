@@ -1,24 +1,30 @@
 """PLY point files as a Spark data source.
 
-``spark.read.format("ply").load(path)`` gives ``point_id`` (row position) and
-the vertex element's properties. Binary files are cut in row ranges, one
-partition each; an ASCII file is one partition, read in batches, because its
-rows' positions are only known by counting. ``df.write.format("ply")`` writes
-one binary file per partition.
+``spark.read.format("ply").load(path)`` gives ``point_id`` (row position in its
+file) and the vertex element's properties of a file, a folder or a pattern, on
+local or shared storage. Binary files are cut in row ranges, one partition each.
+Rows of an ASCII file are only known by counting: ``read_ply`` reads such files
+as text in Spark's splits and numbers the lines by counts per split; through the
+plain format an ASCII file is one partition, read in batches.
+``df.write.format("ply")`` streams each partition to one binary file.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import shutil
+import tempfile
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
+from pyspark.sql.window import Window
+
+from . import files
 
 #: PLY's scalar types as numpy codes.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -41,7 +47,7 @@ class Header:
 
 def read_header(path: str) -> Header:
     order, count, fields, element, offset = None, 0, [], None, 0
-    with open(path, "rb") as f:
+    with files.open_file(path) as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"{path} is not PLY")
         while (line := f.readline()) and line.strip() != b"end_header":
@@ -64,13 +70,6 @@ def read_header(path: str) -> Header:
     return Header(order, count, fields, offset)
 
 
-def _files(path: str) -> list[str]:
-    found = sorted(glob.glob(os.path.join(path, "*.ply"))) if os.path.isdir(path) else sorted(glob.glob(path))
-    if not found:
-        raise FileNotFoundError(path)
-    return found
-
-
 @dataclass
 class Range(InputPartition):
     path: str
@@ -84,7 +83,7 @@ class PlyReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for p in _files(self.path):
+        for p in files.list_files(self.path, ".ply"):
             h = read_header(p)
             step = self.rows if h.order else max(1, h.count)
             out += [Range(p, s, min(h.count, s + step)) for s in range(0, h.count, step)]
@@ -92,7 +91,7 @@ class PlyReader(DataSourceReader):
 
     def read(self, part: Range):
         h = read_header(part.path)
-        with open(part.path, "rb") as f:
+        with files.open_file(part.path) as f:
             f.seek(h.offset + (part.start * h.dtype().itemsize if h.order else 0))
             for at in range(part.start, part.stop, ROWS):
                 n = min(ROWS, part.stop - at)
@@ -111,32 +110,41 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class PlyWriter(DataSourceWriter):
+class PlyWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType):
-        self.path = path
+        self.path = path.rstrip("/")
         code = {"byte": "i1", "short": "u1", "integer": "i4", "float": "f4", "double": "f8", "long": "u4"}
         self.fields = [(f.name, code[f.dataType.typeName()]) for f in schema.fields if f.name != "point_id"]
         if {"x", "y", "z"} - {n for n, _ in self.fields}:
             raise ValueError("x, y and z are needed")
 
-    def write(self, rows):
+    def write(self, batches):
+        """Rows go to a scratch file first, since the header holds their number."""
         names = {v: k for k, v in TYPES.items() if not k[-1].isdigit()}
-        data = np.array([tuple(r[n] for n, _ in self.fields) for r in rows], np.dtype([(n, "<" + t) for n, t in self.fields]))
-        os.makedirs(self.path, exist_ok=True)
-        to = os.path.join(self.path, f"part-{uuid.uuid4().hex}.ply")
-        head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(data)}", *(f"property {names[t]} {n}" for n, t in self.fields), "end_header", ""]
-        with open(to + ".tmp", "wb") as f:
-            f.write("\n".join(head).encode() + data.tobytes())
+        kind, count = np.dtype([(n, "<" + t) for n, t in self.fields]), 0
+        to = f"{self.path}/part-{uuid.uuid4().hex}.ply"
+        with tempfile.TemporaryFile() as body:
+            for b in batches:
+                rows = np.empty(b.num_rows, kind)
+                for n, _ in self.fields:
+                    rows[n] = b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+                body.write(rows.tobytes())
+                count += len(rows)
+            head = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *(f"property {names[t]} {n}" for n, t in self.fields), "end_header", ""]
+            body.seek(0)
+            with files.create_file(to + ".tmp") as f:
+                f.write("\n".join(head).encode())
+                shutil.copyfileobj(body, f, 1 << 20)
         return Written(to)
 
     def commit(self, messages):
         for m in messages:
-            os.replace(m.path + ".tmp", m.path)
+            files.move(m.path + ".tmp", m.path)
 
     def abort(self, messages):
         for m in messages:
             if m:
-                os.remove(m.path + ".tmp")
+                files.remove(m.path + ".tmp")
 
 
 class PlySource(DataSource):
@@ -145,7 +153,7 @@ class PlySource(DataSource):
         return "ply"
 
     def schema(self):
-        h = read_header(_files(self.options["path"])[0])
+        h = read_header(files.list_files(self.options["path"], ".ply")[0])
         return StructType([StructField("point_id", LongType()), *(StructField(n, SPARK[t]) for n, t in h.fields)])
 
     def reader(self, schema):
@@ -157,9 +165,29 @@ class PlySource(DataSource):
 
 def read_ply(spark: SparkSession, path: str, **options):
     spark.dataSource.register(PlySource)
+    found = files.list_files(path, ".ply")
+    if len(found) == 1 and read_header(found[0]).order == "":
+        return read_ascii(spark, found[0])
     return spark.read.format("ply").options(**options).load(path)
 
 
+def read_ascii(spark: SparkSession, path: str):
+    """One ASCII file as text: a line's number is the number of lines in the
+    splits before its own and its place in the split. Only the table of splits
+    goes through one task."""
+    h = read_header(path)
+    with files.open_file(path) as f:
+        skip = f.read(h.offset).count(b"\n")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("split", "first", before.alias("before"))
+    row = (F.col("at") - F.col("first") + F.col("before") - skip).cast("long")
+    rows = lines.join(splits, "split").withColumn("point_id", row).where(F.col("point_id").between(0, h.count - 1))
+    parts = F.split(F.trim("value"), r"\s+")
+    return rows.select("point_id", *(F.get(parts, F.lit(i)).cast("double").cast(SPARK[t]).alias(n) for i, (n, t) in enumerate(h.fields)))
+
+
 def write_ply(df, path: str) -> None:
     df.sparkSession.dataSource.register(PlySource)
     df.write.format("ply").mode("append").save(path)
