@@ -47,22 +47,29 @@ def project(x: Column, y: Column, z: Column, matrix: Sequence[float], w: float,
     return (ndc[0] + 1) / 2 * float(w), (ndc[1] + 1) / 2 * float(h), ndc[2]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not written out at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def in_polygon(px: Column, py: Column, polygon: Sequence[tuple[float, float]]) -> Column:
-    """Even-odd rule over the polygon's edges, the bounding box first."""
+    """Even-odd rule over the polygon's edges, the bounding box first. The
+    position is bound once, and the edges are one literal array."""
     if len(polygon) < 3:
         return F.lit(False)
     xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
-    hits = F.lit(0)
-    for (xi, yi), (xj, yj) in zip(polygon, [polygon[-1], *polygon[:-1]], strict=True):
-        at = (float(xj) - xi) * (py - yi) / (float(yj) - yi + 1e-12) + xi
-        hits = hits + ((py < yi) != (py < yj)).cast("int") * (px < at).cast("int")
-    box = px.between(min(xs), max(xs)) & py.between(min(ys), max(ys))
-    return F.coalesce(box & (hits % 2 == 1), F.lit(False))
+    ends = zip(polygon, [polygon[-1], *polygon[:-1]], strict=True)
+    edges = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("xi", "yi", "xj", "yj"), (*i, *j), strict=True))) for i, j in ends))
 
+    def crossed(p, e):
+        at = (e["xj"] - e["xi"]) * (p["y"] - e["yi"]) / (e["yj"] - e["yi"] + 1e-12) + e["xi"]
+        return ((p["y"] < e["yi"]) != (p["y"] < e["yj"])).cast("int") * (p["x"] < at).cast("int")
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, not written out at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def inside(p):
+        box = p["x"].between(min(xs), max(xs)) & p["y"].between(min(ys), max(ys))
+        return box & (F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(p, e)) % 2 == 1)
+
+    return F.coalesce(let(F.struct(px.alias("x"), py.alias("y")), inside), F.lit(False))
 
 
 def eigenvalues(xx, xy, xz, yy, yz, zz) -> Column:

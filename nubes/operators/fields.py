@@ -21,7 +21,13 @@ _GROUPS = {
     (None, "INSTANCE"): (("instance", "instance_id", "instanceid", "object_id", "objectid", "inst"),),
 }
 AUTO_FIELDS = {name: (field, kind, i) for (field, kind), parts in _GROUPS.items() for i, names in enumerate(parts) for name in names}
-AUTO_COORDS = {f"{stem}{axis}": i for stem in ("", "pos", "position", "coord") for i, axis in enumerate("xyz")}
+#: Input names (lower case) of the three coordinates.
+AUTO_COORDS = {
+    "x": 0, "y": 1, "z": 2,
+    "posx": 0, "posy": 1, "posz": 2,
+    "positionx": 0, "positiony": 1, "positionz": 2,
+    "coordx": 0, "coordy": 1, "coordz": 2,
+}
 
 
 @dataclass(frozen=True)
@@ -80,13 +86,18 @@ def _check_new(df: DataFrame, name: str) -> None:
 
 
 def add_field(df: DataFrame, name: str, kind: str | None = None, width: int = 1, fill: float = 0.0, data: DataFrame | None = None) -> DataFrame:
-    """A new field, from a table (point_id, value) or filled with its default."""
+    """A new field, from a table (point_id, value) with a row for each point or
+    filled with its default. Data for other points, or not one row each, is an
+    error; a null value becomes the default."""
     _check_new(df, name)
     kind = kind or default_type(width)
     check_width(kind, width)
     rest = default_value(kind, width, fill)
     if data is None:
         return df.withColumn(name, typed(rest, name, kind))
+    rows = data.groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
+    if df.select(ID, F.lit(1).alias("one")).join(rows, ID, "full").where("one is null or n is null or n > 1").limit(1).count():
+        raise ValueError(f"data for {name} must have one row for each point")
     value = data.select(ID, cast_field(F.col("value"), kind, width).alias("_value"))
     return df.join(value, ID, "left").select(*df.columns, typed(F.coalesce("_value", rest), name, kind))
 
@@ -133,8 +144,13 @@ def edit_fields(df: DataFrame, edits: list[Edit]) -> DataFrame:
     kinds, cols = field_types(df), []
     for e in edits:
         check_width(e.kind, e.width)
-        same = e.source is not None and kinds.get(e.source) == e.kind and (df.schema[e.source].dataType.typeName() == "array") == (e.width > 1)
-        cols.append(typed(F.col(e.source) if same else default_value(e.kind, e.width), e.name, e.kind))
+        rest = default_value(e.kind, e.width)
+        value = rest
+        if e.source is not None and kinds.get(e.source) == e.kind and (df.schema[e.source].dataType.typeName() == "array") == (e.width > 1):
+            value = F.col(e.source)
+            if e.width > 1:  # a type says array, only the value says how wide
+                value = F.when(F.coalesce(F.size(value) == e.width, F.lit(True)), value).otherwise(rest.cast(df.schema[e.source].dataType))
+        cols.append(typed(value, e.name, e.kind))
     return df.select(*(c for c in df.columns if c in RESERVED), *cols)
 
 
@@ -156,16 +172,24 @@ def to_wide(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.select(*cols, *parts)
 
 
-def inspect_point(df: DataFrame, point_id: int, semantic: dict[str, DataFrame] | None = None) -> DataFrame:
+def _components(name: str, shown):
+    return F.transform(F.col(name), lambda v, i: F.struct(F.lit(name).alias("field"), i.cast("string").alias("component"), shown(v).alias("value")))
+
+
+def inspect_point(df: DataFrame, point_id: int, semantic: dict[str, DataFrame] | None = None, expand: bool = False) -> DataFrame:
     """``field, component, value`` (text) of one point: coordinates, then every
-    field; labels with a class table show the class name."""
+    field, of vectors the first three components unless ``expand``; labels with
+    a class table show the class name."""
     one = df.where(F.col(ID) == point_id)
     row = lambda f, c, v: F.struct(F.lit(f).alias("field"), F.lit(c).alias("component"), v.cast("string").alias("value"))
     number = lambda v: F.format_string("%.4f", v.cast("double"))
     parts = [row("coords", c.upper(), number(F.col(c))) for c in "xyz"]
+    arrays = []
     names = {"COLOR": ("Red", "Green", "Blue"), "NORMAL": ("X", "Y", "Z"), "VECTOR": ("0", "1", "2")}
     for f, kind in field_types(df).items():
-        if kind in names:
+        if kind == "VECTOR" and expand:
+            arrays.append(_components(f, number))
+        elif kind in names:
             parts += [row(f, n, number(F.get(F.col(f), F.lit(i)))) for i, n in enumerate(names[kind])]
         elif semantic and f in semantic:
             one = class_lookup(one, f, semantic[f]).withColumnRenamed("class_name", "_name_" + f).drop("rgb")
@@ -175,7 +199,7 @@ def inspect_point(df: DataFrame, point_id: int, semantic: dict[str, DataFrame] |
             parts.append(row(f, "", F.col(f)))
         else:
             parts.append(row(f, "", number(F.col(f))))
-    return one.select(F.inline(F.array(*parts)))
+    return one.select(F.inline(F.concat(F.array(*parts), *arrays)))
 
 
 def colorize(df: DataFrame, field_name: str, kind: str, lo: float | None = None, hi: float | None = None, classes: DataFrame | None = None, index: int = 0, cmap: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import flatten_index, voxel_key
+from ..functions.geometry import flatten_index
 from .neighbors import eigen_features
 
 AXES = ("x", "y", "z")
@@ -23,15 +23,35 @@ def to_positive(points: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(low)).withColumns({c: F.col(c) - F.col("_" + c) for c in AXES}).drop(*("_" + c for c in AXES))
 
 
-def with_voxel(points: DataFrame, size: float) -> DataFrame:
-    """Add the cell key of positive coordinates."""
-    return points.withColumn("voxel", voxel_key(F.col("x"), F.col("y"), F.col("z"), 1.0 / size))
+CELL = ("cx", "cy", "cz")
 
 
-def voxel_groups(points: DataFrame, size: float, members: bool = False) -> DataFrame:
-    """``voxel, n, first_id`` of each occupied cell, with its point ids if asked."""
-    more = [F.collect_list("point_id").alias("point_ids")] if members else []
-    return with_voxel(to_positive(points), size).groupBy("voxel").agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first_id"), *more)
+def with_cell(points: DataFrame, size: float) -> DataFrame:
+    """Add the cell of positive coordinates as three columns, of any range."""
+    return points.withColumns({"c" + c: F.floor(F.col(c) * (1.0 / size)) for c in AXES})
+
+
+def voxel_members(points: DataFrame, size: float) -> DataFrame:
+    """``cx, cy, cz, point_id``: the cell of each point."""
+    return with_cell(to_positive(points), size).select(*CELL, "point_id")
+
+
+def voxel_groups(points: DataFrame, size: float) -> DataFrame:
+    """``cx, cy, cz, n, first_id`` of each occupied cell."""
+    return voxel_members(points, size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first_id"))
+
+
+def occupied_cells(points: DataFrame, size: float) -> DataFrame:
+    """One row: ``n_cells``."""
+    return voxel_members(points, size).select(*CELL).distinct().agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def scalar_range(points: DataFrame, field: str) -> DataFrame:
+    """One row: ``lo, hi`` of a field over the visible points."""
+    from .select import visible_points
+
+    seen = visible_points(points) if "visible" in points.columns else points
+    return seen.agg(F.min(field).alias("lo"), F.max(field).alias("hi"))
 
 
 def chunk_by_number(points: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:

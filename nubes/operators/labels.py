@@ -55,12 +55,11 @@ def flatten_labels(points: DataFrame, cols: list[str], name: str = "label") -> D
 
 
 def mex(df: DataFrame, col: str, name: str = "mex") -> DataFrame:
-    """One row: the smallest non-negative integer that does not occur. Values
-    below the number of distinct values are all present or the first gap is
-    the answer; only a count per value is numbered."""
-    v = df.select(F.col(col).alias("v")).where("v >= 0").distinct()
-    r = v.withColumn("r", F.row_number().over(Window.orderBy("v")) - 1)
-    return r.agg(F.coalesce(F.min(F.when(F.col("v") != F.col("r"), F.col("r"))), F.count("v")).cast("int").alias(name))
+    """One row: the smallest non-negative integer that does not occur. It is 0
+    or follows a value that occurs: the least of these that does not occur."""
+    v = df.select(F.col(col).cast("long").alias("v")).where("v >= 0").distinct()
+    after = v.select((F.col("v") + 1).alias("v")).unionAll(df.sparkSession.range(1).select(F.col("id").alias("v")))
+    return after.join(v, "v", "left_anti").agg(F.min("v").cast("int").alias(name))
 
 
 def required_ids(points: DataFrame, cols: list[str]) -> DataFrame:

@@ -28,11 +28,18 @@ def schema_from_labels(points: DataFrame, cols: list[str]) -> DataFrame:
     return required_ids(points, cols).select("id", name.alias("name"))
 
 
-def schema_diff(old: DataFrame, edited: DataFrame) -> DataFrame:
+def schema_diff(old: DataFrame, edited: DataFrame, targets: dict[int, int] | None = None) -> DataFrame:
     """``old_id, new_id``: edited rows carry ``original_id``; a removed class
-    goes to -1."""
+    goes to its target if one is given, else to -1 if the edited schema has -1,
+    else it is an error."""
     new = edited.select(F.col("original_id").alias("old_id"), F.col("id").alias("new_id"))
-    return old.select(F.col("id").alias("old_id")).join(new, "old_id", "left").withColumn("new_id", F.coalesce("new_id", F.lit(-1)))
+    rest = F.when(F.col("unlabeled"), F.lit(-1)).otherwise(F.raise_error(F.concat(F.lit("no target for removed class "), F.col("old_id"))).cast("int"))
+    if targets:
+        goal = F.create_map(*(F.lit(v) for kv in targets.items() for v in kv))
+        rest = F.when(goal[F.col("old_id")].isNotNull(), goal[F.col("old_id")]).otherwise(rest)
+    has = edited.agg(F.coalesce(F.bool_or(F.col("id") == -1), F.lit(False)).alias("unlabeled"))
+    both = old.select(F.col("id").alias("old_id")).join(new, "old_id", "left").crossJoin(F.broadcast(has))
+    return both.select("old_id", F.when(F.col("new_id").isNull(), rest).otherwise(F.col("new_id")).alias("new_id"))
 
 
 def reindex(classes: DataFrame, by_name: bool = False) -> DataFrame:
@@ -55,8 +62,10 @@ def remove_class(classes: DataFrame, class_id: int) -> DataFrame:
     return classes.where(F.col("id") != class_id)
 
 
-def violations(classes: DataFrame, required: DataFrame | None = None) -> DataFrame:
-    """``rule, key`` of each broken rule; empty means valid."""
+def violations(classes: DataFrame, required: DataFrame | None = None, name: str | None = None, known: DataFrame | None = None, derived_from: str | None = None) -> DataFrame:
+    """``rule, key`` of each broken rule; empty means valid. With ``name``, the
+    schema's own: it must not be among the ``known`` ones (schema_name), and a
+    schema derived from another needs another name."""
     key = lambda rule, df, c: df.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("key"))
     out = key("duplicate_id", classes.groupBy("id").count().where("count > 1"), "id")
     out = out.union(key("bad_name", classes.where((F.length("name") > 256) | F.col("name").rlike(r"[^\x00-\x7F]") | F.col("name").isNull()), "id"))
@@ -65,6 +74,10 @@ def violations(classes: DataFrame, required: DataFrame | None = None) -> DataFra
     out = out.union(key("gap", ids.withColumn("prev", prev).where("id > prev + 1").withColumn("at", F.col("prev") + 1), "at"))
     if required is not None:
         out = out.union(key("missing", required.join(classes, "id", "left_anti"), "id"))
+    if name is not None and known is not None:
+        out = out.union(key("used_name", known.where(F.col("schema_name") == name).select("schema_name").distinct(), "schema_name"))
+    if name is not None and name == derived_from:
+        out = out.union(classes.sparkSession.range(1).select(F.lit("same_name").alias("rule"), F.lit(name).alias("key")))
     return out
 
 
@@ -84,6 +97,25 @@ def matching_fields(catalog: DataFrame, name: str, classes: Column) -> DataFrame
     return catalog.where((F.col("schema_name") == name) & (signature(F.col("classes")) == signature(classes)))
 
 
+def impact(catalog: DataFrame, name: str, classes: Column) -> DataFrame:
+    """One row: ``n_fields`` that an edit of the schema would touch, and their
+    ``keys`` in order. A catalogue has a row a field, not a point."""
+    hit = matching_fields(catalog, name, classes)
+    return hit.agg(F.count(F.lit(1)).alias("n_fields"), F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def merge_schemas(saved: DataFrame, session: DataFrame) -> DataFrame:
+    """Union of two catalogues by ``key``; of one key the session's row stays."""
+    return saved.join(session.select("key"), "key", "left_anti").unionByName(session)
+
+
+def split_key(key: Column) -> Column:
+    """struct<doc_name, cloud_id, field_name, schema_name> of a key; a schema's
+    name may hold slashes."""
+    part = F.split(key, "/", 4)
+    return F.struct(*(F.get(part, F.lit(i)).alias(n) for i, n in enumerate(("doc_name", "cloud_id", "field_name", "schema_name"))))
+
+
 def build_key(*parts: Column) -> Column:
     return F.concat_ws("/", *parts)
 

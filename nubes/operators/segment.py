@@ -24,46 +24,26 @@ CELL = 1.1547  # the edge of a cube inside a unit sphere
 HALF_OFFSETS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 
 
-def _packed(x, y, z):
-    """A cell as one number: 21 bits an axis, shifted to be positive."""
-    b = 1 << 20
-    return (x + b) * (1 << 42) + (y + b) * (1 << 21) + (z + b)
-
-
-def cell_adjacency(cells: DataFrame) -> DataFrame:
-    """``a, b``: packed keys of occupied cells (cx, cy, cz) that share a face,
-    an edge or a corner, each pair once: half of the 26 offsets are joined."""
+def cell_adjacency(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``a, b``: the nodes of occupied cells (keys, cx, cy, cz, node) that share
+    a face, an edge or a corner, each pair once: half of the 26 offsets are
+    joined. Cells are three columns, so their range has no bound."""
     offs = F.explode(F.array(*[F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(o, "ijk", strict=True))) for o in HALF_OFFSETS]))
-    left = cells.select("cx", "cy", "cz", offs.alias("o")).select(_packed(F.col("cx"), F.col("cy"), F.col("cz")).alias("a"), *((F.col("c" + c) + F.col("o." + k)).alias("n" + c) for c, k in zip(AXES, "ijk", strict=True)))
-    right = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"), _packed(F.col("cx"), F.col("cy"), F.col("cz")).alias("b"))
-    return left.join(right, ["nx", "ny", "nz"]).select("a", "b")
+    moved = cells.select(*keys, F.col("node").alias("a"), "cx", "cy", "cz", offs.alias("o"))
+    left = moved.select(*keys, "a", *((F.col("c" + c) + F.col("o." + k)).alias("c" + c) for c, k in zip(AXES, "ijk", strict=True)))
+    return left.join(cells.select(*keys, "cx", "cy", "cz", F.col("node").alias("b")), [*keys, "cx", "cy", "cz"]).select("a", "b")
 
 
 def voxel_components(points: DataFrame, eps: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``point_id, component``: the smallest point id in cells connected to the
-    point's own. With keys (one column), components stay inside a key."""
+    """``point_id, component`` (and the keys): the smallest point id in cells
+    connected to the point's own; with keys, components stay inside a key. A
+    cell's node is its smallest point id."""
     edge = CELL * eps
     own = points.select(*keys, ID, *(F.floor(F.col(c) / edge).alias("c" + c) for c in AXES))
-    if keys:
-        return _components_by_key(own, own.select(*keys, "cx", "cy", "cz").distinct(), keys)
-    cells = own.select("cx", "cy", "cz").distinct()
-    labels = connected_components(cell_adjacency(cells))
-    packed = own.select(ID, _packed(F.col("cx"), F.col("cy"), F.col("cz")).alias("node"))
-    labelled = packed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min(ID).alias("component"))
-    return labelled.join(least, "label").select(ID, "component")
-
-
-def _components_by_key(own: DataFrame, cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """As voxel_components inside each key: cells get ids by hash of key and cell."""
-    ident = lambda: F.xxhash64(*keys, "cx", "cy", "cz")
-    offs = F.explode(F.array(*[F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(o, "ijk", strict=True))) for o in HALF_OFFSETS]))
-    left = cells.select(*keys, ident().alias("a"), "cx", "cy", "cz", offs.alias("o")).select(*keys, "a", *((F.col("c" + c) + F.col("o." + k)).alias("c" + c) for c, k in zip(AXES, "ijk", strict=True)))
-    edges = left.join(cells.select(*keys, "cx", "cy", "cz", ident().alias("b")), [*keys, "cx", "cy", "cz"]).select("a", "b")
-    labels = connected_components(edges)
-    labelled = own.select(*keys, ID, ident().alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = labelled.groupBy("label").agg(F.min(ID).alias("component"))
-    return labelled.join(least, "label").select(*keys, ID, "component")
+    cells = materialise(own.groupBy(*keys, "cx", "cy", "cz").agg(F.min(ID).alias("node")))
+    labels = connected_components(cell_adjacency(cells, keys))
+    named = cells.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("node", "label")
+    return own.join(named, [*keys, "cx", "cy", "cz"]).select(*keys, ID, "component")
 
 
 def region_offsets(regions: DataFrame, chunk: str = "chunk_id") -> DataFrame:
@@ -139,14 +119,30 @@ def clean_up(points: DataFrame, regions: DataFrame, epsilon: float = 0.03, k: fl
     return regions.join(best, regions[ID] == best["q_id"], "left").withColumn("region_id", F.coalesce("_new", "region_id")).drop("q_id", "_new")
 
 
-def region_graph(points: DataFrame, regions: DataFrame, radius: float) -> DataFrame:
-    """``src, dst, n_boundary, boundary``: region pairs (src < dst) with points
-    within the radius of each other, and how many points lie at the border."""
+def region_boundaries(points: DataFrame, regions: DataFrame, radius: float) -> DataFrame:
+    """``src, dst, point_id``: for region pairs (src < dst) with points within
+    the radius of each other, these points; the edges of the region graph with
+    what they carry, a row a point."""
     p = points.select(ID, *AXES).join(regions.select(ID, "region_id").where("region_id >= 0"), ID)
     pairs = neighbor_pairs(p, p, radius)
     r = p.select(ID, "region_id")
     j = pairs.join(r.select(F.col(ID).alias("q_id"), F.col("region_id").alias("rq")), "q_id").join(r.select(F.col(ID).alias("p_id"), F.col("region_id").alias("rp")), "p_id").where("rq <> rp")
-    return j.select(F.least("rq", "rp").alias("src"), F.greatest("rq", "rp").alias("dst"), F.col("q_id").alias(ID)).distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_boundary"), F.min(ID).alias("first_id"))
+    return j.select(F.least("rq", "rp").alias("src"), F.greatest("rq", "rp").alias("dst"), F.col("q_id").alias(ID)).distinct()
+
+
+def region_graph(points: DataFrame, regions: DataFrame, radius: float) -> DataFrame:
+    """``src, dst, n_boundary, first_id``: the region pairs and how many points
+    lie at their border."""
+    return region_boundaries(points, regions, radius).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_boundary"), F.min(ID).alias("first_id"))
+
+
+def plane_fits(points: DataFrame, regions: DataFrame, epsilon: float, k: float) -> DataFrame:
+    """``region_id, n, n_far``: members of each region, and how many lie more
+    than k epsilon from the region's plane."""
+    p = points.select(ID, *AXES).join(regions.where("region_id >= 0").select(ID, "region_id"), ID)
+    fit = plane_fit(p, "region_id").select("region_id", "cx", "cy", "cz", "normal")
+    far = F.abs(sum((F.col(c) - F.col("c" + c)) * F.get("normal", F.lit(i)) for i, c in enumerate(AXES))) > k * epsilon
+    return p.join(fit, "region_id").groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("n_far"))
 
 
 def regions_per_chunk(regions: DataFrame, chunk: str = "chunk_id") -> DataFrame:

@@ -13,12 +13,11 @@ ID = "point_id"
 
 def polygon_select(points: DataFrame, polygon, matrix, w: float, h: float, mode: str = "in") -> DataFrame:
     """Points whose projection lies in the polygon, or all others (``out``)."""
-    sx, sy, _ = project(F.col("x"), F.col("y"), F.col("z"), matrix, w, h)
-    on = points.select(ID, sx.alias("sx"), sy.alias("sy"))
-    inside = in_polygon(F.col("sx"), F.col("sy"), polygon)
     if len(polygon) < 3:
         return points.select(ID).limit(0)
-    return on.where(inside if mode == "in" else ~inside).select(ID)
+    sx, sy, _ = project(F.col("x"), F.col("y"), F.col("z"), matrix, w, h)
+    inside = in_polygon(sx, sy, polygon)
+    return points.where(inside if mode == "in" else ~inside).select(ID)
 
 
 def similar_select(points: DataFrame, field: str, picked: int, tol: float) -> DataFrame:
@@ -65,6 +64,16 @@ def invalid_selection(points: DataFrame, selection: DataFrame) -> DataFrame:
     return selection.join(points, ID, "left_anti")
 
 
+def invalid_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
+    """``point_id, rule``: points without a value in the mask (point_id,
+    visible), ids that are no points, and ids with several values; empty if the
+    mask is valid."""
+    own = mask.groupBy(ID).agg(F.count(F.lit(1)).alias("n"), F.count("visible").alias("set"))
+    both = points.select(ID, F.lit(True).alias("known")).join(own, ID, "full")
+    rule = F.when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(F.coalesce("set", F.lit(0)) == 0, "missing")
+    return both.select(ID, rule.alias("rule")).where("rule is not null")
+
+
 def _flagged(points: DataFrame, selection: DataFrame) -> DataFrame:
     return points.join(selection.select(ID).distinct().withColumn("_in", F.lit(True)), ID, "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
 
@@ -101,13 +110,18 @@ def bbox_filter(points: DataFrame, low, high) -> DataFrame:
     return points
 
 
-def with_position(points: DataFrame, buckets: int = 64, name: str = "position") -> DataFrame:
+def with_position(points: DataFrame, buckets: int | None = None, name: str = "position") -> DataFrame:
     """Number the rows from 0 by point id without one task seeing all: ids are
-    cut in equal ranges of their span, ranges are counted, and each row's rank
-    within its range is added to the counts before it."""
-    span = F.broadcast(points.agg(F.min(ID).alias("_lo"), F.max(ID).alias("_hi")))
-    b = F.floor((F.col(ID) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
-    cut = points.crossJoin(span).withColumn("_b", b).drop("_lo", "_hi")
+    cut at their approximate quantiles, so that buckets are alike in size
+    however the ids are spread; buckets are counted, and each row's rank within
+    its bucket is added to the counts before it. ``buckets`` is the number of
+    shuffle partitions unless given, 1000 at most."""
+    n = min(1000, buckets or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / n for i in range(1, n)]
+    cuts = points.agg(F.percentile_approx(ID, shares, 10 * n)).first()[0] if shares else []
+    cuts = sorted(set(cuts or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(ID))) if cuts else F.lit(0)
+    cut = points.withColumn("_b", bucket)
     sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(ID)) - 1
