@@ -114,7 +114,7 @@ def radius_query(spark, d):
 @query(
     f"""WITH {L_SQL}, lo AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM points_l),
   c AS (SELECT point_id, CAST(trunc((x - mx) * 1.0) AS BIGINT) AS cx, CAST(trunc((y - my) * 1.0) AS BIGINT) AS cy, CAST(trunc((z - mz) * 1.0) AS BIGINT) AS cz FROM points_l, lo)
-SELECT ((cx & 2097151) << 42) | ((cy & 2097151) << 21) | (cz & 2097151) AS voxel, count(*) AS n, min(point_id) AS first_id FROM c GROUP BY 1"""
+SELECT cx, cy, cz, count(*) AS n, min(point_id) AS first_id FROM c GROUP BY cx, cy, cz"""
 )
 def voxel_counts(spark, d):
     return grid.voxel_groups(points_l(spark, d), 1.0)
@@ -286,10 +286,24 @@ def coarse_lod(spark, d):
     return select.every_kth(points_l(spark, d)).select("point_id")
 
 
-@query(f"WITH {E_SQL} SELECT count(*) AS n_invalid FROM points_e WHERE point_id % 3 = 0 AND false")
+@query(f"WITH {E_SQL} SELECT 3 * point_id AS point_id FROM points_e WHERE 3 * point_id NOT IN (SELECT point_id FROM points_e)")
 def invalid_selection(spark, d):
+    """Three times each id, many of which are no points."""
     p = points_e(spark, d)
-    return select.invalid_selection(p, p.where("point_id % 3 = 0").select("point_id")).agg(F.count(F.lit(1)).alias("n_invalid"))
+    return select.invalid_selection(p, p.select((3 * F.col("point_id")).alias("point_id")))
+
+
+@query(
+    f"""WITH {E_SQL}, k AS (SELECT point_id FROM points_e WHERE point_id % 5 <> 0 UNION ALL SELECT point_id FROM points_e WHERE point_id % 7 = 1 UNION ALL SELECT -1 - point_id FROM points_e WHERE point_id % 100 = 1),
+  m AS (SELECT point_id, count(*) AS n FROM k GROUP BY point_id)
+SELECT coalesce(p.point_id, m.point_id) AS point_id, CASE WHEN p.point_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'repeated' ELSE 'missing' END AS rule
+FROM points_e p FULL JOIN m ON p.point_id = m.point_id WHERE p.point_id IS NULL OR n IS NULL OR n > 1"""
+)
+def invalid_mask(spark, d):
+    """A mask that lacks points, has others twice, and ids that are no points."""
+    p = points_e(spark, d).select("point_id", F.lit(True).alias("visible"))
+    other = p.where("point_id % 100 = 1").withColumn("point_id", -1 - F.col("point_id"))
+    return select.invalid_mask(p, p.where("point_id % 5 <> 0").unionAll(p.where("point_id % 7 = 1")).unionAll(other))
 
 
 @query(f"WITH {E_SQL} SELECT point_id FROM points_e WHERE x BETWEEN 5 AND 9 AND y BETWEEN 1 AND 6 AND z BETWEEN 2 AND 7")
@@ -359,14 +373,16 @@ def annotate(spark, d):
     return labels.annotate(p, select.class_select(p, {"sem": [1]}), "sem", 9, "inst").select("point_id", "sem", "inst")
 
 
-_LOG = "lg AS (SELECT event_id AS edit_seq, event_id % 1000 AS point_id, CAST(event_id % 11 AS INT) AS new FROM events)"
+_LOG = "lg AS (SELECT event_id AS edit_seq, event_id * 7 % (SELECT max(event_id) FROM events) AS point_id, CAST(event_id % 11 AS INT) AS new FROM events)"
 
 
-@query(f"WITH {E_SQL}, {_LOG}, u AS (SELECT point_id, arg_max(new, edit_seq) AS new FROM lg WHERE edit_seq <= 4000 GROUP BY point_id) SELECT p.point_id, coalesce(u.new, p.sem) AS sem FROM points_e p LEFT JOIN u ON u.point_id = p.point_id")
+@query(f"WITH {E_SQL}, {_LOG}, u AS (SELECT point_id, arg_max(new, edit_seq) AS new FROM lg WHERE edit_seq <= (SELECT max(edit_seq) * 3 // 4 FROM lg) GROUP BY point_id) SELECT p.point_id, coalesce(u.new, p.sem) AS sem FROM points_e p LEFT JOIN u ON u.point_id = p.point_id")
 def edit_replay(spark, d):
+    """A log over all points, replayed to three quarters of its length."""
     p = points_e(spark, d)
-    log = p.select(F.col("point_id").alias("edit_seq"), (F.col("point_id") % 1000).alias("point_id"), F.lit("sem").alias("field"), (F.col("point_id") % 11).cast("int").alias("new"))
-    return labels.replay_edits(p, log, "sem", 4000).select("point_id", "sem")
+    last = p.agg(F.max("point_id")).first()[0]
+    log = p.select(F.col("point_id").alias("edit_seq"), (F.col("point_id") * 7 % last).alias("point_id"), F.lit("sem").alias("field"), (F.col("point_id") % 11).cast("int").alias("new"))
+    return labels.replay_edits(p, log, "sem", last * 3 // 4).select("point_id", "sem")
 
 
 @query(f"WITH {E_SQL} SELECT DISTINCT id FROM (SELECT sem AS id FROM points_e UNION ALL SELECT inst FROM points_e UNION ALL SELECT -1)")
@@ -499,12 +515,51 @@ def segment_chunked(spark, d):
     return segment.segment_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id")
 
 
-@query()
+@query(
+    f"""WITH {E_SQL}, rg AS (SELECT point_id, x, y, z, CASE WHEN inst = 0 THEN -1 ELSE sem END AS region_id FROM points_e), i AS (SELECT * FROM rg WHERE region_id >= 0),
+  m AS (SELECT region_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM i GROUP BY region_id),
+  o AS (SELECT i.region_id, m.n, m.sx, m.sy, m.sz, i.x - round(m.sx / m.n) AS dx, i.y - round(m.sy / m.n) AS dy, i.z - round(m.sz / m.n) AS dz FROM i JOIN m ON i.region_id = m.region_id),
+  t AS (SELECT region_id, any_value(n) AS n, any_value(sx) AS sx, any_value(sy) AS sy, any_value(sz) AS sz, sum(dx) AS tx, sum(dy) AS ty, sum(dz) AS tz, sum(dx * dx) AS a1, sum(dx * dy) AS a2, sum(dx * dz) AS a3,
+    sum(dy * dy) AS a4, sum(dy * dz) AS a5, sum(dz * dz) AS a6 FROM o GROUP BY region_id),
+  s AS (SELECT region_id, n, sx, sy, sz, a1 - tx * tx / n AS xx, a2 - tx * ty / n AS xy, a3 - tx * tz / n AS xz, a4 - ty * ty / n AS yy, a5 - ty * tz / n AS yz, a6 - tz * tz / n AS zz FROM t),
+  {_eigen_sql('s')}, {_normal_sql()}, pl AS (SELECT region_id, sx / n AS px, sy / n AS py, sz / n AS pz, ux, uy, uz FROM n7 WHERE ux IS NOT NULL),
+  near AS (SELECT g.point_id, any_value(g.x) AS x, any_value(g.y) AS y, any_value(g.z) AS z, i.region_id, min(sqrt((i.x - g.x) * (i.x - g.x) + (i.y - g.y) * (i.y - g.y) + (i.z - g.z) * (i.z - g.z))) AS d
+    FROM rg g JOIN i ON i.x BETWEEN g.x - 0.5 AND g.x + 0.5 WHERE g.region_id < 0 AND (i.x - g.x) * (i.x - g.x) + (i.y - g.y) * (i.y - g.y) + (i.z - g.z) * (i.z - g.z) <= 0.25 GROUP BY g.point_id, i.region_id),
+  cand AS (SELECT point_id, near.region_id, d, abs((x - px) * ux + (y - py) * uy + (z - pz) * uz) AS plane FROM near JOIN pl ON near.region_id = pl.region_id),
+  best AS (SELECT point_id, region_id, row_number() OVER (PARTITION BY point_id ORDER BY d / 0.5 + plane / 1.5, region_id) AS k FROM cand WHERE plane < 1.5)
+SELECT rg.point_id, coalesce(best.region_id, rg.region_id) AS region_id FROM rg LEFT JOIN best ON best.point_id = rg.point_id AND k = 1"""
+)
 def clean_up(spark, d):
     p = points_e(spark, d)
     return segment.clean_up(p, p.select("point_id", F.when(F.col("inst") == 0, -1).otherwise(F.col("sem")).alias("region_id")), 0.5, 3.0)
 
 
+def _faults(points, regions, epsilon, least):
+    """One row: how many regions are too small, not in one piece, or not named
+    by their smallest member; and how many points have a row."""
+    p = points.select("point_id", *"xyz").join(regions, "point_id")
+    inside = p.where("region_id >= 0")
+    parts = segment.voxel_components(inside, epsilon, ("region_id",)).groupBy("region_id").agg(F.count_distinct("component").alias("parts"), F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first"))
+    bad = parts.agg(F.count_if(F.col("n") < least).alias("n_small"), F.count_if(F.col("parts") > 1).alias("n_split"), F.count_if(F.col("first") != F.col("region_id")).alias("n_misnamed"))
+    return bad.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n_points"))))
+
+
+_FAULTS = f"WITH {E_SQL} SELECT 0 AS n_small, 0 AS n_split, 0 AS n_misnamed, count(*) AS n_points FROM points_e"
+
+
+@query(_FAULTS)
+def segment_planes_faults(spark, d):
+    """What every segmentation must hold to, whatever order regions are found in."""
+    p = points_e(spark, d)
+    return _faults(p, segment.segment_planes(p, epsilon=0.8, min_points=4), 0.8, 4)
+
+
+@query(_FAULTS)
+def segment_chunked_faults(spark, d):
+    p = grid.chunk_by_number(points_e(spark, d), 2, 2, 1)
+    return _faults(p, segment.segment_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id").drop("chunk_id"), 0.8, 4)
+
+
 @query(
     f"""WITH {E_SQL}, pr AS (SELECT least(a.inst, b.inst) AS src, greatest(a.inst, b.inst) AS dst, a.point_id FROM points_e a JOIN points_e b ON b.x BETWEEN a.x - 0.25 AND a.x + 0.25
   WHERE a.inst <> b.inst AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 0.0625)
@@ -515,6 +570,15 @@ def region_graph(spark, d):
     return segment.region_graph(p, p.select("point_id", F.col("inst").alias("region_id")), 0.25)
 
 
+@query(
+    f"""WITH {E_SQL} SELECT DISTINCT least(a.inst, b.inst) AS src, greatest(a.inst, b.inst) AS dst, a.point_id FROM points_e a JOIN points_e b ON b.x BETWEEN a.x - 0.25 AND a.x + 0.25
+  WHERE a.inst <> b.inst AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 0.0625"""
+)
+def region_boundaries(spark, d):
+    p = points_e(spark, d)
+    return segment.region_boundaries(p, p.select("point_id", F.col("inst").alias("region_id")), 0.25)
+
+
 @query(f"WITH {L_SQL}, {_BOX} SELECT CAST(floor((x - lx) / ((hx - lx) / 4)) * 3 * 2 + floor((y - ly) / ((hy - ly) / 3)) * 2 + floor((z - lz) / ((hz - lz) / 2)) AS BIGINT) AS chunk_id, point_id % 7 AS region_id, count(*) AS n_members FROM points_l, b GROUP BY 1, 2")
 def regions_per_chunk(spark, d):
     p = grid.chunk_by_number(points_l(spark, d), 4, 3, 2)
@@ -572,8 +636,7 @@ def document_names(spark, d):
 
 @query(f"WITH {E_SQL} SELECT min(intensity) AS lo, max(intensity) AS hi FROM points_e WHERE inst <> 3")
 def scalar_range(spark, d):
-    p = points_e(spark, d).withColumn("visible", F.col("inst") != 3)
-    return select.visible_points(p).agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"))
+    return grid.scalar_range(points_e(spark, d).withColumn("visible", F.col("inst") != 3), "intensity")
 
 
 @query(f"WITH {E_SQL} SELECT point_id, CAST(CASE WHEN sem < 0 THEN 0 ELSE sem * 10 END AS INT) AS r FROM points_e")
@@ -592,3 +655,4 @@ def document_catalog(spark, d):
     return documents.read_documents(spark, root).join(listed, "doc_name", "left_semi").groupBy("doc_name").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+from . import table_queries, value_queries  # noqa: E402, F401  (they register theirs)

@@ -184,6 +184,30 @@ def test_ply_round_trip(spark, tmp_path):
         read_ply(spark, str(tmp_path / "b.ply")).count()
 
 
+def test_ascii_ply_is_read_in_splits(spark, tmp_path):
+    rows = [(i, float(i), i / 2, -1.0, i % 256) for i in range(3000)]
+    head = "ply\nformat ascii 1.0\ncomment made by hand\nelement vertex 3000\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "a.ply").write_text(head + "".join(f"{x} {y}  {z} {r}\n" for _, x, y, z, r in rows) + "3 0 1 2\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = read_ply(spark, str(tmp_path / "a.ply"))
+        assert df.rdd.getNumPartitions() > 3
+        assert sorted(tuple(r) for r in df.collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_by_uri(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(10)], "point_id long, x float, y float, z float")
+    write_ply(df, f"file://{tmp_path}/out")
+    assert read_ply(spark, f"file://{tmp_path}/out").count() == 10
+    np.save(tmp_path / "t.npy", np.arange(4))
+    assert read_npy(spark, f"file://{tmp_path}/t.npy").count() == 4
+    with pytest.raises(FileNotFoundError):
+        read_ply(spark, str(tmp_path / "none" / "*.ply"))
+
+
 def test_npy(spark, tmp_path):
     np.save(tmp_path / "normals.npy", np.arange(6.0).reshape(2, 3))
     assert [tuple(r) for r in read_npy(spark, str(tmp_path / "normals.npy")).orderBy("point_id").collect()] == [(0, 0.0, 1.0, 2.0), (1, 3.0, 4.0, 5.0)]
@@ -205,6 +229,96 @@ def test_documents_and_log(spark, tmp_path):
     assert toollog.read_tool_log(spark, str(tmp_path / "log")).first().tool == "lasso"
 
 
+def test_documents_are_not_saved_twice(spark, tmp_path):
+    p = spark.createDataFrame([("a", "PCD_0001", 0, 1.0)], "doc_name string, cloud_id string, point_id long, x double")
+    documents.write_documents(p, str(tmp_path / "d"))
+    with pytest.raises(ValueError, match="document a exists"):
+        documents.write_documents(p, str(tmp_path / "d"))
+    assert documents.read_documents(spark, str(tmp_path / "d")).count() == 1
+    assert documents.read_log(spark, str(tmp_path / "d")).count() == 0
+    assert documents.list_documents(spark, str(tmp_path / "nothing")).count() == 0
+    spark.read.parquet(str(tmp_path / "d/documents")).withColumn("format_version", F.lit(9)).write.parquet(str(tmp_path / "e/documents"))
+    with pytest.raises(Exception, match="format version 9"):
+        documents.list_documents(spark, str(tmp_path / "e")).collect()
+    with pytest.raises(ValueError, match="exists"):
+        documents.add_cloud(p, p, "PCD_0001")
+
+
+def test_cells_of_any_range(spark):
+    utm = [(i, 500_000 + 0.01 * i, 5_500_000.0, 100.0) for i in range(5)] + [(9, 500_000.0, 5_621_000.0, 100.0), (10, -4e9, 4e9, 0.0)]
+    p = spark.createDataFrame(utm, P)
+    got = {r.point_id: r.component for r in segment.voxel_components(p, 0.05).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9, 10: 10}
+    far = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 20_971.52, 0.0, 0.0)], P)
+    assert grid.voxel_groups(far, 0.01).count() == 2 and grid.occupied_cells(far, 0.01).first().n_cells == 2
+    two = segment.voxel_components(p.withColumn("k", F.col("point_id") % 2), 0.05, ("k",))
+    assert {(r.k, r.point_id): r.component for r in two.collect()}[(1, 3)] == 1
+
+
+def test_positions_of_uneven_ids(spark):
+    ids_ = [0, 1, 2, 3, 10**15, 10**15 + 1, *range(10**17, 10**17 + 300)]
+    p = spark.createDataFrame([(i,) for i in ids_], "point_id long").repartition(3)
+    for n in (1, 2, 16, None):
+        assert sorted((r.point_id, r.position) for r in select.with_position(p, n).collect()) == [(v, k) for k, v in enumerate(ids_)]
+    assert select.with_position(p.limit(0)).count() == 0
+
+
+def test_widths_rows_and_masks(spark):
+    p = spark.createDataFrame([(0, 1.0, 1.0, 1.0, [1.0, 2.0, 3.0]), (1, 1.0, 1.0, 1.0, [4.0, 5.0, 6.0])], "point_id long, x double, y double, z double, v array<float>")
+    same, wider = (fields.edit_fields(p, [fields.Edit("v", "VECTOR", n, "v")]).orderBy("point_id").first().v for n in (3, 4))
+    assert same == [1.0, 2.0, 3.0] and wider == [0.0] * 4
+    for bad in ([(0, 1.0)], [(0, 1.0), (1, 1.0), (1, 2.0)], [(0, 1.0), (1, 1.0), (2, 1.0)]):
+        with pytest.raises(ValueError, match="one row"):
+            fields.add_field(p, "w", data=spark.createDataFrame(bad, "point_id long, value double"))
+    with pytest.raises(ValueError):
+        fields.import_fields(p, p.limit(1), {0: "x", 1: "y", 2: "z"}, [])
+    with pytest.raises(KeyError):
+        fields.field(p, "nothing")
+    mask = spark.createDataFrame([(0, True), (0, False), (7, True)], "point_id long, visible boolean")
+    assert {(r.point_id, r.rule) for r in select.invalid_mask(p, mask).collect()} == {(0, "repeated"), (1, "missing"), (7, "unknown")}
+
+
+def test_clouds_from_arrays(spark):
+    r = cloud_from_arrays(spark, np.arange(6.0).reshape(2, 3), np.full((2, 3), 255, np.uint8)).orderBy("point_id").collect()
+    assert (r[1].x, r[1].z, r[1].colors) == (3.0, 5.0, [255, 255, 255])
+    with pytest.raises(ValueError):
+        cloud_from_arrays(spark, np.zeros((2, 3)), np.zeros((3, 3)))
+
+
+def test_schema_edits(spark):
+    c = spark.createDataFrame([(0, "a"), (1, "b")], "id int, name string")
+    left = c.where("id = 1").withColumn("original_id", F.col("id"))
+    assert {(r.old_id, r.new_id) for r in schema.schema_diff(c, left, {0: 4}).collect()} == {(0, 4), (1, 1)}
+    with pytest.raises(Exception, match="no target for removed class 0"):
+        schema.schema_diff(c, left).collect()
+    assert schema.violations(c, name="s", known=spark.createDataFrame([("t",)], "schema_name string"), derived_from="t").count() == 0
+    with pytest.raises(ValueError):
+        schema.add_class(c, "a", (1, 1, 1))
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from nubes.functions import storage
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.work_dir(away)
+    t = storage.materialise(spark.range(3))
+    path = t._written_to.removeprefix("file:")
+    assert t.count() == 3 and len(list(__import__("pathlib").Path(path).glob("*.parquet")))
+    storage.discard(t, None, spark.range(1))
+    assert not __import__("pathlib").Path(path).exists()
+
+
+def test_components_of_a_long_path(spark):
+    from nubes.functions.storage import connected_components
+
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (None, 5), (7, None)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
 def test_segments_round_trip(spark, tmp_path):
     p = spark.createDataFrame([(0, 4, [255.0, 0.0]), (1, 9, [0.5, 1.0])], "point_id long, sem int, c array<double>")
     documents.split_by_label(p, "sem", str(tmp_path / "s"))
