@@ -95,7 +95,10 @@ def normals(spark, d):
     return n.select("point_id", *(steady(F.get("normal", F.lit(i)), 2).alias("n" + c) for i, c in enumerate("xyz")))
 
 
-@query()
+@query(
+    f"WITH {Q_SQL}, {PAIRS_SQL}, {SUMS_SQL}, {_eigen_sql('s')}, {_normal_sql()} "
+    f"SELECT q_id AS point_id, {_steady_sql('ux', 2)} AS nx, {_steady_sql('uy', 2)} AS ny, {_steady_sql('uz', 2)} AS nz FROM n7"
+)
 def normals_all(spark, d):
     """As normals, for every point of the cloud."""
     p = quantised(points_e(spark, d))
@@ -334,6 +337,13 @@ def remap(spark, d):
     return labels.remap(points_e(spark, d), "sem", [(0, 3), (3, 0), (1, 5), (1, 7)]).select("point_id", "sem")
 
 
+@query(f"WITH {L_SQL} SELECT point_id, CASE CAST(point_id % 10 AS INT) WHEN 0 THEN 9 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 9 THEN 5 ELSE CAST(point_id % 10 AS INT) END AS label FROM points_l")
+def remap_large(spark, d):
+    """Seven pairs over the large view."""
+    p = points_l(spark, d).withColumn("label", (F.col("point_id") % 10).cast("int"))
+    return labels.remap(p, "label", [(0, 9), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (9, 5)]).select("point_id", "label")
+
+
 @query(f"WITH {E_SQL} SELECT point_id, CASE WHEN inst IN (1, 2, 3) THEN inst + 10 ELSE inst END AS inst FROM points_e")
 def remap_by_table(spark, d):
     p = points_e(spark, d)
