@@ -3,12 +3,15 @@ vectorised word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialise, work_dir  # noqa: F401
+from ..functions.storage import discard, materialise, work_dir  # noqa: F401
 
 SPACES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
@@ -23,10 +26,46 @@ def crc_mod(col, n: int):
     return F.pmod(F.crc32(F.encode(col.cast("string"), "utf-8")), F.lit(n))
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows that hold whole texts: Arrow
+    batches have BATCH_ROWS rows unless the session sets another number, and a
+    task gives its free memory back, since Python workers live on."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == "10000":
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+    def tidy(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Return what Arrow's pool and the C library hold unused to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D | 1
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,30 +76,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inv = pow(_BASE, -1, 1 << 64)
-    out = []
-    for b in (_BASE, inv):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-_POW: list = []
+LONG_WORD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of one UTF-8 buffer (maximal runs without the
     six ASCII blanks, A-Z lower-cased), in order.
 
-    A word's hash is its polynomial value, taken as a difference of prefix
-    sums, then mixed. Buffers beyond SLICE_BYTES are cut at blanks, so memory
-    does not grow with the text.
+    A word is read in steps of eight bytes, each mixed into its hash before the
+    next, so words that differ in the order or pairing of letters do not meet
+    as they do in a polynomial; words beyond LONG_WORD bytes go through
+    BLAKE2b. Buffers beyond SLICE_BYTES are cut at blanks, so memory does not
+    grow with the text.
     """
     n = len(raw)
     if n <= SLICE_BYTES:
@@ -80,18 +112,32 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a buffer begin and end."""
+    edge = np.flatnonzero(np.diff(~_IS_SPACE[raw], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
 def _slice_hashes(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64)
-    if not _POW or len(_POW[0]) <= n:
-        _POW[:] = _powers(max(SLICE_BYTES, n) + 1)
-    word = ~_IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    s, e = edge[::2], edge[1::2]
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _POW[0][:n], out=c[1:])
-    return mix64((c[e] - c[s]) * _POW[1][s])
+    s, e = word_bounds(raw)
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    eight = np.ndarray(n + 1, "<u8", low.data, strides=(1,))
+    size = e - s
+    h = mix64(size.astype(np.uint64))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            live = live[size[live] > at]
+        if not len(live):
+            break
+        h[live] = mix64(h[live] ^ (eight[s[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(low[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def each_text(batch: pa.RecordBatch, col: str = "text"):
@@ -114,21 +160,42 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(m, np.uint64)
+    h = np.full(m, n, np.uint64)
     for i in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m]
-    return mix64(h)
+        h = mix64(h ^ words[i : i + m])
+    return h
+
+
+def run_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """As ngram_hashes for long runs: hashes of 1, 2, 4, ... words are put
+    together, so the cost grows with the logarithm of ``n``. Another ``lane``
+    gives independent hashes."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    h, width, at, out = mix64(words ^ np.uint64(lane)), 1, 0, None
+    while True:
+        if n & width:
+            part = h[at : at + m]
+            out = part if out is None else mix64(out * _M1 ^ part)
+            at += width
+        if 2 * width > n:
+            return out
+        h = mix64(h[:-width] * _M2 ^ h[width:])
+        width *= 2
 
 
 # ------------------------------------------------------ bounded bit filters
 
-BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 
-def bit_filter(df: DataFrame, col: str, bits: int = BITS):
-    """A broadcast bit set of ``bits`` bits (8 MB, whatever the input) of the
-    hashes in ``col``. It only spares work: members always pass, the few others
-    that pass are removed by the exact joins that follow."""
+def bit_filter(df: DataFrame, col: str):
+    """A broadcast bit set of the hashes in ``col``: 16 bits for each row of
+    ``df``, at least 8 KB and never more than 32 MB. It only spares work: members
+    always pass, the others that pass are removed by the exact joins that follow."""
+    n = df.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
     idx = F.pmod(F.col(col), F.lit(bits)) + 1
     rows = (
         df.select(idx.alias("i"))
@@ -150,9 +217,8 @@ def passes(bitset: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitset[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def split_by_filter(docs: DataFrame, bitset, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be a member, rows whose key is none); null keys are
-    none. Only the first part then has to be shuffled for an exact join."""
+def may_have(bitset, col: str):
+    """A column: may the long ``col`` be a member? Null is none."""
 
     @F.pandas_udf("boolean")
     def maybe(ids):
@@ -161,7 +227,33 @@ def split_by_filter(docs: DataFrame, bitset, key: str = "doc_id") -> tuple[DataF
         ok = ids.notna().to_numpy()
         return pd.Series(ok & passes(bitset.value, ids.fillna(0).to_numpy().astype(np.int64).view(np.uint64)))
 
-    hit = maybe(F.col(key).cast("long"))
+    return maybe(F.col(col).cast("long"))
+
+
+HOT, SPREAD = 5000, 64
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], by: str, count: str = "n") -> DataFrame:
+    """Inner join of many ``rows`` with unique ``keys``, whose ``count`` says how
+    many rows each has. Keys with more than HOT rows are repeated SPREAD times,
+    and their rows spread over the copies by the hash of ``by``, so that no key
+    binds its rows to one task. on[0] is a long."""
+    hot = keys.where(F.col(count) > HOT).select(on[0])
+    keys = keys.drop(count)
+    if not hot.limit(1).count():
+        return rows.join(keys, on)
+    hit = may_have(bit_filter(hot, on[0]), on[0])
+    salt = fresh(rows, "salt")[0]
+    left = rows.withColumn(salt, F.when(hit, F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0))
+    right = keys.withColumn(salt, F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")))
+    return left.join(right, [*on, salt]).drop(salt)
+
+
+def split_by_filter(docs: DataFrame, bitset, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be a member, rows whose key is none); null keys are
+    none. Only the first part then has to be shuffled for an exact join."""
+
+    hit = may_have(bitset, key)
     return docs.where(hit), docs.where(~hit)
 
 

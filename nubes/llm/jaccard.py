@@ -22,7 +22,9 @@ sets; sets of similarity J or more lie within 1 - J by the first, and within
    and near enough by their own sketches, are compared exactly. A block ends
    when it is one component or every pair is decided, so the result is exact.
 
-Equal sets are one node. A class content that one set alone has is dropped by
+N-grams are compared by 64-bit hashes that mix whole words. Equal sets are one
+node: sets are told apart by 128 bits, and a node's 64-bit name is changed where
+two sets would share it. A class content that one set alone has is dropped by
 a count and a bit filter of fixed size before blocks are formed. Joins on
 blocks may be split by Spark; no pairs of a whole block are made.
 
@@ -42,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import connected_components, materialise
-from .common import bit_filter, drop_ids, each_text, mix64, ngram_hashes, passes, word_hashes
+from ..functions.storage import connected_components, discard, materialise
+from .common import bit_filter, drop_ids, each_text, map_texts, mix64, ngram_hashes, passes, word_hashes
 
 SKETCH, FIRST_WAVE = 1024, 64
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -57,8 +59,31 @@ def shingle_set(raw: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(w, n) if len(w) >= n else ngram_hashes(w, len(w)) ^ np.uint64(len(w)))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def fingerprint(s: np.ndarray, clash: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(name, check) of a set, 64 bits each; a name in ``clash`` is replaced by
+    one that the check takes part in."""
+    sums = np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ _C3).sum(dtype=np.uint64)])
+    name, check = mix64(sums + np.uint64(len(s))).view(np.int64).tolist()
+    if name in clash:
+        name = int(mix64(np.array([name ^ check], np.int64).view(np.uint64)).view(np.int64)[0])
+    return name, check
+
+
+class Seen:
+    """A table of fixed size of the names a task met last: repeats that it
+    remembers are spared, others go on to the exact steps."""
+
+    SIZE = 1 << 16
+
+    def __init__(self):
+        self.names = np.arange(1, self.SIZE + 1)  # no name has another's place
+
+    def __call__(self, name: int) -> bool:
+        at = name & (self.SIZE - 1)
+        if self.names[at] == name:
+            return True
+        self.names[at] = name
+        return False
 
 
 class Regions:
@@ -95,26 +120,41 @@ class Regions:
         return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, fp, n_shingles`` of each row; fp is null for empty sets."""
+def _sets(docs: DataFrame, n: int, clash: frozenset[int]) -> DataFrame:
+    """``doc_id, fp, check, n_shingles`` of each row; fp is null for empty sets."""
 
     def run(batches):
         for b in batches:
-            fp, size = [], []
+            fp, check, size = [], [], []
             for raw in each_text(b):
                 s = shingle_set(raw, n)
-                fp.append(fingerprint(s) if len(s) else None), size.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "fp", "n_shingles"])
+                one = fingerprint(s, clash) if len(s) else (None, None)
+                fp.append(one[0]), check.append(one[1]), size.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (fp, check, size))], names=["doc_id", "fp", "check", "n_shingles"])
+
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long, check long, n_shingles long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n_shingles long")
+def _named_sets(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset[int]]:
+    """The rows of _sets, and the names that two sets would share: as good as
+    none, a handful among 10^10 sets."""
+    clash: frozenset[int] = frozenset()
+    while True:
+        rows = materialise(_sets(docs, n, clash))
+        twice = rows.groupBy("fp").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi")
+        new = {r["fp"] for r in twice.collect()}
+        if not new:
+            return rows.drop("check"), clash
+        discard(rows)
+        clash |= new
 
 
-def _contents(docs: DataFrame, n: int, regions: Regions, keep=None) -> DataFrame:
+def _contents(docs: DataFrame, n: int, regions: Regions, clash: frozenset[int], keep=None) -> DataFrame:
     """``content, fp`` of each set, equal sets once a task; with ``keep``
     only contents that pass the bit filter."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for b in batches:
             toks, fps, rows = [], [], 0
 
@@ -125,11 +165,9 @@ def _contents(docs: DataFrame, n: int, regions: Regions, keep=None) -> DataFrame
                 s = shingle_set(raw, n)
                 if not len(s):
                     continue
-                fp = fingerprint(s)
-                if fp in seen:
+                fp = fingerprint(s, clash)[0]
+                if seen(fp):
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(fp)
                 t = regions.contents(s)
                 if keep is not None:
                     t = t[passes(keep.value, t)]
@@ -142,7 +180,7 @@ def _contents(docs: DataFrame, n: int, regions: Regions, keep=None) -> DataFrame
             if toks:
                 yield flush(toks, fps)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "content long, fp long")
+    return map_texts(docs.select("doc_id", "text"), run, "content long, fp long")
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
@@ -154,29 +192,27 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _shingles_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+def _shingles_of(docs: DataFrame, n: int, wanted: DataFrame, clash: frozenset[int]) -> DataFrame:
     """``fp, shingles, sketch`` for the fingerprints in ``wanted``, read from the texts."""
     keep = bit_filter(wanted, "fp")
     longs = pa.list_(pa.int64())
 
     def run(batches):
-        seen: set[int] = set()
+        seen = Seen()
         for b in batches:
             fps, sets, sketches = [], [], []
             for raw in each_text(b):
                 s = shingle_set(raw, n)
-                fp = fingerprint(s) if len(s) else None
-                if fp is None or fp in seen or not passes(keep.value, np.array([fp], np.int64).view(np.uint64))[0]:
+                fp = fingerprint(s, clash)[0] if len(s) else None
+                if fp is None or seen(fp) or not passes(keep.value, np.array([fp], np.int64).view(np.uint64))[0]:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(fp)
                 fps.append(fp), sets.append(s.view(np.int64)), sketches.append(parity_sketch(s))
-                if len(fps) >= 1000:
+                if len(fps) >= 200:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, longs), pa.array(sketches, longs)], names=["fp", "shingles", "sketch"])
                     fps, sets, sketches = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, longs), pa.array(sketches, longs)], names=["fp", "shingles", "sketch"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "fp long, shingles array<long>, sketch array<long>")
+    rows = map_texts(docs.select("doc_id", "text"), run, "fp long, shingles array<long>, sketch array<long>")
     return rows.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
@@ -195,20 +231,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    linked = two.select("a", "b", both.alias("inter"), (F.size("sa") + F.size("sb")).alias("total"))
+    linked = two.select("a", "b", both.alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     return materialise(linked.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b"))
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows of _sets, ``fp, label`` of the sets that have links)."""
     regions = Regions(percent)
-    rows = materialise(_sets(docs, n))
-    shared = _contents(docs, n, regions).groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    blocks = materialise(_contents(docs, n, regions, bit_filter(shared, "content")).select("content", "fp").distinct())
+    rows, clash = _named_sets(docs, n)
+    shared = _contents(docs, n, regions, clash).groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    blocks = materialise(_contents(docs, n, regions, clash, bit_filter(shared, "content")).select("content", "fp").distinct())
     # the pivot of a block is its smallest fingerprint; single members drop out
     pivots = blocks.groupBy("content").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").select("content", "pivot")
     member = materialise(blocks.join(pivots, "content"))
-    sets = materialise(_shingles_of(docs, n, member.select("fp").distinct()))
+    discard(blocks)
+    sets = materialise(_shingles_of(docs, n, member.select("fp").distinct(), clash))
     brief = sets.select("fp", F.size("shingles").alias("size"), "sketch")
 
     # distances to the pivots, in the sketches' metric
@@ -234,8 +271,13 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
         if near.limit(1).count():
             new = _verify(near, sets, percent)
             if new.limit(1).count():
+                old = labels, links
                 links = materialise(links.unionAll(new))
                 labels = connected_components(links)
+                discard(*old)
+            discard(new)
+        discard(near)
+    discard(member, sets, far, left, links)
     return rows, labels.withColumnRenamed("node", "fp")
 
 

@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two character models of words, one of toxic and one of ordinary documents,
-with contexts of ORDER bytes inside a word. Where a class has not seen a
-context, both fall back to the same lower orders, estimated from the distinct
-words of both classes together, so a rare expression counts for neither class
-unless its class has seen its like. A document's evidence is the difference of
-the two log-likelihoods divided by its number of words (and pieces); a logistic curve,
-fitted on documents that the models have not seen, turns it into a score.
+with contexts of ORDER bytes inside a word. The highest order has a class's own
+counts. Where a class has not seen a context, both fall back to the same lower
+orders, in which an n-gram counts once for each distinct byte that either class
+has seen to its left (Kneser-Ney's continuation counts), so a rare expression
+counts for neither class unless its class has seen its like. A document's
+evidence is the difference of the two log-likelihoods divided by its number of
+words (and pieces); a logistic curve, fitted on documents that the models have
+not seen, turns it into a score.
 
 The models are fitted on a bounded sample of labelled rows: SAMPLE documents
 of each class at most, those whose ids hash lowest, with all their words. The
@@ -18,11 +20,12 @@ Words are runs of letters and of bytes from 128 up, A-Z lower-cased, so marks
 stuck to a word do not hide it. A run of more than PIECE bytes is read whole, as
 pieces that overlap by their context; each piece counts as one word in the mean.
 
-Defined cases: a null or empty text has no evidence and gets the curve's value
-at zero; rows with null ids are scored and never learned from; null labels are
-no labels, and of several labels for one id the largest counts; repeated rows
-are scored alike; without labels of both classes every score is the share of
-toxic labels (0 without any); an empty table gives an empty result.
+Defined cases: a null or empty text, or one without letters, has no evidence: it
+gets the curve's value at zero, and ``keep_ordinary`` keeps it; rows with null
+ids are scored and never learned from; null labels are no labels, and of several
+labels for one id the largest counts; repeated rows are scored alike; without
+labels of both classes there is no model, every score is 0 and every row stays;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, each_text
+from .common import crc_mod, each_text, map_texts
 
 ORDER, DISCOUNT = 4, 0.75
 SAMPLE, PIECE = 6000, 40
@@ -74,40 +77,37 @@ def _keys(words: list[bytes]):
 
 
 def ngram_counts(counts: DataFrame) -> DataFrame:
-    """``n, key, toxic, ordinary``: how often the contexts of n bytes with a next
-    byte, packed as key, occur in the words of each class (n = ORDER), and in
-    how many places of the distinct words (n < ORDER, in ``toxic``).
-    counts: distinct words as word, toxic, ordinary."""
+    """``key, toxic, ordinary``: how often a context of ORDER bytes with its
+    next byte, packed as key, occurs in the words of each class. counts:
+    distinct words as word, toxic, ordinary."""
 
     def run(batches):
         for b in batches:
             words = b.column(0).to_pylist()
             weights = [b.column(i).to_numpy() for i in (1, 2)]
             for some, key in _keys(words):
-                flat = key.ravel()
-                for n in range(ORDER + 1):
-                    own, at = np.unique(flat & ((1 << 8 * (n + 1)) - 1), return_inverse=True)
-                    if n < ORDER:
-                        sums = [np.bincount(at), np.zeros(len(own))]
-                    else:
-                        sums = [np.bincount(at, np.repeat(w[some], key.shape[1])) for w in weights]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(own), *(pa.array(x.astype(np.int64)) for x in sums)], names=["n", "key", "toxic", "ordinary"])
+                own, at = np.unique(key.ravel(), return_inverse=True)
+                sums = [np.bincount(at, np.repeat(w[some], key.shape[1])) for w in weights]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x.astype(np.int64)) for x in sums)], names=["key", "toxic", "ordinary"])
 
-    rows = counts.select("word", "toxic", "ordinary").mapInArrow(run, "n int, key long, toxic long, ordinary long")
-    return rows.groupBy("n", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = counts.select("word", "toxic", "ordinary").mapInArrow(run, "key long, toxic long, ordinary long")
+    return rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 class Models:
     """Both class models over their shared lower orders."""
 
-    def __init__(self, order: np.ndarray, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
+    def __init__(self, key: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
         """From the rows of ``ngram_counts``, in any order."""
-        at = np.lexsort((key, order))
-        order, key, toxic, ordinary = order[at], key[at], toxic[at].astype(float), ordinary[at].astype(float)
-        self.shared = [self._order(key[order == k], [toxic[order == k]]) for k in range(1, ORDER)]
-        top = order == ORDER
-        self.classes = self._order(key[top], [toxic[top], ordinary[top]])
-        first = np.bincount(key[order == 0], toxic[order == 0], 256) + 0.5
+        at = np.argsort(key)
+        key, toxic, ordinary = key[at], toxic[at].astype(float), ordinary[at].astype(float)
+        self.classes = self._order(key, [toxic, ordinary])
+        self.shared = []
+        for k in range(ORDER - 1, -1, -1):  # distinct left bytes of the n-grams of k + 1 bytes
+            key, lefts = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_counts=True)
+            if k:
+                self.shared.insert(0, self._order(key, [lefts.astype(float)]))
+        first = np.bincount(key, lefts, 256) + 0.5
         self.first = first / first.sum()
 
     @staticmethod
@@ -176,7 +176,7 @@ def _evidence(docs: DataFrame, shared) -> DataFrame:
             ev = [e for at in range(0, b.num_rows, 256) for e in scorer(each_text(b.slice(at, 256)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ev, pa.float64())], names=["doc_id", "label", "evidence"])
 
-    return docs.mapInArrow(run, "doc_id long, label int, evidence double")
+    return map_texts(docs, run, "doc_id long, label int, evidence double")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -199,11 +199,11 @@ def may_learn(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(broadcast models, slope, intercept) from the rows that may be learned from;
-    None without labels of both classes."""
+    None without words of labelled documents of both classes."""
     labelled = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = dict(labelled.groupBy("label").count().collect())
     if len(n) < 2:
-        return None, 0.0, 30.0 if 1 in n else -30.0
+        return None, 0.0, 0.0
     order = F.xxhash64("doc_id")
     picked = [labelled.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(picked[0].unionAll(picked[1]))
@@ -228,12 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
                     held = 0
         yield flush()
 
-    counts = rows.where("part > 0").mapInArrow(count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counts = map_texts(rows.where("part > 0"), count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     table = ngram_counts(counts).toArrow()
     if not table.num_rows:
-        share = n[1] / (n[0] + n[1])
-        return None, 0.0, float(np.log(share / (1 - share)))
-    models = Models(*(table[c].to_numpy() for c in ("n", "key", "toxic", "ordinary")))
+        return None, 0.0, 0.0
+    models = Models(*(table[c].to_numpy() for c in ("key", "toxic", "ordinary")))
     shared = docs.sparkSession.sparkContext.broadcast(models)
     del table, models
     fit = _evidence(rows.where("part = 0").drop("part"), shared).select("label", "evidence").collect()
@@ -253,17 +252,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     shared, slope, cut = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
     rows = docs.select("doc_id", F.lit(0).alias("label"), "text")
     if shared is None:
-        ev = rows.select("doc_id", F.lit(0.0).alias("evidence"))
+        ev, p = rows.select("doc_id", F.lit(0.0).alias("evidence")), F.lit(0.0)
     else:
-        ev = _evidence(rows, shared)
-    p = 1 / (1 + F.exp(-(slope * F.col("evidence") + cut)))
+        ev, p = _evidence(rows, shared), 1 / (1 + F.exp(-(slope * F.col("evidence") + cut)))
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return ev.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns as they
-    are; without a model every row stays."""
+    """The rows of ``docs`` that score below the threshold or have no words, all
+    columns as they are; without a model every row stays."""
     shared, slope, cut = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
     if shared is None:
         return docs
@@ -274,6 +272,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield part.filter(pa.array(slope * np.array(scorer(each_text(part))) + cut < least))
+                ev = np.array(scorer(each_text(part)))
+                yield part.filter(pa.array((slope * ev + cut < least) | (ev == 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
