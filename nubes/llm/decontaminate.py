@@ -10,10 +10,11 @@ as weights) decides.
 Which windows need a fingerprint: if a window of similarity >= t does not begin
 with a shingle of the item, moving it right by one loses nothing in common and
 gains no difference, so the best windows begin with one; and at least a share t
-of the item's shingles must be in it. Both tests are lossless and are made
-inside the row, against a block of the benchmark of at most BLOCK_ITEMS items
-as literals: a document is never shuffled, and larger benchmarks take several
-blocks, each against all rows.
+of the item's shingles must be in it. Both tests are lossless. They are made
+inside the row against a bit set of all the benchmark's shingles, a constant of
+at most 1 MB whatever the benchmark's size, so one scan serves all items and a
+document is never shuffled. What passes is joined with tables of the items'
+shingles and block values, which Spark broadcasts while they are small.
 
 Two multisets with Jaccard 0.8 have cosine 0.89, so on average 9.7 of 64 bits
 differ with a deviation of 2.9: a radius of 21 lies four deviations out.
@@ -22,11 +23,14 @@ Words are runs without ASCII blanks, lower-cased; a shingle has K words, an
 item of fewer words is one shingle. Defined cases: null and empty texts and
 items have no shingles and match nothing; a row with a null id is compared and
 reported under null, and never removed by ``decontaminate``; rows with one id
-are one document; empty tables give an empty result.
+are one document, items with one id, or none, one item of several texts;
+empty tables give an empty result; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
 
+import json
+import struct
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 K, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 21, 22
-BLOCK_ITEMS = 2000
+MOST_BITS = 1 << 23
 _LOW_BITS = 0x1249249249249249  # the lowest bit of each block of three
 
 
@@ -76,60 +80,80 @@ def in_blocks(name: str) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, k, ish`` (shingles) and ``m`` (how many)."""
-    base = benchmark.select("item_id", word_hashes(F.col("text")).alias("iw")).where("size(iw) > 0")
+    """``item, item_id, k, ish`` (shingles) and ``m`` (how many); ``item`` tells
+    texts of one id apart."""
+    base = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", word_hashes(F.col("text")).alias("iw")).where("size(iw) > 0").dropDuplicates(["item"])
     parts = []
     for k in range(1, K + 1):
         own = base.where(F.size("iw") >= K) if k == K else base.where(F.size("iw") == k)
-        parts.append(own.select("item_id", F.lit(k).alias("k"), shingles("iw", k).alias("ish")))
+        parts.append(own.select("item", "item_id", F.lit(k).alias("k"), shingles("iw", k).alias("ish")))
     return reduce(DataFrame.unionByName, parts).withColumn("m", F.size("ish"))
 
 
-def _block_pairs(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Leaks of the items of one block that have shingles of k words."""
-    rows = items.select("ish", "m").collect()  # BLOCK_ITEMS rows at most
-    known = "(" + ", ".join(f"{h}L" for h in sorted({h for r in rows for h in r["ish"]}) if h != -(1 << 63)) + ", (-9223372036854775807L - 1L))"
-    longest = max(r["m"] for r in rows)
-    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", shingles("w", k).alias("sh"))
-    starts = F.expr(
-        f"CASE WHEN size(sh) > 0 THEN transform(filter(sequence(0, size(sh) - 1), i -> get(sh, i) IN {known}),"
-        f" i -> named_struct('pos', i, 'win', slice(sh, i + 1, {longest}))) END"
-    )
-    found = hashed.select("doc_id", F.explode_outer(starts).alias("x")).where("x is not null").select("doc_id", "x.pos", "x.win")
+def _known(items: DataFrame, n: int):
+    """A test for columns: may a hash be a shingle of the items? A bit set of 64
+    bits for each of the ``n`` shingles, MOST_BITS at most, as one constant."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (64 * n).bit_length()))
+    at = items.select(F.explode("ish").alias("h")).select((F.pmod("h", F.lit(bits)) + 1).alias("i"))
+    rows = at.groupBy(F.expr("bitmap_bucket_number(i)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(i))").alias("m")).collect()
+    whole = bytearray(bits // 8)  # rows of 4 KB
+    for r in rows:
+        whole[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(r["m"])] = r["m"]
+    longs = F.from_json(F.lit(json.dumps(struct.unpack(f"<{bits // 64}q", whole))), "array<bigint>")
 
-    sizes = items.select(F.explode("ish").alias("h"), "m").distinct()
-    w = found.join(F.broadcast(sizes), F.get("win", F.lit(0)) == F.col("h")).select("doc_id", "pos", "m", F.slice("win", 1, F.col("m")).alias("win"))
-    w = w.where(F.expr(f"size(filter(win, h -> h IN {known})) >= ceil(m * {similarity}D)"))
+    def test(h: Column) -> Column:
+        word = F.get(longs, F.shiftright(F.pmod(h, F.lit(bits)), 6).cast("int"))
+        return F.call_function("bit_get", word, F.pmod(h, F.lit(64)).cast("int")) == 1
 
-    left = w.select("*", F.explode(in_blocks("win")).alias("x")).select("doc_id", "pos", "m", "win", "x.*")
-    right = items.select("item_id", "m", "ish", F.explode(in_blocks("ish")).alias("y")).select("item_id", "m", "ish", "y.block", "y.value", F.col("y.fp").alias("ifp"))
-    pairs = left.join(F.broadcast(right), ["m", "block", "value"])
-    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
-    # of the blocks that agree, the lowest stands for the pair
-    equal = let(differ, lambda x: F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))).bitwiseAND(F.lit(_LOW_BITS)))
-    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (equal.bitwiseAND(F.expr("~shiftleft(-1L, 3 * block)")) == 0))
-    both = F.expr("aggregate(array_distinct(ish), 0, (a, h) -> a + least(size(filter(ish, y -> y = h)), size(filter(win, y -> y = h))))")
-    alike = let(both, lambda n: n / (F.size("ish") + F.size("win") - n))
-    return pairs.where(alike >= similarity).select("doc_id", "item_id", "pos", (F.size("win") + k - 1).alias("n_words"), alike.alias("similarity"))
+    return test
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, similarity``: the best window
     (the first of them) for each document and item that match."""
     items = _items(benchmark)
-    kinds = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]
-    blocks = -(-items.count() // BLOCK_ITEMS) or 1
-    parts = []
-    for b in range(blocks):
-        for k in kinds:
-            own = items.where((F.col("k") == k) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b))
-            if own.limit(1).count():
-                parts.append(_block_pairs(docs, own, k, similarity))
-    if not parts:
-        empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, pos int, n_words int, similarity double")
-        parts = [empty]
-    best = F.max(F.struct("similarity", (-F.col("pos")).alias("left"), "n_words")).alias("b")
-    out = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best)
+    kinds = items.groupBy("k").agg(F.sum("m").alias("n"), F.min("m").alias("least"), F.max("m").alias("most")).orderBy("k").collect()
+    if not kinds:
+        own = [(c, docs.schema["doc_id"].dataType if c == "doc_id" else benchmark.schema["item_id"].dataType) for c in ("doc_id", "item_id")]
+        empty = docs.sparkSession.createDataFrame([], "start_word long, n_words long, similarity double")
+        return empty.select(*(F.lit(None).cast(t).alias(c) for c, t in own), "*")
+    known = {r["k"]: _known(items.where(F.col("k") == r["k"]), r["n"]) for r in kinds}
+
+    def starts(r):
+        """Windows of the longest item's length at each start that may count."""
+        k, test, need = r["k"], known[r["k"]], -(-r["least"] * similarity // 1)
+
+        def of(sh):
+            at = F.filter(F.sequence(F.lit(0), F.size(sh) - 1), lambda i: test(F.get(sh, i)))
+            win = F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), F.slice(sh, i + 1, r["most"]).alias("win")))
+            return F.filter(win, lambda x: F.size(F.filter(x["win"], test)) >= need)
+
+        none = F.array().cast("array<struct<k:int,pos:int,win:array<bigint>>>")
+        return let(shingles("w", k), lambda sh: F.when(F.size(sh) > 0, of(sh)).otherwise(none))
+
+    hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("w"))
+    found = hashed.select("doc_id", F.explode_outer(F.concat(*map(starts, kinds))).alias("x")).where("x is not null").select("doc_id", "x.*")
+
+    sizes = items.select("k", F.explode("ish").alias("h"), "m").distinct()
+    w = found.withColumn("h", F.get("win", F.lit(0))).join(sizes, ["k", "h"]).select("doc_id", "k", "pos", "m", F.slice("win", 1, F.col("m")).alias("win"))
+    hits = F.lit(0)
+    for k, test in known.items():
+        hits = F.when(F.col("k") == k, F.size(F.filter("win", test))).otherwise(hits)
+    w = w.where(hits >= F.ceil(F.col("m") * similarity))
+
+    left = w.select("*", F.explode(in_blocks("win")).alias("x")).select("doc_id", "k", "pos", "m", "win", "x.*")
+    right = items.select("item", "k", "m", F.explode(in_blocks("ish")).alias("y")).select("item", "k", "m", "y.block", "y.value", F.col("y.fp").alias("ifp"))
+    pairs = left.join(right, ["k", "m", "block", "value"])
+    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
+    # of the blocks that agree, the lowest stands for the pair
+    equal = let(differ, lambda x: F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))).bitwiseAND(F.lit(_LOW_BITS)))
+    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & (equal.bitwiseAND(F.expr("~shiftleft(-1L, 3 * block)")) == 0))
+    pairs = pairs.select("doc_id", "k", "pos", "win", "item").join(items.select("item", "item_id", "ish"), "item")
+    both = F.expr("aggregate(array_distinct(ish), 0, (a, h) -> a + least(size(filter(ish, y -> y = h)), size(filter(win, y -> y = h))))")
+    alike = let(both, lambda n: n / (F.size("ish") + F.size("win") - n))
+    alike = pairs.withColumn("similarity", alike).where(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", (-F.col("pos")).alias("left"), (F.size("win") + F.col("k") - 1).alias("n_words"))).alias("b")
+    out = alike.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", (-F.col("b.left")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
