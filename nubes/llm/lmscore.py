@@ -10,15 +10,17 @@ forward and backward sums. The probability of a word is
     (max(c - D, 0) + (D V + 1) P0(word)) / (N + 1)
 
 with P0 the lattice's marginal, so all words' probabilities add up to at most
-one; D comes from the counts of words seen once and twice.
+one; D comes from the counts of words seen once and twice. A document that the
+model has learned from is also scored with its own tokens taken out of c and N,
+so that what only it says counts as unseen, and what the corpus says elsewhere
+too does not.
 
 Every training word is counted in Spark. The FREQUENT most frequent words (a
 fixed number) are broadcast; the words beyond them are joined by word.
 
 Defined cases: a null text is empty and has the end token only; a row with a
 null id is held out; repeated ids and rows are scored row by row; an empty table gives
-an empty result; extra columns are ignored. Words over 48 bytes have no piece
-across a multiple of 48 bytes.
+an empty result; extra columns are ignored; words of any length have whole lattices.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, materialise
+from .common import each_text, map_texts, materialise
 from .pieces import TOKENIZER, Pieces, expected_counts, word_log_likelihood
 
 FOLDS, HELD = 10, 0
@@ -75,7 +77,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                         yield flush()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_texts(docs.select("doc_id", "text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def train_pieces(counts: DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
@@ -114,7 +116,8 @@ def train_pieces(counts: DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) ->
 
 def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
-    and ``bits_per_token`` for each row."""
+    and ``bits_per_token, bits_without_own`` (per token too, of the model without
+    the document's own tokens) for each row."""
     spark = docs.sparkSession
     counts = materialise(count_words(docs))
     n, v, ones, twos = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("word"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -139,32 +142,37 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int =
     n_end = float(next((r["c"] for r in counts.where(F.octet_length("word") == 0).collect()), 0))
     end_base = float(base_log(n_end))
     end_model = math.log10((max(n_end - d, 0) + (d * v + 1) * P_END) / (n + 1))
-    known = spark.sparkContext.broadcast((dict(zip(words, range(len(words)), strict=True)), base_log(c), model_log(c, lat)))
+    rest_p = 10 ** (math.log10(d * v + 1) + math.log10(1 - P_END) + lat / math.log(10))
+    end_rest = (d * v + 1) * P_END
+    known = spark.sparkContext.broadcast((dict(zip(words, range(len(words)), strict=True)), base_log(c), model_log(c, lat), c, rest_p))
     lattice = spark.sparkContext.broadcast((pieces, inner))
 
     def run(batches):
-        (index, base, model), (own, weights) = known.value, lattice.value
+        (index, base, model, count, rest), (own, weights) = known.value, lattice.value
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             main, rare = [], []
             for i, raw in zip(b.column(0).to_pylist(), each_text(b), strict=True):
                 t = tokens(raw)
                 ids = np.fromiter(map(index.get, t, repeat(-1)), np.int64, len(t))
-                hit = ids[ids >= 0]
-                main.append((uid, i, len(t) + 1, len(hit) + (n_end > 0), float(base[hit].sum()) + end_base, float(model[hit].sum()) + end_model))
+                hit, mine = ids[ids >= 0], int(not held_out(i))
+                u, tf = np.unique(hit, return_counts=True)
+                without = float(tf @ np.log10(np.maximum(count[u] - mine * tf - d, 0) + rest[u])) + math.log10(max(n_end - mine - d, 0) + end_rest)
+                main.append((uid, i, len(t) + 1, len(hit) + (n_end > 0), float(base[hit].sum()) + end_base, float(model[hit].sum()) + end_model, without))
                 if len(hit) < len(t):
-                    rare += [(w, uid, k) for w, k in Counter([t[j] for j in np.flatnonzero(ids < 0)]).items()]
+                    rare += [(w, uid, k, mine * k) for w, k in Counter([t[j] for j in np.flatnonzero(ids < 0)]).items()]
                 uid += 1
                 if len(rare) > 200_000:
                     yield _rows(main, rare, own, weights, tail)
                     main, rare = [], []
             yield _rows(main, rare, own, weights, tail)
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    rows = map_texts(docs.select("doc_id", "text"), run, ROWS)
     j = rows.join(counts.where(F.octet_length("word") > 0), "word", "left").withColumn("c", F.coalesce(F.col("c"), F.lit(0)))
     is_word = F.col("tf").isNotNull()
     rest = F.lit(math.log10(d * v + 1) + math.log10(1 - P_END)) + F.col("lat") / math.log(10)
-    model = F.when(F.col("c") > d, F.log10(F.col("c") - d + F.pow(F.lit(10.0), rest))).otherwise(rest) - math.log10(n + 1)
+    likely = lambda c: F.when(c > d, F.log10(c - d + F.pow(F.lit(10.0), rest))).otherwise(rest)
+    model = likely(F.col("c")) - math.log10(n + 1)
     base = F.log10((F.col("c") + 0.1) / (n + 0.1 * (v + 1)))
     out = (
         j.select(
@@ -174,28 +182,35 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int =
             F.when(is_word, F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"),
             F.when(is_word, F.col("tf") * base).otherwise(F.col("base")).alias("base"),
             F.when(is_word, F.col("tf") * model).otherwise(F.col("model")).alias("model"),
+            F.when(is_word, F.col("tf") * likely(F.col("c") - F.col("own"))).otherwise(F.col("without")).alias("without"),
         )
         .groupBy("uid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"), F.sum("without").alias("without"))
     )
     held = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(FOLDS)) == HELD, F.lit(True))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.col("n_tokens") / math.log10(2)).alias("bits_per_token"))
+    left = n + 1 - F.when(held, 0).otherwise(F.col("n_tokens"))
+    bits = lambda x: -x / F.col("n_tokens") / math.log10(2)
+    return out.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score",
+        bits(F.col("score")).alias("bits_per_token"), bits(F.col("without") - F.col("n_tokens") * F.log10(left)).alias("bits_without_own"),
+    )
 
 
-ROWS = "word binary, uid long, tf long, lat double, doc_id long, n_tokens long, n_known long, base double, model double"
+ROWS = "word binary, uid long, tf long, own long, lat double, doc_id long, n_tokens long, n_known long, base double, model double, without double"
 
 
 def _rows(main, rare, pieces, weights, tail) -> pa.RecordBatch:
     """A row per document under a key that is no word, then one per rare word."""
-    names = list(dict.fromkeys(w for w, _, _ in rare))
+    names = list(dict.fromkeys(w for w, *_ in rare))
     lat = dict(zip(names, word_log_likelihood(pieces, weights, names) + tail, strict=True)) if names else {}
     k, z = len(main), len(rare)
-    uid, doc, n_tokens, n_known, base, model = zip(*main, strict=True) if main else ([],) * 6
+    uid, doc, n_tokens, n_known, base, model, without = zip(*main, strict=True) if main else ([],) * 7
     cols = [
-        pa.array([b" %d" % u for u in uid] + [w for w, _, _ in rare], pa.binary()),
-        pa.array([*uid, *(u for _, u, _ in rare)], pa.int64()),
-        pa.array([None] * k + [t for _, _, t in rare], pa.int64()),
-        pa.array([None] * k + [lat[w] for w, _, _ in rare], pa.float64()),
-        *(pa.array([*x, *[None] * z], t) for x, t in ((doc, pa.int64()), (n_tokens, pa.int64()), (map(int, n_known), pa.int64()), (base, pa.float64()), (model, pa.float64()))),
+        pa.array([b" %d" % u for u in uid] + [w for w, *_ in rare], pa.binary()),
+        pa.array([*uid, *(u for _, u, _, _ in rare)], pa.int64()),
+        pa.array([None] * k + [t for _, _, t, _ in rare], pa.int64()),
+        pa.array([None] * k + [o for *_, o in rare], pa.int64()),
+        pa.array([None] * k + [lat[w] for w, *_ in rare], pa.float64()),
+        *(pa.array([*x, *[None] * z], t) for x, t in ((doc, pa.int64()), (n_tokens, pa.int64()), (map(int, n_known), pa.int64()), (base, pa.float64()), (model, pa.float64()), (without, pa.float64()))),
     ]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in ROWS.split(", ")])

@@ -10,14 +10,17 @@ blank, and a word mark that stands in a text is spelled with byte pieces, so
 decoding returns each text byte for byte.
 
 Defined cases: a null text is empty and gives no ids; a null key draws as key
-0; equal keys with equal texts draw the same; an empty table gives an empty
-result; all other columns are passed on. Chunks are an optional blank with up
-to 40 bytes without blanks, or one blank; texts are handled in slices of
-SLICE bytes, so memory does not grow with their length.
+0, a key that is no integer by its hash as text; equal keys with equal texts
+draw the same; an empty table gives an empty result; all other columns are
+passed on, but one that has the name of the added column is replaced. Chunks are
+blanks with the bytes without white space that follow, or one other white space,
+of any length. Texts are handled in slices of SLICE bytes that end before a
+chunk, so memory grows with the longest chunk only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -25,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, mix64
-from .pieces import MAX_PIECE, TOKENIZER, Pieces, by_length
+from .common import each_text, map_texts, mix64
+from .pieces import CHUNK_BYTES, TOKENIZER, Pieces, blocks_of, by_length, long_forward
 
-CHUNK = re.compile(rb" ?[^\s]{1,40}|\s")
+CHUNK = re.compile(rb" +[^\s]*|[^\s]+|\s")
+CHUNK_END = re.compile(rb"[^ ](?= )|[\t\n\x0b\x0c\r]")
 SLICE = 1 << 20
 SEED = 20240101
 
@@ -51,7 +55,12 @@ class Sampler:
         begin = np.searchsorted(which[order], np.arange(len(words) + 1))
         stream = mix64(mix64(key ^ self.seed) + number)
         at, ids = [], []
-        for some, rows in by_length(words):
+        long = {i for i, c in enumerate(words) if len(c) > CHUNK_BYTES}
+        for i in long:
+            for occ in order[begin[i] : begin[i + 1]]:
+                got, ends = self._draw_long(words[i], stream[occ])
+                ids.append(got), at.append((int(occ) << 32) + ends)
+        for some, rows in by_length([b"" if i in long else c for i, c in enumerate(words)]):
             w, n = rows.shape
             size = begin[some + 1] - begin[some]
             own = np.repeat(np.arange(w), size)
@@ -64,25 +73,40 @@ class Sampler:
                 m = (c <= (u * c[:, -1])[:, None]).sum(axis=1)
                 ids.append(table[own, end, m])
                 end = end - m - 1
-                at.append(occ * 64 + end)
+                at.append((occ << 32) + end)
                 live = end > 0
                 own, occ, end, step = own[live], occ[live], end[live], step + np.uint64(1)
         if not at:
             return np.zeros(0, np.int32), np.zeros(len(chunks), np.int64)
         at, ids = np.concatenate(at), np.concatenate(ids)
         o = np.argsort(at, kind="stable")
-        return ids[o], np.bincount(at >> 6, minlength=len(chunks))
+        return ids[o], np.bincount(at >> 32, minlength=len(chunks))
+
+    def _draw_long(self, chunk: bytes, stream: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """As draw, for one occurrence of a long chunk: ids and where they begin."""
+        log, end, step, ids, begin = long_forward(self.pieces, chunk, self.p[:-1]), len(chunk), np.uint64(0), [], []
+        for at, table, w in blocks_of(self.pieces, chunk, self.p[:-1], reverse=True):
+            while end > at:
+                m = np.arange(1, min(len(w[0]), end) + 1)
+                c = np.cumsum(w[end - 1 - at, : len(m)] * np.exp(log[end - m] - log[end]))
+                u = float(mix64(np.array([stream + step]))[0] >> np.uint64(11)) * 2.0**-53
+                k = min(int((c <= u * c[-1]).sum()), len(m) - 1)
+                ids.append(table[end - 1 - at, k])
+                end, step = end - k - 1, step + np.uint64(1)
+                begin.append(end)
+        return np.array(ids, np.int32), np.array(begin, np.int64)
 
     def _filter(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward filtering. For each row and border, running sums over the
         length of the last piece of its posterior weight, and the piece ids."""
         w, n = rows.shape
         ids, alpha = self.pieces.match(rows), np.zeros((w, n + 1))
-        depth = min(MAX_PIECE, n)
+        depth = len(ids)
         weight, table = np.zeros((w, n + 1, depth)), np.full((w, n + 1, depth), -1, np.int32)
         alpha[:, 0] = 1
         for m, i in enumerate(ids):
-            table[:, m + 1 :, m] = i
+            if i is not None:
+                table[:, m + 1 :, m] = i
         for e in range(1, n + 1):
             k = min(depth, e)
             weight[:, e, :k] = self.p[table[:, e, :k]] * alpha[:, e - k : e][:, ::-1]
@@ -90,6 +114,23 @@ class Sampler:
         return np.cumsum(weight, axis=2), table
 
 
+def _key(k) -> int:
+    """A row key as 64 bits."""
+    if k is None or isinstance(k, int):
+        return (k or 0) & (1 << 64) - 1
+    return int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little")
+
+
+def _slices(raw: np.ndarray):
+    """Parts of a text, each of SLICE bytes and what its last chunk still needs."""
+    text, at = raw.tobytes(), 0
+    while at < len(text):
+        cut = CHUNK_END.search(text, at + SLICE)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _encode(sampler: Sampler, keys: list, texts) -> list[np.ndarray]:
     """Ids for each text; texts share vectorised draws in groups of SLICE bytes."""
     out: list[list[np.ndarray]] = []
@@ -112,10 +153,10 @@ def _encode(sampler: Sampler, keys: list, texts) -> list[np.ndarray]:
     for i, (k, raw) in enumerate(zip(keys, texts, strict=True)):
         out.append([])
         seen = 0
-        for at in range(0, len(raw), SLICE):
-            part = CHUNK.findall(raw[at : at + SLICE].tobytes())
-            chunks.append(part), key.append((k or 0) & (1 << 64) - 1), number.append(seen), owner.append(i)
-            seen, size = seen + len(part), size + min(SLICE, len(raw) - at)
+        for part in _slices(raw):
+            found = CHUNK.findall(part)
+            chunks.append(found), key.append(_key(k)), number.append(seen), owner.append(i)
+            seen, size = seen + len(found), size + len(part)
             if size >= SLICE:
                 flush()
     flush()
@@ -139,7 +180,7 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in fields), arr], names=[*fields, ids])
 
     schema = docs.select(*kept).withColumn(ids, F.array().cast("array<int>")).schema
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def decode_pieces(df: DataFrame, ids: str = "piece_ids", text: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -155,4 +196,4 @@ def decode_pieces(df: DataFrame, ids: str = "piece_ids", text: str = "decoded",
                 got = [None if x is None else b"".join(raw[x]) for x in part.column(part.schema.get_field_index(ids)).to_numpy(zero_copy_only=False)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(got, pa.binary()).cast(pa.string())], names=[*kept, text])
 
-    return df.mapInArrow(run, df.select(*kept).withColumn(text, F.lit("")).schema)
+    return map_texts(df, run, df.select(*kept).withColumn(text, F.lit("")).schema)
