@@ -34,7 +34,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ESC = r"""regexp_replace(replace(coalesce({0}, ''), '\', '\\'), '(<)(\|[a-z_]+\|>|/?s>|<SYS>>|</SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')"""
+_ESC = r"""regexp_replace(replace(coalesce({0}, ''), '\', '\\'), '([<\[])', '\1\\', 'g')"""
 OP1_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -44,7 +44,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-  CAST(sum(length('<|im_start|>' || {_ESC.format("role")} || chr(10) || {_ESC.format("text")} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|>' || replace({_ESC.format("role")}, chr(10), '[n') || chr(10) || {_ESC.format("text")} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
 
@@ -62,8 +62,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every text as an image and compute features from what is read back."""
-    return media.media_features(media.documents_as_media(table(spark, sf_dir, "documents")))
+    """Store every text as an image with its NPY tiles, and compute features
+    from what is read back."""
+    return media.media_features(media.store(table(spark, sf_dir, "documents"), work_dir(spark) + "/media"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +97,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convert every page from ARC to WARC, write the archives and read them back."""
     parsed = warc.read_arc(warc.pages_to_arc(table(spark, sf_dir, "pages")))
-    path = work_dir(spark) + "/warc"
-    warc.write_warc(warc.mark_revisits(parsed), path)
+    path, index = work_dir(spark) + "/warc", warc.payload_index(parsed)
+    warc.write_warc(warc.mark_revisits(parsed, index), path, index)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -8,7 +8,8 @@ the fixed prime. Adding or removing a shard moves few other slots.
 
 Defined cases: a null key hashes like any other value, to one fixed slot;
 equal keys go to equal shards unless ``salt`` spreads them; an empty table
-gives an empty result; the columns added are named by the caller.
+gives an empty result; ``slot`` and the columns named by the caller replace
+columns of ``df`` with these names, and the key may be one of them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TABLE_SIZE = 65537  # a prime; about 100 times the shards or more keeps shares even
 
 
@@ -62,10 +65,11 @@ def assign_shards(df: DataFrame, key: str, tables: dict[str, np.ndarray], salt:
     """Add ``slot`` and, for each named table, the shard it gives. The tables
     have TABLE_SIZE rows or another fixed prime, so they are broadcast."""
     size = len(next(iter(tables.values())))
-    spark = df.sparkSession
-    rows = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(zip(*tables.values(), strict=True))], "slot long, " + ", ".join(f"{n} int" for n in tables))
+    at = fresh(df, "place")[0]
+    rows = df.sparkSession.createDataFrame([(i, *map(int, x)) for i, x in enumerate(zip(*tables.values(), strict=True))], f"{at} long, " + ", ".join(f"`{n}` int" for n in tables))
     slot = slot_of(F.col(key), size, F.col(salt) if salt else None, spread)
-    return df.withColumn("slot", slot.cast("long")).join(F.broadcast(rows), "slot")
+    kept = df.withColumn(at, slot.cast("long")).drop("slot", *tables)
+    return kept.join(F.broadcast(rows), at).withColumnRenamed(at, "slot")
 
 
 def write_sharded(df: DataFrame, path: str, shard: str = "shard") -> None:

@@ -9,21 +9,26 @@ so a payload may hold anything, separators included.
 Defined cases: null html or url is empty; equal payloads of at least
 MIN_REVISIT bytes are kept once, under the smallest id, and the others become
 revisits; a row with a null id is a response and no revisit refers to it;
-repeated rows (one id, one payload) give repeated responses; an empty table
-gives no record.
+repeated rows (one id, one payload) give repeated records of one type, and rows
+with one id and several payloads are told apart by payload; very long pages get
+files of their own; other columns are ignored; an empty table gives no record.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts, materialise
+
 MIN_REVISIT = 100
+FILE_BYTES = 1 << 26
 EPOCH = "20240101000000"
 #: The field lines of the two ARC versions.
 FIELDS = {
@@ -93,7 +98,7 @@ def read_arc(df: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARSED.split(", ")])
 
-    return df.select("page_id", "arc").mapInArrow(run, PARSED)
+    return map_texts(df.select("page_id", "arc"), run, PARSED)
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
@@ -108,21 +113,27 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
                 out.append(version_block(v) + arc_record(v, u.as_py() or "", (h.as_py() or "").encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["page_id", "arc"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, arc binary")
+    return map_texts(pages.select("page_id", "url", "html"), run, "page_id long, arc binary")
 
 
 # ----------------------------------------------------------------- writing WARC
 
 
-def mark_revisits(parsed: DataFrame) -> DataFrame:
+def payload_index(parsed: DataFrame) -> DataFrame:
+    """``page_id, payload_digest, payload_bytes`` as a written table: all that
+    is compared, without the payloads."""
+    return materialise(parsed.select("page_id", "payload_digest", "payload_bytes"))
+
+
+def mark_revisits(parsed: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Add ``refers_to``: null for a response, else the id of the response with
-    the same payload. Only narrow rows (id, digest) are grouped; copies are
-    pre-aggregated, and the join back on the digest can be split when skewed.
-    The payloads then move once, by their unique ids."""
-    narrow = parsed.select("page_id", "payload_digest").where(F.col("payload_bytes") >= MIN_REVISIT)
-    first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = narrow.join(first, "payload_digest").where("page_id > first_id").select("page_id", F.col("first_id").alias("refers_to")).distinct()
-    return parsed.join(revisits, "page_id", "left")
+    the same payload. Only the index is grouped; copies are pre-aggregated, and
+    the join back on the digest can be split when skewed. The payloads then
+    move once, by id and digest."""
+    narrow = (payload_index(parsed) if index is None else index).where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest")
+    first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    revisits = narrow.join(first, "payload_digest").where("page_id > first_id").select("page_id", "payload_digest", F.col("first_id").alias("refers_to")).distinct()
+    return parsed.join(revisits, ["page_id", "payload_digest"], "left")
 
 
 def _uuid(h):
@@ -162,29 +173,38 @@ def warc_records(marked: DataFrame) -> DataFrame:
     return marked.select(F.concat(head, http, body).alias("value"))
 
 
-def write_warc(marked: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Files of at most ``records_per_file`` records through Spark's text
-    writer; the line separator is the record separator."""
-    warc_records(marked).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def write_warc(marked: DataFrame, path: str, index: DataFrame, file_bytes: int = FILE_BYTES) -> None:
+    """Files of about ``file_bytes`` through Spark's text writer, whose line
+    separator is the record separator: as many records a file as fit on
+    average. Payloads of more than a sixteenth of that get files of their own."""
+    long = F.col("payload_bytes") > file_bytes // 16
+    n, size, n_long = index.agg(F.count_if(~long), F.coalesce(F.sum(F.when(~long, F.col("payload_bytes"))), F.lit(0)), F.count_if(long)).first()
+    many = max(1, file_bytes * max(n, 1) // (size + 1000 * max(n, 1)))
+
+    def write(rows: DataFrame, a_file: int) -> None:
+        warc_records(rows).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", a_file).option("compression", "gzip").text(path)
+
+    write(marked.where(~long) if n_long else marked, many)
+    if n_long:
+        write(marked.where(long), 1)
 
 
 # ----------------------------------------------------------------- reading WARC
 
 
-def parse_warc(data: bytes):
-    """(headers, block) of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/1.", at):
+def parse_warc(stream):
+    """(headers, block) of each record of a binary stream, by declared lengths."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
             raise ValueError("bad WARC header")
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        length, at = int(head["content-length"]), end + 4
-        block = data[at : at + length]
-        if len(block) < length:
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8").rstrip("\r\n").partition(": ")
+            head[k.lower()] = v
+        length = int(head["content-length"])
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != b"\r\n\r\n":
             raise ValueError("WARC record shorter than declared")
-        at += length + 4
         yield head, block
 
 
@@ -195,11 +215,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Read archives back. A response's length and digest come from its stored
     payload (and must equal the declared digest); a revisit's from its headers."""
 
+    names = [x.split()[0] for x in BACK.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                data, rows = content.as_py(), []
-                for head, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                data, rows = io.BytesIO(content.as_py()), []
+                for head, block in parse_warc(gzip.GzipFile(fileobj=data) if data.getbuffer()[:2] == b"\x1f\x8b" else data):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
                     if kind == "revisit":
@@ -210,9 +237,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError("payload differs from its digest")
                     num = lambda k: int(head[k]) if k in head else None  # noqa: E731, B023
                     rows.append((num("x-page"), n, digest, kind, num("x-refers-to-page"), head["warc-record-id"], head["warc-target-uri"]))
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in BACK.split(", ")])
+                    if len(rows) >= 5000:
+                        yield batch(rows)
+                        rows = []
+                yield batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(run, BACK)
+    return map_texts(files.select("content"), run, BACK)
