@@ -375,26 +375,63 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(got) == len(data) and all(0 <= r.score <= 1 for r in got)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     kept = toxicity.keep_ordinary(d, y)
-    assert kept.columns == d.columns and kept.count() == sum(1 - r.predicted for r in got)
-    assert toxicity.score(d, y.limit(0)).where("predicted = 1").count() == 0
+    assert kept.columns == d.columns and kept.count() == sum(1 - r.predicted or not r.evidence for r in got)
+    for one in (y.limit(0), y.where("toxic = 1"), y.where("toxic = 0")):
+        assert toxicity.score(d, one).where("predicted = 1 or score > 0").count() == 0
+        assert toxicity.keep_ordinary(d, one).count() == len(data)
+    half = y.where("doc_id < 60 and (toxic = 1 or doc_id % 3 = 1)")
+    assert {r.text for r in toxicity.keep_ordinary(d, half).where("doc_id in (9998, 9999)").collect()} == {None, ""}
+    assert toxicity.score(d.limit(0), y).count() == 0 and toxicity.keep_ordinary(d.limit(0), y).count() == 0
+    twice = toxicity.score(d.unionAll(d), y).where("doc_id = 3").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
 def test_toxicity_models_count_every_word(spark):
     n = 2000
     words = spark.range(n).select(F.concat(F.lit("w"), F.col("id").cast("string")).cast("binary").alias("word"), (F.col("id") % 2).alias("toxic"), F.lit(3).cast("long").alias("ordinary"))
     words = words.unionAll(spark.createDataFrame([(bytearray(b"zzz"), 0, 1), (bytearray("été".encode()), 5, 0)], words.schema))
-    got = {(r.n, r.key): (r.toxic, r.ordinary) for r in toxicity.ngram_counts(words).collect()}
+    got = {r.key: (r.toxic, r.ordinary) for r in toxicity.ngram_counts(words).collect()}
     want = defaultdict(lambda: [0, 0])
     for w, t, o in [(f"w{i}".encode(), i % 2, 3) for i in range(n)] + [(b"zzz", 0, 1), ("été".encode(), 5, 0)]:
         full = b"    " + w + b" "
         for i in range(4, len(full)):
-            for k in range(5):
-                c = want[k, int.from_bytes(full[i - k : i + 1])]
-                c[0] += 1 if k < 4 else t
-                c[1] += 0 if k < 4 else o
+            c = want[int.from_bytes(full[i - 4 : i + 1])]
+            c[0] += t
+            c[1] += o
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
+def test_toxicity_models_are_kneser_ney(spark):
+    toxic, ordinary = ["idiot", "idiotic", "moron", "été"], ["idle", "idea", "more", "moral", "étage"]
+    rows = [(bytearray(w.encode()), i + 1, 0) for i, w in enumerate(toxic)] + [(bytearray(w.encode()), 0, 2) for w in ordinary]
+    t = toxicity.ngram_counts(spark.createDataFrame(rows, "word binary, toxic long, ordinary long")).toArrow()
+    models = toxicity.Models(*(t[c].to_numpy() for c in ("key", "toxic", "ordinary")))
+    grams = lambda w: [(b"    " + w + b" ")[i - 4 : i + 1] for i in range(4, len(w) + 5)]
+    counts = [Counter(), Counter()]
+    for w, a, b in rows:
+        for g in grams(bytes(w)):
+            counts[0][g] += a
+            counts[1][g] += b
+    kinds = {5: {g for c in counts for g, n in c.items() if n}}
+    for k in (4, 3, 2, 1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+    lefts = {k: Counter(g[1:] for g in kinds[k + 1]) for k in (4, 3, 2, 1)}
+
+    def p(g, c):
+        if len(g) == 1:
+            return (lefts[1][g] + 0.5) / (sum(lefts[1].values()) + 128)
+        own = c if len(g) == 5 else lefts[len(g)]
+        of = {x: n for x, n in own.items() if n and x[:-1] == g[:-1]}
+        total = sum(of.values())
+        if not total:
+            return p(g[1:], c)
+        return max(of.get(g, 0) - 0.75, 0) / total + 0.75 * len(of) / total * p(g[1:], c)
+
+    some = [w.encode() for w in ("idiot", "ideal", "more", "moronic", "zebra", "été")]
+    want = [sum(math.log(p(g, counts[0])) - math.log(p(g, counts[1])) for g in grams(w)) for w in some]
+    assert np.allclose(models.evidence(some), want, atol=1e-4)
+
+
 def test_toxicity_learns_from_words_seen_once(spark):
     # 270,000 different words to learn from, each seen once; the toxic ones come last in byte order
     word = lambda i: f"{i:06d}".translate(str.maketrans("0123456789", "abcdefghij"))
@@ -432,7 +469,9 @@ def test_arc_versions_and_round_trip(spark, tmp_path):
     page = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\n</p>"
     data = [(5, "http://a b/", page), (2, None, page), (9, "u", page), (3, "u", "small"), (4, "u", "small"), (7, "u", None), (8, "u", ""), (None, "u", page), (2, None, page)]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
-    warc.write_warc(warc.mark_revisits(warc.read_arc(warc.pages_to_arc(df))), str(tmp_path / "w"), 2)
+    parsed = warc.read_arc(warc.pages_to_arc(df))
+    index = warc.payload_index(parsed)
+    warc.write_warc(warc.mark_revisits(parsed, index), str(tmp_path / "w"), index, 4000)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
     want = Counter()
     for i, _, h in data:
@@ -462,7 +501,7 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
     import corpus_pipeline as c
 
-    data = [d for d in corpus() if d[0] is not None][:-1]
+    data = corpus()
     spark.createDataFrame(data, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     leak = " ".join(data[9][1].split()[5:30])
@@ -471,8 +510,15 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
     for name, f in c.STAGES[:-1]:
         out = f(spark, d, str(tmp_path))
         assert out.columns == d.columns, name
+        if name == "toxicity":
+            assert out.count() == d.count()
         if name == "decontaminate":
             assert {r.doc_id for r in d.collect()} - {r.doc_id for r in out.collect()} == {9}
         d = out
-    final = {r.doc_id for r in c.run(spark, str(tmp_path)).collect()}
-    assert 10 in final and 9 not in final and not final & {40, 41, 42, 43, 44}
+    final = Counter(r.doc_id for r in c.run(spark, str(tmp_path)).collect())
+    assert final[10] and 9 not in final and not set(final) & {40, 41, 42, 43, 44}
+    silent = {i for i, t, *_ in data if not (t or "").strip()}
+    assert silent <= set(final) and final[None] == 1 and final[0] == 2
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
