@@ -17,10 +17,11 @@ sets; sets of similarity J or more lie within 1 - J by the first, and within
    between parity sketches of fixed size: a metric that never exceeds the true
    difference. Members that may be partners of the pivot are compared with it
    exactly; what is linked to it is one component, so a block of copies is done
-   after one comparison each. What is left is compared in waves, farthest first:
-   members of other components within the triangle window |d(x, p) - d(y, p)|,
-   and near enough by their own sketches, are compared exactly. A block ends
-   when it is one component or every pair is decided, so the result is exact.
+   after one comparison each. What is left of the blocks of one pivot is
+   compared in waves, farthest first: members of other components within the
+   triangle window |d(x, p) - d(y, p)|, and near enough by their own sketches,
+   are compared exactly. A group ends when it is one component or every pair is
+   decided, so the result is exact.
 
 N-grams are compared by 64-bit hashes that mix whole words. Equal sets are one
 node: sets are told apart by 128 bits, and a node's 64-bit name is changed where
@@ -47,7 +48,7 @@ from pyspark.sql.window import Window
 from ..functions.storage import connected_components, discard, materialise
 from .common import bit_filter, drop_ids, each_text, map_texts, mix64, ngram_hashes, passes, word_hashes
 
-SKETCH, FIRST_WAVE = 1024, 64
+SKETCH, FIRST_WAVE, GROWTH = 1024, 64, 4
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -255,18 +256,19 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     links = _verify(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b")), sets, percent)
     labels = connected_components(links)
 
-    left = _open_blocks(member, labels).where("fp <> pivot").drop("label").join(far.select("pivot", "fp", "dist"), ["pivot", "fp"])
-    order = Window.partitionBy("content").orderBy(F.desc("dist"), "fp")
-    left = materialise(left.withColumn("rank", F.row_number().over(order)))
+    # the blocks of one pivot are one group from here on, so that two sets meet
+    # once for a pivot and not once for each class content they share
+    order = Window.partitionBy("pivot").orderBy(F.desc("dist"), "fp")
+    left = materialise(_open_groups(far.select("pivot", "fp", "dist"), labels).drop("label").withColumn("rank", F.row_number().over(order)))
     top, upto = left.agg(F.max("rank")).first()[0] or 0, 0
     while upto < top:
-        low, upto = upto, max(FIRST_WAVE, 16 * upto)
-        now = _open_blocks(left.where(F.col("rank") > low), labels).join(brief, "fp")
-        side = lambda t: now.select("content", *(F.col(c).alias(c[:2] + t) for c in ("fp", "size", "sketch", "dist", "rank", "label")))  # noqa: E731, B023
+        low, upto = upto, max(FIRST_WAVE, GROWTH * upto)
+        now = _open_groups(left.where(F.col("rank") > low), labels).join(brief, "fp")
+        side = lambda t: now.select("pivot", *(F.col(c).alias(c[:2] + t) for c in ("fp", "size", "sketch", "dist", "rank", "label")))  # noqa: E731, B023
         x, y = side("a").where(F.col("raa") <= upto), side("b")
         most = _may_differ("sia", "sib", percent)
         window = (F.col("raa") < F.col("rab")) & (F.col("laa") != F.col("lab")) & (F.abs(F.col("dia") - F.col("dib")) <= most)
-        near = x.join(y, "content").where(window & (_apart("ska", "skb") <= most))
+        near = x.join(y, "pivot").where(window & (_apart("ska", "skb") <= most))
         near = materialise(near.select(F.least("fpa", "fpb").alias("a"), F.greatest("fpa", "fpb").alias("b")).distinct())
         if near.limit(1).count():
             new = _verify(near, sets, percent)
@@ -281,11 +283,12 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     return rows, labels.withColumnRenamed("node", "fp")
 
 
-def _open_blocks(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of blocks that are not yet one component, with labels."""
+def _open_groups(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (pivot, fp, ...) of groups that are not yet one component,
+    with labels."""
     m = member.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    many = m.groupBy("content").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("content")
-    return m.join(many, "content", "left_semi")
+    many = m.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("pivot")
+    return m.join(many, "pivot", "left_semi")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
