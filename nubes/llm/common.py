@@ -230,22 +230,29 @@ def may_have(bitset, col: str):
     return maybe(F.col(col).cast("long"))
 
 
-HOT, SPREAD = 5000, 64
+HOT, SPREAD, FEW = 5000, 64, 100_000
 
 
 def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], by: str, count: str = "n") -> DataFrame:
     """Inner join of many ``rows`` with unique ``keys``, whose ``count`` says how
     many rows each has. Keys with more than HOT rows are repeated SPREAD times,
     and their rows spread over the copies by the hash of ``by``, so that no key
-    binds its rows to one task. on[0] is a long."""
-    hot = keys.where(F.col(count) > HOT).select(on[0])
-    keys = keys.drop(count)
-    if not hot.limit(1).count():
+    binds its rows to one task. on[0] is a long. Up to FEW hot keys are
+    broadcast to mark the rows, more than that go into a bit filter."""
+    hot = keys.where(F.col(count) > HOT).select(on[0]).distinct()
+    keys, n_hot = keys.drop(count), hot.count()
+    if not n_hot:
         return rows.join(keys, on)
-    hit = may_have(bit_filter(hot, on[0]), on[0])
-    salt = fresh(rows, "salt")[0]
-    left = rows.withColumn(salt, F.when(hit, F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0))
-    right = keys.withColumn(salt, F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")))
+    mark, salt = fresh(rows, "mark", "salt")
+    if n_hot <= FEW:
+        marked = F.broadcast(hot.withColumn(mark, F.lit(True)))
+        rows, keys = (t.join(marked, on[0], "left") for t in (rows, keys))
+    else:
+        bits = bit_filter(hot, on[0])
+        rows, keys = (t.withColumn(mark, may_have(bits, on[0])) for t in (rows, keys))
+    hit = F.coalesce(F.col(mark), F.lit(False))
+    left = rows.withColumn(salt, F.when(hit, F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0)).drop(mark)
+    right = keys.withColumn(salt, F.explode(F.when(hit, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))).cast("array<long>"))).drop(mark)
     return left.join(right, [*on, salt]).drop(salt)
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_filter, discard, each_text, fresh, join_hot, map_texts, materialise, mix64, passes, run_hashes, split_by_filter, word_bounds, word_hashes
+from .common import bit_filter, each_text, fresh, join_hot, map_texts, materialise, mix64, passes, run_hashes, split_by_filter, word_bounds, word_hashes
 
 MIN_WORDS, PREFIX = 50, 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -53,7 +53,7 @@ class Windows:
 
     def __init__(self, raw: np.ndarray, size: int, prefix: int):
         self.words = word_hashes(raw)
-        self.n, self.size = max(0, len(self.words) - size + 1), size
+        self.n, self.size, self.prefix = max(0, len(self.words) - size + 1), size, prefix
         if not self.n:
             return
         self.grams = run_hashes(self.words, prefix)
@@ -68,10 +68,15 @@ class Windows:
         return self.least[self.begin]
 
     def extensions(self) -> np.ndarray:
-        """For each run the hash of all its windows in order."""
-        full = run_hashes(self.words, self.size)
-        place = (np.arange(self.n) - np.repeat(self.begin, self.end - self.begin)).astype(np.uint64)
-        return mix64(np.add.reduceat(mix64(full + place * _STEP), self.begin) + (self.end - self.begin).astype(np.uint64))
+        """For each run the hash of all words that its windows reach: of the
+        leading words of every PREFIX-th suffix, and of the last."""
+        at, last = self.begin.copy(), self.end - 1 + self.wide - 1
+        h, live = mix64((last - at).astype(np.uint64)), np.arange(len(at))
+        while len(live):
+            h[live] = mix64(h[live] * _STEP ^ self.grams[np.minimum(at[live], last[live])])
+            live = live[at[live] < last[live]]
+            at[live] += self.prefix
+        return h
 
     def suffixes(self, chosen: np.ndarray):
         """(position, first and last window) of the retained suffixes of the chosen runs."""
@@ -83,62 +88,73 @@ class Windows:
             yield from zip(own[cut].tolist(), (b + cut).tolist(), (b + np.append(cut[1:], e - b) - 1).tolist(), strict=True)
 
 
-def _scan(docs: DataFrame, size: int, prefix: int, schema: str, rows_of) -> DataFrame:
-    """Run ``rows_of(windows)``, a tuple of arrays, over each text with an id;
-    the id goes first in each row."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def _anchors(docs: DataFrame, size: int, prefix: int) -> DataFrame:
+    """``doc_id, anchor, ext`` of each run of each text with an id."""
 
     def run(batches):
         for b in batches:
-            ids, parts, lens, size_now = [], [], [], 0
-            ends = b.num_rows - 1
-            for j, (i, raw) in enumerate(zip(b.column(0).to_pylist(), each_text(b), strict=True)):
-                w = Windows(raw, size, prefix) if i is not None else None
-                if w and w.n:
-                    part = rows_of(w)
-                    ids.append(i), parts.append(part), lens.append(len(part[0]))
-                    size_now += len(part[0])
-                if parts and (size_now > 100_000 or j == ends):
-                    cols = [np.concatenate(c).view(np.int64) for c in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), lens)), *map(pa.array, cols)], names=names)
-                    ids, parts, lens, size_now = [], [], [], 0
+            for at in range(0, b.num_rows, 200):
+                part, ids, anchors, exts = b.slice(at, 200), [], [], []
+                for i, raw in zip(part.column(0).to_pylist(), each_text(part), strict=True):
+                    w = Windows(raw, size, prefix) if i is not None else None
+                    if w and w.n:
+                        anchors.append(w.anchors()), exts.append(w.extensions())
+                        ids.append(np.full(len(anchors[-1]), i, np.int64))
+                if ids:
+                    cols = [np.concatenate(ids), *(np.concatenate(x).view(np.int64) for x in (anchors, exts))]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["doc_id", "anchor", "ext"])
 
-    return map_texts(docs.select("doc_id", "text"), run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, anchor long, ext long")
 
 
 SUFFIXES = "anchor long, doc_id long, at long, lo long, hi long, ahead binary, behind binary"
 NAMES = [x.split()[0] for x in SUFFIXES.split(", ")]
 
 
-def _suffixes(docs: DataFrame, size: int, prefix: int, mixed) -> DataFrame:
-    """The retained suffixes whose anchor passes the filter: ``at`` is the
-    suffix's word, ``lo`` to ``hi`` the windows that chose it; ``ahead`` and
-    ``behind`` are the hashes of the words that those windows reach from it
-    rightwards and, backwards, leftwards."""
+def _suffixes(docs: DataFrame, size: int, prefix: int, plain, mixed) -> DataFrame:
+    """The runs whose anchor may be a shared one: those of the filter ``plain``
+    as ``anchor, doc_id, lo, hi`` alone; of those of ``mixed`` the retained
+    suffixes: ``at`` is the suffix's word, ``lo`` to ``hi`` the windows that
+    chose it; ``ahead`` and ``behind`` are the hashes of the words that those
+    windows reach from it rightwards and, backwards, leftwards."""
 
     def run(batches):
         for b in batches:
-            rows, held = [], 0
+            rows, runs, n_runs = [], [], 0
 
-            def flush(rows):
+            def suffixes(rows):
                 cols = list(zip(*rows, strict=True))
                 return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], names=NAMES)
 
+            def whole(runs):
+                anchor, doc, lo, hi = (pa.array(np.concatenate(c)) for c in zip(*runs, strict=True))
+                n = len(anchor)
+                return pa.RecordBatch.from_arrays([anchor, doc, pa.nulls(n, pa.int64()), lo, hi, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=NAMES)
+
             for i, raw in zip(b.column(0).to_pylist(), each_text(b), strict=True):
                 w = Windows(raw, size, prefix) if i is not None else None
                 if not w or not w.n:
                     continue
                 anchors = w.anchors()
-                big = w.words.astype(">u8")
-                signed = w.least.view(np.int64)
-                for at, lo, hi in w.suffixes(np.flatnonzero(passes(mixed.value, anchors))):
-                    rows.append((int(signed[lo]), i, at, lo, hi, big[at : hi + size].tobytes(), big[lo:at][::-1].tobytes()))
-                    held += 1
-                    if held == 2000:
-                        yield flush(rows)
-                        rows, held = [], 0
+                k = np.flatnonzero(passes(plain.value, anchors))
+                if len(k):
+                    runs.append((anchors[k].view(np.int64), np.full(len(k), i, np.int64), w.begin[k], w.end[k] - 1))
+                    n_runs += len(k)
+                k = np.flatnonzero(passes(mixed.value, anchors))
+                if len(k):
+                    big, signed = w.words.astype(">u8"), w.least.view(np.int64)
+                    for at, lo, hi in w.suffixes(k):
+                        rows.append((int(signed[lo]), i, at, lo, hi, big[at : hi + size].tobytes(), big[lo:at][::-1].tobytes()))
+                        if len(rows) == 2000:
+                            yield suffixes(rows)
+                            rows = []
+                if n_runs > 50_000:
+                    yield whole(runs)
+                    runs, n_runs = [], 0
             if rows:
-                yield flush(rows)
+                yield suffixes(rows)
+            if runs:
+                yield whole(runs)
 
     return map_texts(docs.select("doc_id", "text"), run, SUFFIXES)
 
@@ -221,23 +237,14 @@ def find_repeats(docs: DataFrame, size: int = MIN_WORDS, prefix: int = PREFIX) -
     if not 1 <= prefix <= size:
         raise ValueError("prefix must be between 1 and size")
 
-    anchors = _scan(docs, size, prefix, "doc_id long, anchor long, ext long", lambda w: (w.anchors(), w.extensions())).groupBy("anchor").agg(
+    anchors = _anchors(docs, size, prefix).groupBy("anchor").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("ext") != F.max("ext")).alias("mixed"), F.count(F.lit(1)).alias("n")
     )
     anchors = materialise(anchors.where("first < last").drop("last"))
-    plain, mixed = anchors.where("not mixed").drop("mixed"), bit_filter(anchors.where("mixed"), "anchor")
-    shared = bit_filter(plain, "anchor")
-
-    def whole_runs(w):
-        a = w.anchors()
-        k = passes(shared.value, a)
-        return a[k], w.begin[k], w.end[k] - 1
-
-    runs = join_hot(_scan(docs, size, prefix, "doc_id long, anchor long, lo long, hi long", whole_runs), plain, ["anchor"], "doc_id").select("doc_id", "lo", "hi", "first")
-
-    suffixes = materialise(_suffixes(docs, size, prefix, mixed))
-    windows = materialise(_shared_windows(suffixes, size, prefix))
-    discard(suffixes)
+    plain, mixed = anchors.where("not mixed").drop("mixed"), anchors.where("mixed")
+    found = materialise(_suffixes(docs, size, prefix, bit_filter(plain, "anchor"), bit_filter(mixed, "anchor")))
+    runs = join_hot(found.where("ahead is null").select("doc_id", "anchor", "lo", "hi"), plain, ["anchor"], "doc_id").select("doc_id", "lo", "hi", "first")
+    windows = materialise(_shared_windows(found.where("ahead is not null"), size, prefix))
     equal = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
     single = join_hot(windows, equal, ["h", "h2"], "doc_id").select("doc_id", "lo", F.col("lo").alias("hi"), "first").distinct()
 
