@@ -8,7 +8,7 @@ has seen to its left (Kneser-Ney's continuation counts), so a rare expression
 counts for neither class unless its class has seen its like. A document's
 evidence is the difference of the two log-likelihoods divided by its number of
 words (and pieces); a logistic curve, fitted on documents that the models have
-not seen, turns it into a score.
+not seen and on the supposition that some labels are wrong, turns it into a score.
 
 The models are fitted on a bounded sample of labelled rows: SAMPLE documents
 of each class at most, those whose ids hash lowest, with all their words. The
@@ -31,6 +31,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +180,27 @@ def _evidence(docs: DataFrame, shared) -> DataFrame:
     return map_texts(docs, run, "doc_id long, label int, evidence double")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+class Curve(NamedTuple):
+    """Evidence to the probability of label 1: a logistic curve between the
+    shares ``low`` and ``high`` of label 1 far below and far above it, with the
+    odds corrected for the classes' shares in the sample."""
+
+    slope: float
+    cut: float
+    low: float = 0.0
+    high: float = 1.0
+    odds: float = 1.0
+
+    def __call__(self, e: np.ndarray) -> np.ndarray:
+        p = self.low + (self.high - self.low) / (1 + np.exp(-np.clip(self.slope * e + self.cut, -500, 500)))
+        return p * self.odds / (p * self.odds + 1 - p)
+
+    def column(self, e: Column) -> Column:
+        p = self.low + (self.high - self.low) / (1 + F.exp(-(self.slope * e + self.cut)))
+        return p * self.odds / (p * self.odds + 1 - p)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a lightly ridged logistic fit by Newton steps."""
     scale = x.std() or 1.0
     a = np.stack([x / scale, np.ones(len(x))], axis=1)
@@ -193,17 +214,31 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> Curve:
+    """The curve of labels some of which are wrong: in turns, how likely each
+    row's true class is 1, and the curve and the shares of wrong labels that
+    then fit best."""
+    (slope, cut), low, high = _logistic(x, y), 0.02, 0.9
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + cut, -30, 30)))
+        true = np.where(y == 1, p * high / (p * high + (1 - p) * low), p * (1 - high) / (p * (1 - high) + (1 - p) * (1 - low)))
+        slope, cut = _logistic(x, true)
+        low = float(np.clip(((1 - true) @ y + 0.5) / ((1 - true).sum() + 1), 1e-3, 0.25))
+        high = float(np.clip((true @ y + 0.5) / (true.sum() + 1), 0.5, 0.999))
+    return Curve(slope, cut, low, high)
+
+
 def may_learn(doc_id: Column) -> Column:
     return F.coalesce(crc_mod(doc_id, FOLDS) != HELD, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(broadcast models, slope, intercept) from the rows that may be learned from;
-    None without words of labelled documents of both classes."""
+    """(broadcast models, curve) from the rows that may be learned from; None
+    without words of labelled documents of both classes."""
     labelled = labels.where(may_learn(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = dict(labelled.groupBy("label").count().collect())
     if len(n) < 2:
-        return None, 0.0, 0.0
+        return None, None
     order = F.xxhash64("doc_id")
     picked = [labelled.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(picked[0].unionAll(picked[1]))
@@ -231,30 +266,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     counts = map_texts(rows.where("part > 0"), count, "word binary, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     table = ngram_counts(counts).toArrow()
     if not table.num_rows:
-        return None, 0.0, 0.0
+        return None, None
     models = Models(*(table[c].to_numpy() for c in ("key", "toxic", "ordinary")))
     shared = docs.sparkSession.sparkContext.broadcast(models)
     del table, models
     fit = _evidence(rows.where("part = 0").drop("part"), shared).select("label", "evidence").collect()
     if len({r["label"] for r in fit}) < 2:
-        share = n[1] / (n[0] + n[1])
-        return shared, 1.0, float(np.log(share / (1 - share)))
+        return shared, Curve(1.0, float(np.log(n[1] / n[0])))
     x, y = np.array([r["evidence"] for r in fit]), np.array([r["label"] for r in fit], float)
-    slope, cut = fit_curve(x, y)
     # the sample holds the classes in other shares than the labels do
-    picked_share = y.mean()
-    cut += float(np.log(n[1] / n[0]) - np.log(picked_share / (1 - picked_share)))
-    return shared, slope, cut
+    return shared, fit_curve(x, y)._replace(odds=float(n[1] / n[0] * (1 - y.mean()) / y.mean()))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row."""
-    shared, slope, cut = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
+    shared, curve = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
     rows = docs.select("doc_id", F.lit(0).alias("label"), "text")
     if shared is None:
         ev, p = rows.select("doc_id", F.lit(0.0).alias("evidence")), F.lit(0.0)
     else:
-        ev, p = _evidence(rows, shared), 1 / (1 + F.exp(-(slope * F.col("evidence") + cut)))
+        ev, p = _evidence(rows, shared), curve.column(F.col("evidence"))
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return ev.select("doc_id", held.alias("held_out"), p.alias("score"), (p >= threshold).cast("int").alias("predicted"), "evidence")
 
@@ -262,17 +293,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold or have no words, all
     columns as they are; without a model every row stays."""
-    shared, slope, cut = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
+    shared, curve = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample)
     if shared is None:
         return docs
-    least = float(np.log(threshold / (1 - threshold)))
-
     def run(batches):
         scorer = Scorer(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ev = np.array(scorer(each_text(part)))
-                yield part.filter(pa.array((slope * ev + cut < least) | (ev == 0)))
+                yield part.filter(pa.array((curve(ev) < threshold) | (ev == 0)))
 
     return map_texts(docs, run, docs.schema)
