@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELD_TYPES = {"SCALAR": 1, "VECTOR": None, "COLOR": 3, "NORMAL": 3, "INTENSITY": 1, "SEMANTIC": 1, "INSTANCE": 1}
-FIELD_TITLES = {k: k.capitalize() for k in FIELD_TYPES}
 COORDS = ("x", "y", "z")
 RESERVED = {"points", "cloud_id", "point_id", "doc_name", "visible", *COORDS}
 FORMAT_VERSION = 1

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import apply_colormap, component, instance_color
+from ..functions.color import GREY_153, apply_colormap, component, instance_color
 from ..model import FIELD_TYPES, RESERVED, cast_field, check_width, default_type, default_value, field_types, typed
 from .labels import class_lookup
 
@@ -225,4 +225,4 @@ def colorize(df: DataFrame, field_name: str, kind: str, lo: float | None = None,
             return seen.withColumn("rgb", apply_colormap(v, name, F.lit(float(lo)), F.lit(float(hi))))
         ends = seen.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
         return seen.crossJoin(F.broadcast(ends)).withColumn("rgb", apply_colormap(v, name, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    return seen.withColumn("rgb", F.array(*[F.lit(153)] * 3))
+    return seen.withColumn("rgb", F.array(*map(F.lit, GREY_153)))
