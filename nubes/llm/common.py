@@ -156,14 +156,15 @@ def each_text(batch: pa.RecordBatch, col: str = "text"):
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of ``n`` consecutive words; empty if there are fewer."""
+    """Hashes of the runs of ``n`` consecutive words, a few at most; empty if
+    there are fewer."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     h = np.full(m, n, np.uint64)
     for i in range(n):
-        h = mix64(h ^ words[i : i + m])
-    return h
+        h = h * _GOLD + words[i : i + m]
+    return mix64(h)
 
 
 def run_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
@@ -192,7 +193,7 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 def bit_filter(df: DataFrame, col: str):
     """A broadcast bit set of the hashes in ``col``: 16 bits for each row of
-    ``df``, at least 8 KB and never more than 32 MB. It only spares work: members
+    ``df`` (a written table, as it is read twice), at least 8 KB and never more than 32 MB. It only spares work: members
     always pass, the others that pass are removed by the exact joins that follow."""
     n = df.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))

@@ -241,12 +241,15 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     regions = Regions(percent)
     rows, clash = _named_sets(docs, n)
     shared = _contents(docs, n, regions, clash).groupBy("content").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    shared = materialise(shared.select("content"))
     blocks = materialise(_contents(docs, n, regions, clash, bit_filter(shared, "content")).select("content", "fp").distinct())
     # the pivot of a block is its smallest fingerprint; single members drop out
     pivots = blocks.groupBy("content").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot < last").select("content", "pivot")
     member = materialise(blocks.join(pivots, "content"))
-    discard(blocks)
-    sets = materialise(_shingles_of(docs, n, member.select("fp").distinct(), clash))
+    discard(shared, blocks)
+    wanted = materialise(member.select("fp").distinct())
+    sets = materialise(_shingles_of(docs, n, wanted, clash))
+    discard(wanted)
     brief = sets.select("fp", F.size("shingles").alias("size"), "sketch")
 
     # distances to the pivots, in the sketches' metric
