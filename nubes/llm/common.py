@@ -44,6 +44,19 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def in_lots(batches, rows: int = 20_000):
+    """Batches of small rows put together to ``rows`` rows or more, so that array
+    operations are worth their overhead."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def release() -> None:
     """Return what Arrow's pool and the C library hold unused to the system."""
     pa.default_memory_pool().release_unused()

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, map_texts, materialise
+from .common import each_text, in_lots, map_texts, materialise
 from .pieces import TOKENIZER, Pieces, expected_counts, word_log_likelihood
 
 FOLDS, HELD = 10, 0
@@ -94,7 +94,7 @@ def train_pieces(counts: DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) ->
 
         def run(batches, logp=logp):
             total, n_words = np.zeros(n), 0
-            for b in batches:
+            for b in in_lots(batches):
                 w = b.column(0).to_pylist()
                 for at in range(0, len(w), 20_000):
                     total += expected_counts(shared.value, logp.value, w[at : at + 20_000])
@@ -150,8 +150,8 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int =
     def run(batches):
         (index, base, model, count, rest), (own, weights) = known.value, lattice.value
         uid = TaskContext.get().partitionId() << 33
+        main, rare = [], []
         for b in batches:
-            main, rare = [], []
             for i, raw in zip(b.column(0).to_pylist(), each_text(b), strict=True):
                 t = tokens(raw)
                 ids = np.fromiter(map(index.get, t, repeat(-1)), np.int64, len(t))
@@ -162,10 +162,10 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int =
                 if len(hit) < len(t):
                     rare += [(w, uid, k, mine * k) for w, k in Counter([t[j] for j in np.flatnonzero(ids < 0)]).items()]
                 uid += 1
-                if len(rare) > 200_000:
+                if len(rare) > 100_000 or len(main) > 10_000:
                     yield _rows(main, rare, own, weights, tail)
                     main, rare = [], []
-            yield _rows(main, rare, own, weights, tail)
+        yield _rows(main, rare, own, weights, tail)
 
     rows = map_texts(docs.select("doc_id", "text"), run, ROWS)
     j = rows.join(counts.where(F.octet_length("word") > 0), "word", "left").withColumn("c", F.coalesce(F.col("c"), F.lit(0)))

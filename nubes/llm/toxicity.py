@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, each_text, map_texts
+from .common import crc_mod, each_text, in_lots, map_texts
 
 ORDER, DISCOUNT = 4, 0.75
 SAMPLE, PIECE = 6000, 40
@@ -83,7 +83,7 @@ def ngram_counts(counts: DataFrame) -> DataFrame:
     distinct words as word, toxic, ordinary."""
 
     def run(batches):
-        for b in batches:
+        for b in in_lots(batches):
             words = b.column(0).to_pylist()
             weights = [b.column(i).to_numpy() for i in (1, 2)]
             for some, key in _keys(words):
