@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, lmscore, media, repeats, segment, sharding, toxicity, warc
+from . import align, bpe, chat, decontaminate, jaccard, lmscore, media, repeats, resample, segment, sharding, toxicity, warc
 from .common import table, work_dir
 
+#: Where the public tokenizers are described and found (path() gives a file's place).
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -112,6 +114,37 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM f
 """
 
+
+
+def _tokenizer(name: str) -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align every document's tokens of two tokenizers."""
+    aligned = align.align_tokens(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), _tokenizer(PIECE_BPE), ["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = align.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw a tenth of the documents towards the benchmark's words."""
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document by byte-level BPE and decode it again."""
+    path = _tokenizer(BYTE_BPE)
+    ids = bpe.encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True, drop_text=True)
+    back = bpe.decode_bpe(ids, path)
+    n = (F.octet_length("token_ids") / 4).cast("long")
+    return back.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_lm_score": op2_lm_score,
@@ -123,5 +156,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_align": op11_align,
+    "op12_resample": op12_resample,
+    "op13_bpe": op13_bpe,
 }
 SQL = {"op1_chat": OP1_SQL, "op10_warc": OP10_SQL}
