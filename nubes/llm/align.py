@@ -23,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe
+from .bpe import ByteBpe, Lexicon
 from .common import discard, map_texts, materialise
 
-LOT, COMMON = 1 << 19, 1 << 18
+LOT, COMMON = 1 << 18, 1 << 18
 MARK = "▁"
+CHUNK = re.compile(" *[^ ]+| +")
 
 
 class PieceModel:
@@ -61,10 +63,24 @@ class PieceModel:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         #: pieces end where a blank begins, and a blank is added before a text
+        self.known = Lexicon()
+        self.blank = self.model.encode("a ")[1:]
         self.ends_at_blanks = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode("a", out_type=str)[0].startswith(MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+        """Ids of texts. Where pieces end before blanks, each distinct chunk (a
+        word with the blanks before it) of a lot is encoded once; its first
+        blank is the one that the model adds."""
+        if not self.ends_at_blanks:
+            return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+        lot = [CHUNK.findall(" " + t) for t in texts]
+        if new := self.known.new(lot):
+            got = self.model.encode([c[1:] for c in new], num_threads=1)
+            if new[0] == " ":
+                got[0] = self.blank
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self.known.learn(new, np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes)
+        return [self.known.ids(words) for words in lot]
 
 
 class Side:
@@ -91,8 +107,9 @@ def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     covers = pd.merge_asof(fa, fb, on="at", by="unit")  # A's starts in B's tokens
     inside = pd.merge_asof(fb, fa, on="at", by="unit")  # B's starts in A's tokens
     inside = inside[a.start[inside["a"].to_numpy()] != inside["at"].to_numpy()]  # common starts are there already
-    both = pd.concat([covers[["a", "b"]], inside[["a", "b"]]]).sort_values(["a", "b"])
-    return both["a"].to_numpy(), both["b"].to_numpy()
+    a_at, b_at = (np.concatenate([covers[c].to_numpy(), inside[c].to_numpy()]) for c in "ab")
+    order = np.argsort(a_at + b_at, kind="stable")  # overlaps go up on both sides
+    return a_at[order], b_at[order]
 
 
 class Aligner:

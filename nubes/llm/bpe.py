@@ -58,6 +58,36 @@ def _unassigned() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
+class Lexicon:
+    """Ids of words seen lately, KNOWN of them at most between two lots."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add new words, whose ids follow each other."""
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+
+    def new(self, lot: list[list[str]]) -> list[str]:
+        """The words of a lot that are not known."""
+        if len(self.index) > KNOWN:
+            self.forget()
+        return sorted(set().union(*lot).difference(self.index))
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The ids of words that are all known, in order."""
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary, its words known so far, and both directions."""
 
@@ -105,7 +135,7 @@ class ByteBpe:
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.words, self.border, self.odd = regex.compile(PATTERN), regex.compile(r"(?<=\S)(?= )"), _unassigned()
         self._library = self._ranks = None
-        self._forget()
+        self.known = Lexicon()
 
     # ------------------------------------------------------------------ words
 
@@ -186,31 +216,23 @@ class ByteBpe:
                     tree[i] = least
         return [s for s in sym if s >= 0]
 
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
     def _learn(self, words: list[str]) -> None:
         """Encode words that are not known yet and remember their ids."""
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        out: list[np.ndarray] = [None] * len(raw)
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(size, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        for some in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
             n = int(size[some[0]])
             if n > LONG:
                 for i in some:
-                    out[i] = np.array(self._merge_long(raw[i]), np.uint32)
+                    ids.append(np.array(self._merge_long(raw[i]), np.int64)), sizes.append(np.array([len(ids[-1])]))
                 continue
             for lot in np.split(some, range(ROWS, len(some), ROWS)):
                 got = self._merge_rows(np.frombuffer(b"".join([raw[i] for i in lot]), np.uint8).reshape(len(lot), n))
                 kept = got >= 0
-                for i, ids in zip(lot, np.split(got[kept].astype(np.uint32), np.cumsum(kept.sum(axis=1))[:-1]), strict=True):
-                    out[i] = ids
-        for w in words:
-            self.index[w] = len(self.index)
-        self.flat = np.concatenate([self.flat, *out])
-        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in out]))
+                ids.append(got[kept]), sizes.append(kept.sum(axis=1))
+        self.known.learn([words[i] for i in order], np.concatenate(ids), np.concatenate(sizes))
 
     # ------------------------------------------------------------------ texts
 
@@ -244,17 +266,10 @@ class ByteBpe:
 
         def flush():
             nonlocal chars
-            if len(self.index) > KNOWN:
-                self._forget()
-            new = set().union(*lot).difference(self.index)
-            if new:
-                self._learn(sorted(new))
-            find = self.index.__getitem__
+            if new := self.known.new(lot):
+                self._learn(new)
             for words, i in zip(lot, owner, strict=True):
-                which = np.fromiter(map(find, words), np.int64, len(words))
-                first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
-                end = np.cumsum(size)
-                out[i].append(self.flat[np.repeat(first - end + size, size) + np.arange(end[-1])])
+                out[i].append(self.known.ids(words))
             lot.clear(), owner.clear()
             chars = 0
 
@@ -318,4 +333,4 @@ def decode_bpe(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str
                     got.append(None)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(got, pa.string())], names=[*kept, text])
 
-    return map_texts(df, run, df.select(*kept).withColumn(text, F.lit("")).schema)
+    return map_texts(df, run, df.select(*kept).withColumn(text, F.lit(None).cast("string")).schema)
