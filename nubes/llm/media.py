@@ -247,22 +247,25 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Read a stored table back: digests of payload and stored form, and a
-    feature made of the image's difference hash and the sum of its tiles as read."""
+    """Read a stored table back; all is computed from the bytes as read: digests
+    of payload and stored form, the length without padding (no UTF-8 text has
+    the padding byte), and a feature made of the decoded image's difference hash
+    and the sum of the decoded tiles."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for m, d, own in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for m, own in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 media = m.as_py()
-                payload = decode(media).tobytes()
+                image = decode(media)
+                payload = image.tobytes()
                 tile_sum = zlib.crc32(b"".join(read_tile(t["npy"]).tobytes() for t in own))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{d}-{tile_sum:08x}"))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in FEATURES.split(", ")])
+                rows.append((len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}-{tile_sum:08x}"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return map_texts(stored.select(*(x.split()[0] for x in STORED.split(", ")[:5])), run, FEATURES)
+    return map_texts(stored.select("doc_id", "media", "tiles"), run, FEATURES)
 
 
 def store(df: DataFrame, path: str) -> DataFrame:
