@@ -46,6 +46,18 @@ def occupied_cells(points: DataFrame, size: float) -> DataFrame:
     return voxel_members(points, size).select(*CELL).distinct().agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def with_curve(points: DataFrame, name: str = "curve") -> DataFrame:
+    """Add each point's place on a Z-order curve through the cloud's box (21
+    bits an axis): points that are near each other in it are near in space."""
+    box = F.broadcast(bounding_box(points))
+    out = points.crossJoin(box).selectExpr("*", *(f"least(greatest(CAST((CAST({c} AS double) - min_{c}) / (max_{c} - min_{c}) * 2097152 AS bigint), 0L), 2097151L) AS _{c}" for c in AXES))
+    # Each step moves half of the bits apart, until two gaps follow each
+    for by, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        out = out.withColumns({"_" + c: F.expr(f"(_{c} | shiftleft(_{c}, {by})) & {mask}L") for c in AXES})
+    out = out.withColumn(name, F.expr("shiftleft(_x, 2) | shiftleft(_y, 1) | _z"))
+    return out.drop(*("_" + c for c in AXES), *(f"{m}_{c}" for m in ("min", "max") for c in AXES))
+
+
 def scalar_range(points: DataFrame, field: str) -> DataFrame:
     """One row: ``lo, hi`` of a field over the visible points."""
     from .select import visible_points

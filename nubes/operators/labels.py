@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.color import GREY_204
+from ..functions.storage import materialise
 
 ID = "point_id"
 
@@ -42,9 +43,14 @@ def classes_present(points: DataFrame, field: str, classes: DataFrame) -> DataFr
 
 def label_combinations(points: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct combinations with ``n``, ``first_id`` and a dense ``combo_id``.
-    Only the distinct combinations are numbered."""
+    Only the distinct combinations are numbered, in range partitions: each row's
+    place in its partition plus the rows of the partitions before it."""
     combos = points.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.min(ID).alias("first_id"))
-    return combos.withColumn("combo_id", (F.row_number().over(Window.orderBy(*cols)) - 1).cast("int"))
+    parts = materialise(combos.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1
+    return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("combo_id", (F.col("_place") + F.col("_before")).cast("int")).drop("_part", "_place", "_before")
 
 
 def flatten_labels(points: DataFrame, cols: list[str], name: str = "label") -> DataFrame:

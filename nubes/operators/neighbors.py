@@ -3,35 +3,40 @@
 The range join is an equi-join on grid cells of edge 2 r: a point is copied to
 every cell that its r-box meets, eight at most, the other side stays in its own
 cell. Spark shuffles by cell and may split crowded cells; distances are tested
-inside the join. Neighbour lists are never collected: sums are enough.
+inside the join. Neighbour lists are never collected: sums are enough, and
+where points are crowded they come from the moments of cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import eigenvalues, let, smallest_normal
+from .moments import crowded_cells, crowded_sums
 
 AXES = ("x", "y", "z")
 
 
-def neighbor_pairs(query: DataFrame, points: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def neighbor_pairs(query: DataFrame, points: DataFrame, r: float, keys: tuple[str, ...] = (), of_query: tuple[str, ...] = (), of_points: tuple[str, ...] = ()) -> DataFrame:
     """``q_id, p_id, dx, dy, dz`` (and the key columns) for all points within r
     of each query point, itself included if it is among the points. Offsets run
-    from the query to the point. r <= 0 gives no pairs."""
+    from the query to the point. r <= 0 gives no pairs. Columns ``of_query`` and
+    ``of_points`` (of different names) come along."""
     if r <= 0:
         query = query.limit(0)
         r = 1
+    r = float(r)
     edge = 2 * r
-    ranges = [F.sequence(F.floor((F.col(c) - r) / edge), F.floor((F.col(c) + r) / edge)) for c in AXES]
-    q = query.select(*keys, F.col("point_id").alias("q_id"), *(F.col(c).alias("q" + c) for c in AXES), *(a.alias("s" + c) for a, c in zip(ranges, AXES, strict=True)))
+    quoted = [f"`{c}`" for c in keys]
+    q = query.selectExpr(*quoted, *of_query, "point_id AS q_id", *(f"{c} AS q{c}" for c in AXES), *(f"sequence(floor(({c} - {r!r}D) / {edge!r}D), floor(({c} + {r!r}D) / {edge!r}D)) AS s{c}" for c in AXES))
     for c in AXES:
-        q = q.withColumn("c" + c, F.explode("s" + c)).drop("s" + c)
-    p = points.select(*keys, F.col("point_id").alias("p_id"), *AXES, *(F.floor(F.col(c) / edge).alias("c" + c) for c in AXES))
-    d = [F.col(c) - F.col("q" + c) for c in AXES]
-    near = sum(x * x for x in d) <= r * r
-    return q.join(p, [*keys, "cx", "cy", "cz"]).where(near).select(*keys, "q_id", "p_id", *(x.alias("d" + c) for x, c in zip(d, AXES, strict=True)))
+        q = q.selectExpr("* EXCEPT (s" + c + ")", f"explode(s{c}) AS c{c}")
+    p = points.selectExpr(*quoted, *of_points, "point_id AS p_id", *AXES, *(f"floor({c} / {edge!r}D) AS c{c}" for c in AXES))
+    near = " + ".join(f"({c} - q{c}) * ({c} - q{c})" for c in AXES) + f" <= {r * r!r}D"
+    return q.join(p, [*keys, "cx", "cy", "cz"]).where(near).selectExpr(*quoted, "q_id", "p_id", *(f"{c} - q{c} AS d{c}" for c in AXES), *of_query, *of_points)
 
 
 def radius_query(points: DataFrame, center: tuple[float, float, float], r: float) -> DataFrame:
@@ -50,10 +55,35 @@ def scatter(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 SIX = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
+def neighborhood_sums(query: DataFrame, points: DataFrame, r: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``q_id, n`` and the six sums of the scatter about each query point that
+    has neighbours. Where cells are crowded, cells' moments stand in for pairs
+    (``moments``); a first pass over the points finds such cells."""
+    if r <= 0:
+        return scatter(neighbor_pairs(query, points, r, keys), keys)
+    edge, by = float(r) * (1 + 1e-9), list(keys)
+    dense = crowded_cells(query, points, by, edge)
+    if not dense.limit(1).count():
+        return scatter(neighbor_pairs(query, points, r, keys), keys)
+    cell = [F.floor(F.col(c) / edge).alias("c" + c) for c in AXES]
+    loose = lambda df: df.select(*by, "point_id", *AXES, *cell).join(dense, [*by, "cx", "cy", "cz"], "left_anti").drop("cx", "cy", "cz")
+    thin = loose(query)
+    plain = scatter(neighbor_pairs(thin, thin if query is points else loose(points), r, keys), keys)
+    every = plain.unionByName(crowded_sums(query, points, dense, float(r), edge, by))
+    return every.groupBy(*by, "q_id").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in SIX))
+
+
 def eigen_features(sums: DataFrame, scale: float = 1.0, normals: bool = True, eigenvals: bool = True) -> DataFrame:
     """Add ``eigenvalues``, ``planarity``, ``sphericity`` and ``normal`` to rows
     with the six sums (multiplied by ``scale``)."""
-    scaled = sums.withColumns({c: F.col(c) * scale for c in SIX})
+    scaled = sums if scale == 1.0 else sums.withColumns({c: F.col(c) * scale for c in SIX})
+    return scaled.withColumn("_f", _features(normals, eigenvals)).select(*(c for c in sums.columns if c not in SIX), "_f.*")
+
+
+@functools.lru_cache
+def _features(normals: bool, eigenvals: bool) -> Column:
+    """The struct of features of columns named SIX; a long expression that
+    operators with many steps use again and again."""
     six = [F.col(c) for c in SIX]
 
     def features(v):
@@ -61,7 +91,7 @@ def eigen_features(sums: DataFrame, scale: float = 1.0, normals: bool = True, ei
         parts = [v.alias("eigenvalues"), F.try_divide(mid - low, high).alias("planarity"), F.try_divide(low, high).alias("sphericity")] if eigenvals else []
         return F.struct(*parts, *([smallest_normal(*six, v).alias("normal")] if normals else []))
 
-    return scaled.withColumn("_f", let(eigenvalues(*six), features)).select(*(c for c in sums.columns if c not in SIX), "_f.*")
+    return let(eigenvalues(*six), features)
 
 
 def field_names(radius: float) -> dict[str, str]:
@@ -70,11 +100,11 @@ def field_names(radius: float) -> dict[str, str]:
 
 def compute_features(points: DataFrame, radius: float, normals: bool = True, eigenvals: bool = True, scale: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per point: neighbour count and the features of its neighbourhood."""
-    sums = scatter(neighbor_pairs(points, points, radius, keys), keys)
+    sums = neighborhood_sums(points, points, radius, keys)
     return eigen_features(sums, scale, normals, eigenvals).withColumnRenamed("q_id", "point_id")
 
 
 def compute_normals(points: DataFrame, subset: DataFrame, radius: float, scale: float = 1.0) -> DataFrame:
     """``point_id, normal`` of the subset's points among all points."""
-    sums = scatter(neighbor_pairs(subset, points, radius))
+    sums = neighborhood_sums(subset, points, radius)
     return eigen_features(sums, scale, normals=True, eigenvals=False).select(F.col("q_id").alias("point_id"), "normal")

@@ -1,23 +1,14 @@
-"""Components of voxels, plane segments, clean-up, region graph.
-
-Regions are found by rounds of joins instead of one growing seed at a time:
-neighbours with like normals and small plane distance are edges, components of
-edges are candidates, a plane is fitted to each, members that do not fit and
-regions that are too small go back to the next round.
-"""
+"""Components of voxels, clean-up of regions, region graph."""
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.storage import connected_components, materialise
 from .grid import plane_fit
-from .neighbors import compute_normals, neighbor_pairs
+from .neighbors import neighbor_pairs
 
 ID, AXES = "point_id", ("x", "y", "z")
 CELL = 1.1547  # the edge of a cube inside a unit sphere
@@ -42,7 +33,7 @@ def voxel_components(points: DataFrame, eps: float, keys: tuple[str, ...] = ())
     own = points.select(*keys, ID, *(F.floor(F.col(c) / edge).alias("c" + c) for c in AXES))
     cells = materialise(own.groupBy(*keys, "cx", "cy", "cz").agg(F.min(ID).alias("node")))
     labels = connected_components(cell_adjacency(cells, keys))
-    named = cells.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("node", "label")
+    named = cells.join(labels.withColumnRenamed("label", "_least"), "node", "left").withColumn("component", F.coalesce("_least", "node")).drop("node", "_least")
     return own.join(named, [*keys, "cx", "cy", "cz"]).select(*keys, ID, "component")
 
 
@@ -54,55 +45,6 @@ def region_offsets(regions: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     return per.withColumn("region_offset", F.coalesce(F.sum("n_regions").over(w), F.lit(0)))
 
 
-def segment_planes(points: DataFrame, epsilon: float = 0.03, k: float = 3.0, alpha: float = 0.15 * math.pi, max_dist: float = 50.0, min_points: int = 80, perform_cca: bool = True, oriented: bool = False, max_rounds: int | None = None, chunk: str | None = None) -> DataFrame:
-    """``point_id, region_id`` (and the chunk): the region's smallest member, or
-    -1. Rounds go on until one finds no region, each other one assigning
-    min_points points or more, or until ``max_rounds`` if given."""
-    more = [chunk] if chunk else []
-    base = materialise(points.select(ID, *AXES, *more))
-    normals = compute_normals(base, base, epsilon)
-    left = materialise(base.join(normals, ID, "left"))
-    cos = math.cos(alpha)
-    done = None
-    for _ in itertools.count() if max_rounds is None else range(max_rounds):
-        has = left.where("normal is not null")
-        pairs = neighbor_pairs(has, has, epsilon, tuple(more)).where("q_id < p_id")
-        n = has.select(F.col(ID).alias("q_id"), F.col("normal").alias("nq"))
-        m = has.select(F.col(ID).alias("p_id"), F.col("normal").alias("np"))
-        d = pairs.join(n, "q_id").join(m, "p_id")
-        dot = lambda a, b: sum(F.get(F.col(a), F.lit(i)) * (F.get(F.col(b), F.lit(i)) if isinstance(b, str) else b[i]) for i in range(3))
-        off = [F.col("d" + c) for c in AXES]
-        like = dot("nq", "np") if oriented else F.abs(dot("nq", "np"))
-        flat = (F.abs(dot("nq", off)) <= k * epsilon) & (F.abs(dot("np", off)) <= k * epsilon)
-        labels = connected_components(d.where((like > cos) & flat).select("q_id", "p_id"), "q_id", "p_id")
-        got = has.join(labels.select(F.col("node").alias(ID), F.col("label").alias("region_id")), ID)
-        got = _big(got, min_points)
-        fit = plane_fit(got, "region_id").select("region_id", "cx", "cy", "cz", F.col("normal").alias("plane"))
-        away = [F.col(c) - F.col("c" + c) for c in AXES]
-        dist = F.sqrt(sum(a * a for a in away))
-        tilt = dot("normal", "plane") if oriented else F.abs(dot("normal", "plane"))
-        fits = (F.abs(dot("plane", away)) <= k * epsilon) & (tilt > cos + (1 - cos) * dist / max_dist)
-        kept = got.join(fit, "region_id").where(fits).drop("cx", "cy", "cz", "plane")
-        if perform_cca:
-            kept = materialise(kept)
-            parts = voxel_components(kept, epsilon, ("region_id",)).select(ID, F.col("component"))
-            kept = kept.drop("region_id").join(parts, ID).withColumnRenamed("component", "region_id")
-        kept = materialise(_big(kept, min_points).select(ID, "region_id"))
-        if not kept.limit(1).count():
-            break
-        done = kept if done is None else materialise(done.unionByName(kept))
-        left = materialise(left.join(kept, ID, "left_anti"))
-    if done is None:
-        return base.select(ID, *more, F.lit(-1).cast("long").alias("region_id"))
-    named = done.join(done.groupBy("region_id").agg(F.min(ID).alias("_least")), "region_id").select(ID, F.col("_least").alias("region_id"))
-    return base.select(ID, *more).join(named, ID, "left").withColumn("region_id", F.coalesce("region_id", F.lit(-1)).cast("long"))
-
-
-def _big(regions: DataFrame, least: int) -> DataFrame:
-    big = regions.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("region_id")
-    return regions.join(big, "region_id", "left_semi")
-
-
 def clean_up(points: DataFrame, regions: DataFrame, epsilon: float = 0.03, k: float = 3.0) -> DataFrame:
     """Give each point without region the neighbouring region of the least
     d / eps + plane distance / (eps k), if the plane is within eps k."""

@@ -55,6 +55,30 @@ def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     raise ValueError(f"unknown operation {how}")
 
 
+def replay_selections(log: DataFrame, ops: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The selection after a log of set operations: ``ops`` has ``seq, how``,
+    ``log`` the operands' rows ``seq, point_id``. Undo and redo are a smaller or
+    larger ``as_of``; nothing is selected before the first operation.
+
+    Each point's bit is folded over the operations that name it. INTERSECTION
+    and OVERWRITE clear the bit of points that they don't name: whether one lies
+    between two operations of a point is told by running counts over the table
+    of operations, a row each, so the log is shuffled once, by point."""
+    if as_of is not None:
+        ops, log = ops.where(F.col("seq") <= as_of), log.where(F.col("seq") <= as_of)
+    how = F.upper("how")
+    known = F.when(how.isin("UNION", "DIFFERENCE", "INTERSECTION", "EXCLUSION", "OVERWRITE"), how).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce("how", F.lit("null")))))
+    clears = F.expr("CAST(how IN ('INTERSECTION', 'OVERWRITE') AS int)")
+    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ops = ops.withColumn("how", known).select("seq", "how", F.sum(clears).over(w).alias("upto"), clears.alias("clear"))
+    rows = log.select("seq", ID).distinct().join(ops, "seq")
+    each = rows.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("seq", "how", "upto", "clear"))).alias("s"))
+    step = """aggregate(s, named_struct('bit', false, 'seen', 0L), (a, e) -> named_struct('bit', CASE e.how WHEN 'UNION' THEN true WHEN 'OVERWRITE' THEN true WHEN 'DIFFERENCE' THEN false
+      WHEN 'INTERSECTION' THEN a.bit AND e.upto - e.clear = a.seen ELSE NOT (a.bit AND e.upto - e.clear = a.seen) END, 'seen', e.upto))"""
+    last = ops.agg(F.max("upto").alias("all"))
+    return each.select(ID, F.expr(step).alias("f")).crossJoin(F.broadcast(last)).where("f.bit AND f.seen = all").select(ID)
+
+
 def deselect(points: DataFrame) -> DataFrame:
     return points.select(ID).limit(0)
 

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.color import COLOR_MAPS, apply_colormap
 from ..functions.geometry import steady
 from ..functions.storage import work_dir
-from ..operators import fields, grid, labels, neighbors, schema, segment, select
+from ..operators import fields, grid, growth, labels, neighbors, schema, segment, select
 from ..sources import documents, toollog
 from .views import E_SQL, L_SQL, Q_SQL, V_SQL, points_e, points_l, points_v, quantised
 
@@ -42,6 +43,19 @@ e5 AS (SELECT *, q + 2 * p * cos(phi) AS high, q + 2 * p * cos(phi + 2 * pi() /
 e6 AS (SELECT *, greatest(l0, 0.0) AS low, greatest(3 * q - high - l0, 0.0) AS mid FROM e5)"""
 
 
+def _plane_sql() -> str:
+    """CTEs from ``i`` (region_id, x, y, z) to ``pl``: each region's centre px,
+    py, pz and normal ux, uy, uz."""
+    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
+    firsts, seconds = ", ".join(f"sum(d{c}) AS t{c}" for c in "xyz"), ", ".join(f"sum(d{p[0]} * d{p[1]}) AS b{p}" for p in pairs)
+    return f"""
+m AS (SELECT region_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM i GROUP BY region_id),
+o AS (SELECT i.region_id, {", ".join(f"i.{c} - round(m.s{c} / m.n) AS d{c}" for c in "xyz")} FROM i JOIN m ON i.region_id = m.region_id),
+t AS (SELECT region_id, {firsts}, {seconds} FROM o GROUP BY region_id),
+s AS (SELECT t.region_id, n, sx, sy, sz, {", ".join(f"b{p} - t{p[0]} * t{p[1]} / n AS {p}" for p in pairs)} FROM t JOIN m ON t.region_id = m.region_id),
+{_eigen_sql("s")}, {_normal_sql()}, pl AS (SELECT region_id, sx / n AS px, sy / n AS py, sz / n AS pz, ux, uy, uz FROM n7)"""
+
+
 def _normal_sql() -> str:
     """CTEs after _eigen_sql: unit normal ux, uy, uz, null where ambiguous."""
     return """
@@ -408,10 +422,11 @@ def schema_from_labels(spark, d):
     return schema.schema_from_labels(points_e(spark, d), ["sem", "inst"])
 
 
-@query(f"WITH {E_SQL}, {_CLASSES} SELECT id AS old_id, CASE WHEN id = 0 THEN -1 ELSE id + 10 END AS new_id FROM cl")
+@query(f"WITH {E_SQL}, {_CLASSES} SELECT id AS old_id, CASE WHEN id <= 0 THEN -1 ELSE id + 10 END AS new_id FROM cl")
 def schema_diff(spark, d):
+    """Ids moved by ten, -1 kept: the removed class becomes unlabelled."""
     c = _classes(spark, d)
-    edited = c.where("id <> 0").select(F.col("id").alias("original_id"), (F.col("id") + 10).alias("id"))
+    edited = c.where("id <> 0").select(F.col("id").alias("original_id"), F.when(F.col("id") >= 0, F.col("id") + 10).otherwise(F.col("id")).alias("id"))
     return schema.schema_diff(c, edited)
 
 
@@ -481,12 +496,37 @@ def colorize_instance(spark, d):
     return _rgb(fields.colorize(points_e(spark, d), "inst", "INSTANCE"))
 
 
+# the default map: its control points' positions and components, as numbers of SQL
+def _steps_sql(points, c: int) -> str:
+    num = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    points = sorted(points)
+    steps = " ".join(f"WHEN t <= {num(b[0])} THEN {num(a[c])} + (t - {num(a[0])}) * {num((b[c] - a[c]) / (b[0] - a[0]))}" for a, b in zip(points, points[1:], strict=False))
+    return f"(CASE {steps} ELSE {num(points[-1][c])} END)"
+
+
 @query(
-    f"""WITH {V_SQL}, t AS (SELECT point_id, greatest(least((CAST(vec[2] AS DOUBLE) - -1.0) / (1.0 - -1.0), 1.0), 0.0) AS t FROM points_v)
-SELECT point_id, CAST(trunc((CASE WHEN t <= 0.2 THEN 0.5 + (t - 0.0) * ((0.0 - 0.5) / (0.2 - 0.0)) WHEN t <= 0.6 THEN 0.0 WHEN t <= 0.8 THEN 0.0 + (t - CAST(0.6 AS DOUBLE)) * ((1.0 - 0.0) / (CAST(0.8 AS DOUBLE) - CAST(0.6 AS DOUBLE))) ELSE 1.0 END) * 255) AS INT) AS r FROM t"""
+    f"WITH {V_SQL}, t AS (SELECT point_id, greatest(least((CAST(vec[2] AS DOUBLE) - -1.0) / (1.0 - -1.0), 1.0), 0.0) AS t FROM points_v) SELECT point_id, "
+    + ", ".join(f"CAST(trunc({_steps_sql(COLOR_MAPS['rainbow'][1], i + 1)} * 255) AS INT) AS {c}" for i, c in enumerate("rgb"))
+    + " FROM t"
 )
 def colorize_vector(spark, d):
-    return _rgb(fields.colorize(points_v(spark, d), "vec", "VECTOR", lo=-1.0, hi=1.0, index=1)).select("point_id", "r")
+    return _rgb(fields.colorize(points_v(spark, d), "vec", "VECTOR", lo=-1.0, hi=1.0, index=1))
+
+
+_HSV = [(1.0, 0.875, 0.5, 1.0), (0.0, 0.0, 1.0, 0.5), (0.5, 0.375, 0.75, 0.75)]
+
+
+@query(
+    f"""WITH {E_SQL}, t AS (SELECT point_id, greatest(least(intensity / CAST(80.0 AS DOUBLE), 1.0), 0.0) AS t FROM points_e), c AS (SELECT point_id, {", ".join(f"{_steps_sql(_HSV, i + 1)} AS {c}" for i, c in enumerate("hsv"))} FROM t),
+  k AS (SELECT point_id, floor(h * 6) AS k, h * 6 - floor(h * 6) AS f, s, v FROM c), w AS (SELECT point_id, CAST(k AS INT) % 6 AS k, v, v * (1 - s) AS p, v * (1 - s * f) AS q, v * (1 - s * (1 - f)) AS u FROM k)
+SELECT point_id, CAST(trunc((CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN u ELSE v END) * 255) AS INT) AS r,
+  CAST(trunc((CASE k WHEN 0 THEN u WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END) * 255) AS INT) AS g,
+  CAST(trunc((CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN u WHEN 3 THEN v WHEN 4 THEN v ELSE q END) * 255) AS INT) AS b FROM w"""
+)
+def colorize_hsv(spark, d):
+    """A map whose control points are hue, saturation and value."""
+    c = apply_colormap(F.col("intensity"), "own", 0.0, F.lit(80.0), {"own": ("hsv", _HSV)})
+    return _rgb(points_e(spark, d).withColumn("rgb", c))
 
 
 # ------------------------------------------------------------------ segmentation
@@ -516,13 +556,12 @@ def region_offsets(spark, d):
 
 @query()
 def segment_planes(spark, d):
-    return segment.segment_planes(points_e(spark, d), epsilon=0.8, min_points=4)
+    return growth.segment_planes(points_e(spark, d), epsilon=0.8, min_points=4)
 
 
 @query()
 def segment_chunked(spark, d):
-    p = grid.chunk_by_number(points_e(spark, d), 2, 2, 1)
-    return segment.segment_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id")
+    return growth.segment_chunked(points_e(spark, d), 2, 2, 1, epsilon=0.8, min_points=4)
 
 
 @query(
@@ -544,30 +583,66 @@ def clean_up(spark, d):
     return segment.clean_up(p, p.select("point_id", F.when(F.col("inst") == 0, -1).otherwise(F.col("sem")).alias("region_id")), 0.5, 3.0)
 
 
-def _faults(points, regions, epsilon, least):
-    """One row: how many regions are too small, not in one piece, or not named
-    by their smallest member; and how many points have a row."""
+def _faults(points, regions, planes, epsilon, least):
+    """One row: whether there are regions and a good part of the points has one;
+    how many regions are too small, not in one piece, not named by their
+    smallest member or of another size than said; how many members lie off
+    their plane; and how many points have a row."""
     p = points.select("point_id", *"xyz").join(regions, "point_id")
     inside = p.where("region_id >= 0")
-    parts = segment.voxel_components(inside, epsilon, ("region_id",)).groupBy("region_id").agg(F.count_distinct("component").alias("parts"), F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first"))
-    bad = parts.agg(F.count_if(F.col("n") < least).alias("n_small"), F.count_if(F.col("parts") > 1).alias("n_split"), F.count_if(F.col("first") != F.col("region_id")).alias("n_misnamed"))
-    return bad.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n_points"))))
+    parts = segment.voxel_components(inside, epsilon, ("region_id",)).groupBy("region_id").agg(F.count_distinct("component").alias("parts"), F.count(F.lit(1)).alias("size"), F.min("point_id").alias("first"))
+    said = parts.join(planes.select("region_id", "n"), "region_id", "full")
+    off = inside.join(planes, "region_id").where("abs(plane[0] * (x - px) + plane[1] * (y - py) + plane[2] * (z - pz)) > 3.000001 * " + repr(epsilon))
+    bad = said.agg(F.count_if(F.col("size") < least).alias("n_small"), F.count_if(F.col("parts") > 1).alias("n_split"), F.count_if(F.col("first") != F.col("region_id")).alias("n_misnamed"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("n_missized"))
+    share = p.agg(F.count(F.lit(1)).alias("n_points"), (F.count_if("region_id >= 0") * 4 >= F.count(F.lit(1))).alias("enough"), (F.count_distinct(F.expr("IF(region_id >= 0, region_id, NULL)")) > 1).alias("several"))
+    return bad.crossJoin(F.broadcast(off.agg(F.count(F.lit(1)).alias("n_off")))).crossJoin(F.broadcast(share))
 
 
-_FAULTS = f"WITH {E_SQL} SELECT 0 AS n_small, 0 AS n_split, 0 AS n_misnamed, count(*) AS n_points FROM points_e"
+_FAULTS = f"WITH {E_SQL} SELECT 0 AS n_small, 0 AS n_split, 0 AS n_misnamed, 0 AS n_missized, 0 AS n_off, true AS enough, true AS several, count(*) AS n_points FROM points_e"
 
 
 @query(_FAULTS)
 def segment_planes_faults(spark, d):
     """What every segmentation must hold to, whatever order regions are found in."""
     p = points_e(spark, d)
-    return _faults(p, segment.segment_planes(p, epsilon=0.8, min_points=4), 0.8, 4)
+    return _faults(p, *growth.grow_planes(p, epsilon=0.8, min_points=4), 0.8, 4)
 
 
 @query(_FAULTS)
 def segment_chunked_faults(spark, d):
     p = grid.chunk_by_number(points_e(spark, d), 2, 2, 1)
-    return _faults(p, segment.segment_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id").drop("chunk_id"), 0.8, 4)
+    regions, planes = growth.grow_planes(p, epsilon=0.8, min_points=4, chunk="chunk_id")
+    return _faults(p, regions.drop("chunk_id"), planes, 0.8, 4)
+
+
+_GRID = "event_id % 400 % 20 * 0.02D AS u, event_id % 400 div 20 * 0.02D AS v, event_id div 400 AS m"
+_GRID_SQL = "g AS (SELECT event_id AS point_id, event_id % 400 % 20 AS u, event_id // 400 AS m FROM events)"
+
+
+def grids(spark, d):
+    """The events as points of flat grids of 20 x 20 that stand apart, in three
+    directions, with one point far off in each."""
+    g = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS point_id", _GRID, "event_id % 400 = 399 AS away")
+    far = "m * 2D + IF(away, 1D, 0D)"
+    return g.selectExpr("point_id", f"IF(m % 3 = 2, 0D, u) + {far} AS x", "IF(m % 3 = 2, u, IF(m % 3 = 1, 0D, v)) AS y", "IF(m % 3 = 0, 0D, v) AS z")
+
+
+@query(f"WITH {_GRID_SQL}, s AS (SELECT m, min(point_id) AS first, count(*) AS n FROM g WHERE point_id % 400 <> 399 GROUP BY m) SELECT point_id, CASE WHEN point_id % 400 <> 399 AND n >= 100 THEN first ELSE -1 END AS region_id FROM g LEFT JOIN s ON g.m = s.m")
+def segment_grids(spark, d):
+    """Planes known beforehand: each grid is one region, but for its far point."""
+    return growth.segment_planes(grids(spark, d), epsilon=0.05, min_points=100)
+
+
+@query(
+    f"""WITH {_GRID_SQL}, c AS (SELECT point_id, 2 * m + (CASE WHEN u >= 10 THEN 1 ELSE 0 END) AS half FROM g WHERE point_id % 400 <> 399),
+  s AS (SELECT half, min(point_id) AS first, count(*) AS n FROM c GROUP BY half)
+SELECT g.point_id, CASE WHEN n >= 60 THEN first ELSE -1 END AS region_id FROM g LEFT JOIN c ON g.point_id = c.point_id LEFT JOIN s ON c.half = s.half"""
+)
+def segment_grids_chunked(spark, d):
+    """Each grid cut in its middle by a border of chunks: a region on either
+    side, with normals from both."""
+    p = grids(spark, d).withColumn("chunk_id", F.expr("point_id div 400 * 2 + IF(point_id % 400 % 20 >= 10, 1, 0)"))
+    return growth.segment_planes(p, epsilon=0.05, min_points=60, chunk="chunk_id").select("point_id", "region_id")
 
 
 @query(
@@ -598,9 +673,9 @@ def regions_per_chunk(spark, d):
 # ------------------------------------------------------------- columns, sources
 
 
-@query(f"WITH {V_SQL} SELECT point_id, x, y, z, sem, vec[1] AS vec_0, vec[2] AS vec_1 FROM points_v")
+@query(f"WITH {V_SQL} SELECT point_id, x, y, z, sem, {', '.join(f'vec[{i + 1}] AS vec_{i}' for i in range(64))} FROM points_v")
 def wide_record(spark, d):
-    return fields.to_wide(points_v(spark, d), {"vec": 2})
+    return fields.to_wide(points_v(spark, d), {"vec": 64})
 
 
 @query(
@@ -649,20 +724,20 @@ def scalar_range(spark, d):
     return grid.scalar_range(points_e(spark, d).withColumn("visible", F.col("inst") != 3), "intensity")
 
 
-@query(f"WITH {E_SQL} SELECT point_id, CAST(CASE WHEN sem < 0 THEN 0 ELSE sem * 10 END AS INT) AS r FROM points_e")
+@query(f"WITH {E_SQL} SELECT point_id, CAST(CASE WHEN sem < 0 THEN 0 ELSE sem * 10 END AS INT) AS r, 200 AS g, 3 AS b FROM points_e")
 def colorize_color(spark, d):
     c = F.array(F.greatest(F.col("sem") * 10.0, F.lit(0.0)), F.lit(200.0), F.lit(3.0))
-    return _rgb(fields.colorize(points_e(spark, d).withColumn("c", c), "c", "COLOR")).select("point_id", "r")
+    return _rgb(fields.colorize(points_e(spark, d).withColumn("c", c), "c", "COLOR"))
 
 
-@query(f"WITH {E_SQL} SELECT concat('scan_', inst) AS doc_name, count(*) AS n_points FROM points_e GROUP BY inst")
+@query(f"WITH {E_SQL} SELECT concat('scan_', inst) AS doc_name, 'PCD_0001' AS cloud_id, point_id, x, y, z, sem, intensity FROM points_e")
 def document_catalog(spark, d):
-    """Write one document an instance, list them, read them back and count."""
+    """Write one document an instance, list them and read them back."""
     root = work_dir(spark)
     p = points_e(spark, d).withColumns({"doc_name": F.concat(F.lit("scan_"), F.col("inst")), "cloud_id": F.lit("PCD_0001")})
     documents.write_documents(p, root)
     listed = documents.list_documents(spark, root).select("doc_name")
-    return documents.read_documents(spark, root).join(listed, "doc_name", "left_semi").groupBy("doc_name").agg(F.count(F.lit(1)).alias("n_points"))
+    return documents.read_documents(spark, root).join(listed, "doc_name", "left_semi").select("doc_name", "cloud_id", "point_id", "x", "y", "z", "sem", "intensity")
 
 
 from . import table_queries, value_queries  # noqa: E402, F401  (they register theirs)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import work_dir
 from ..model import typed
-from ..operators import fields, grid, labels, schema, segment
+from ..operators import fields, grid, labels, neighbors, schema, segment, select
 from ..sources import documents, files, toollog
 from ..sources.npy import read_npy
 from ..sources.ply import read_ply, write_ply
 from ..streaming.toollog import stream_tool_log
-from .queries import _BOX, _CATALOG, _CLASSES, _COMBOS, _catalog, _classes, query
+from .queries import _BOX, _CATALOG, _CLASSES, _COMBOS, _catalog, _classes, _plane_sql, query
 from .views import E_SQL, L_SQL, V_SQL, points_e, points_l, points_v
 
 # ------------------------------------------------------------------------ fields
@@ -81,6 +83,20 @@ def inspect_vector(spark, d):
     return fields.inspect_point(points_v(spark, d), 10, expand=True)
 
 
+_FOLD = {2: "inst = 1 OR sem = 2", 3: "(inst = 1 OR sem = 2) AND x < 15", 4: "((inst = 1 OR sem = 2) AND x < 15) <> (sem = 0)", 5: "(((inst = 1 OR sem = 2) AND x < 15) <> (sem = 0)) AND inst <> 3"}
+
+
+@query(f"WITH {E_SQL} " + " UNION ALL ".join(f"SELECT {k} AS as_of, point_id FROM points_e WHERE {w}" for k, w in _FOLD.items()))
+def selection_replay(spark, d):
+    """Five set operations as a log, after two to five of them."""
+    p = points_e(spark, d)
+    sets = (("OVERWRITE", "inst = 1"), ("UNION", "sem = 2"), ("INTERSECTION", "x < 15"), ("EXCLUSION", "sem = 0"), ("DIFFERENCE", "inst = 3"))
+    ops = spark.createDataFrame([(i + 1, how) for i, (how, _) in enumerate(sets)], "seq long, how string")
+    log = p.select(F.explode(F.array(*(F.when(F.expr(w), F.lit(i + 1)) for i, (_, w) in enumerate(sets)))).alias("seq"), "point_id").where("seq IS NOT NULL")
+    parts = [select.replay_selections(log, ops, k).select(F.lit(k).alias("as_of"), "point_id") for k in _FOLD]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- clouds, documents
 
 
@@ -143,11 +159,29 @@ def scan_schemas(spark, d):
 def update_documents(spark, d):
     """A schema edited in a whole set: labels remapped and classes replaced in
     the documents that use it, the others unchanged."""
-    root, target = _two_schemas(spark, d), work_dir(spark)
+    root = _two_schemas(spark, d)
+    old = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.array(*map(F.lit, c)).alias("color")) for i, n, c in ((0, "wall", (1, 2, 3)), (1, "floor", (4, 5, 6)))))
+    documents.update_documents(spark, root, "sem", "odd", old, _NEW, spark.createDataFrame([(0, 5, 1)], "old int, new int, seq int"))
+    last = documents.scan_schemas(spark, root).select("doc_name", F.array_max(F.transform(schema.schema_from_json(F.col("schema_json")), lambda c: c["id"])).alias("last_id"))
+    return documents.read_documents(spark, root).join(F.broadcast(last), "doc_name").select("point_id", "sem", "last_id")
+
+
+@query(f"WITH {E_SQL} SELECT 1 AS version, point_id, sem FROM points_e WHERE inst = 1 UNION ALL SELECT 3, point_id, CASE WHEN sem = 0 THEN 5 ELSE sem END FROM points_e WHERE inst = 1")
+def document_versions(spark, d):
+    """A document before and after an edit of its schema."""
+    root = _two_schemas(spark, d)
     old = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.array(*map(F.lit, c)).alias("color")) for i, n, c in ((0, "wall", (1, 2, 3)), (1, "floor", (4, 5, 6)))))
-    documents.update_documents(spark, root, target, "sem", "odd", old, _NEW, spark.createDataFrame([(0, 5, 1)], "old int, new int, seq int"))
-    last = documents.scan_schemas(spark, target).select("doc_name", F.array_max(F.transform(schema.schema_from_json(F.col("schema_json")), lambda c: c["id"])).alias("last_id"))
-    return documents.read_documents(spark, target).join(F.broadcast(last), "doc_name").select("point_id", "sem", "last_id")
+    last = documents.update_documents(spark, root, "sem", "odd", old, _NEW, spark.createDataFrame([(0, 5, 1)], "old int, new int, seq int"))
+    one = [documents.read_documents(spark, root, "scan_1", version=v).select(F.lit(v).alias("version"), "point_id", "sem") for v in (1, last)]
+    return one[0].unionByName(one[1])
+
+
+@query(f"WITH {E_SQL} SELECT point_id, (x - 15) * (x - 15) + (y - 2) * (y - 2) + (z - 5) * (z - 5) AS d2 FROM points_e WHERE (x - 15) * (x - 15) + (y - 2) * (y - 2) + (z - 5) * (z - 5) <= 9.0")
+def radius_query_saved(spark, d):
+    """A radius query over a set saved along a space-filling curve."""
+    root = work_dir(spark)
+    documents.write_documents(_named(spark, d), root, cluster=16)
+    return neighbors.radius_query(documents.read_documents(spark, root), (15.0, 2.0, 5.0), 3.0)
 
 
 @query(f"WITH {E_SQL} SELECT DISTINCT concat('scan_', inst) AS doc_name, CASE WHEN inst < 3 THEN 'top' WHEN inst < 5 THEN 'a' ELSE 'b' END AS place FROM points_e")
@@ -289,6 +323,13 @@ def schema_diff_targets(spark, d):
     return schema.schema_diff(c, c.where("id NOT IN (0, 1)").select(F.col("id").alias("original_id"), "id"), {0: 7})
 
 
+@query(f"WITH {E_SQL}, {_CLASSES} SELECT id AS old_id, CASE WHEN id = 0 THEN 13 ELSE id + 10 END AS new_id FROM cl WHERE id >= 0")
+def schema_diff_without_unlabelled(spark, d):
+    """No class -1 on either side: the removed class needs its target."""
+    c = _classes(spark, d).where("id >= 0")
+    return schema.schema_diff(c, c.where("id <> 0").select(F.col("id").alias("original_id"), (F.col("id") + 10).alias("id")), {0: 13})
+
+
 @query(f"WITH {E_SQL}, {_CLASSES} SELECT id FROM cl WHERE id <> 0 UNION ALL SELECT 0")
 def edit_classes(spark, d):
     """A class removed, and one added under the least free id."""
@@ -303,8 +344,8 @@ def schema_name_violations(spark, d):
     return schema.violations(c, name="s1", known=_catalog(spark, d), derived_from="s1")
 
 
-@query(f"WITH {E_SQL} SELECT inst AS region_id, count(*) AS n FROM points_e GROUP BY inst")
+@query(f"WITH {E_SQL}, i AS (SELECT *, inst AS region_id FROM points_e), {_plane_sql()} SELECT i.region_id, count(*) AS n, count(CASE WHEN abs((x - px) * ux + (y - py) * uy + (z - pz) * uz) > 1.5 THEN 1 END) AS n_far FROM i LEFT JOIN pl ON i.region_id = pl.region_id GROUP BY i.region_id")
 def plane_fits(spark, d):
-    """Members of each region, and (not compared) how many lie off its plane."""
+    """Members of each region, and how many lie off its plane."""
     p = points_e(spark, d)
-    return segment.plane_fits(p, p.select("point_id", F.col("inst").alias("region_id")), 0.5, 3.0).select("region_id", "n")
+    return segment.plane_fits(p, p.select("point_id", F.col("inst").alias("region_id")), 0.5, 3.0)

@@ -91,12 +91,18 @@ def text_on_color(spark, d):
     return points_e(spark, d).select("point_id", dark_text(F.array(F.col("inst") * 40, F.col("inst") * 30, F.lit(9))).alias("dark"))
 
 
-@query(f"WITH {E_SQL} SELECT count(*) AS n, 229 AS least_top, 229 AS most_top, 22 AS low FROM points_e")
+@query(f"WITH {E_SQL} SELECT count(*) AS n, 229 AS least_top, 229 AS most_top, 22 AS low, 6 AS n_sixths, true AS even, true AS again FROM points_e")
 def random_colors(spark, d):
     """Random hues of one value and saturation: the largest component is always
-    0.9 of 255, and the smallest a tenth of it."""
-    c = points_e(spark, d).select(random_color(7).alias("c"))
-    return c.agg(F.count(F.lit(1)).alias("n"), F.min(F.array_max("c")).alias("least_top"), F.max(F.array_max("c")).alias("most_top"), F.max(F.array_min("c")).alias("low"))
+    0.9 of 255, the smallest a tenth of it; all sixths of the colour circle have
+    their share, and a seed gives the same colours again."""
+    c = points_e(spark, d).select(random_color(7).alias("c"), random_color(7).alias("e"))
+    r, g, b = (F.get("c", F.lit(i)) for i in range(3))
+    sixth = F.when((r >= g) & (g > b), 0).when((g >= r) & (r > b), 1).when((g >= b) & (b > r), 2).when((b >= g) & (g > r), 3).when((b >= r) & (r > g), 4).otherwise(5)
+    per = c.withColumn("sixth", sixth).groupBy("sixth").agg(F.count(F.lit(1)).alias("k"), F.min(F.array_max("c")).alias("lt"), F.max(F.array_max("c")).alias("mt"), F.max(F.array_min("c")).alias("lo"), F.bool_and(F.col("c") == F.col("e")).alias("same"))
+    share = F.col("n") / 6
+    one = per.agg(F.sum("k").alias("n"), F.min("lt").alias("least_top"), F.max("mt").alias("most_top"), F.max("lo").alias("low"), F.count(F.lit(1)).alias("n_sixths"), F.min("k").alias("few"), F.max("k").alias("many"), F.bool_and("same").alias("again"))
+    return one.select("n", "least_top", "most_top", "low", "n_sixths", ((F.col("few") > 0.7 * share) & (F.col("many") < 1.3 * share)).alias("even"), "again")
 
 
 @query(f"WITH {E_SQL} SELECT point_id, 153 AS r, 153 AS g, 153 AS b FROM points_e WHERE inst <> 3")

@@ -6,7 +6,9 @@ local or shared storage. Binary files are cut in row ranges, one partition each.
 Rows of an ASCII file are only known by counting: ``read_ply`` reads such files
 as text in Spark's splits and numbers the lines by counts per split; through the
 plain format an ASCII file is one partition, read in batches.
-``df.write.format("ply")`` streams each partition to one binary file.
+``df.write.format("ply")`` streams each partition to one binary file: numbers
+keep their types, SHORT columns of colour names are uchar, LONG ones uint; a null
+or a value that its type can't hold is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2"
 ORDER = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}
 SPARK = {"i1": ByteType(), "u1": ShortType(), "i2": ShortType(), "u2": IntegerType(), "i4": IntegerType(), "u4": LongType(), "f4": FloatType(), "f8": DoubleType()}
 ARROW = {"i1": pa.int8(), "u1": pa.int16(), "i2": pa.int16(), "u2": pa.int32(), "i4": pa.int32(), "u4": pa.int64(), "f4": pa.float32(), "f8": pa.float64()}
+COLORS = ("red", "green", "blue", "alpha")
 ROWS = 1 << 18
 
 
@@ -46,7 +49,7 @@ class Header:
 
 
 def read_header(path: str) -> Header:
-    order, count, fields, element, offset = None, 0, [], None, 0
+    order, elements, offset = None, [], 0  # elements: name, count, fields
     with files.open_file(path) as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"{path} is not PLY")
@@ -55,15 +58,23 @@ def read_header(path: str) -> Header:
             if word[:1] == ["format"]:
                 order = ORDER[word[1]]
             elif word[:1] == ["element"]:
-                if word[1] != "vertex" and element is None and int(word[2]):
-                    raise ValueError("the vertex element must come first")
-                element = word[1] if element != "vertex" or word[1] == "vertex" else "after"
-                count = int(word[2]) if element == "vertex" else count
-            elif word[:1] == ["property"] and element == "vertex":
-                if word[1] == "list":
-                    raise ValueError("list properties of vertices are not supported")
-                fields.append((word[2], TYPES[word[1]]))
+                elements.append((word[1], int(word[2]), []))
+            elif word[:1] == ["property"] and elements:
+                elements[-1][2].append((word[-1], None if word[1] == "list" else TYPES[word[1]]))
         offset = f.tell()
+        at = next((i for i, e in enumerate(elements) if e[0] == "vertex"), len(elements))
+        for name, n, own in elements[:at]:  # rows of elements before the vertices are passed over
+            if order == "":
+                for _ in range(n):
+                    f.readline()
+                offset = f.tell()
+            elif n and any(t is None for _, t in own):
+                raise ValueError(f"binary element {name} before the vertices has lists, so its size is not known")
+            else:
+                offset += n * sum(np.dtype(t).itemsize for _, t in own)
+    count, fields = (elements[at][1], elements[at][2]) if at < len(elements) else (0, [])
+    if any(t is None for _, t in fields):
+        raise ValueError("list properties of vertices are not supported")
     missing = {"x", "y", "z"} - {n for n, _ in fields}
     if order is None or missing:
         raise ValueError(f"{path} lacks vertex properties {sorted(missing)}")
@@ -113,8 +124,12 @@ class Written(WriterCommitMessage):
 class PlyWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType):
         self.path = path.rstrip("/")
-        code = {"byte": "i1", "short": "u1", "integer": "i4", "float": "f4", "double": "f8", "long": "u4"}
-        self.fields = [(f.name, code[f.dataType.typeName()]) for f in schema.fields if f.name != "point_id"]
+        code = {"byte": "i1", "short": "i2", "integer": "i4", "float": "f4", "double": "f8", "long": "u4"}
+        fields = [f for f in schema.fields if f.name != "point_id"]
+        odd = [f.name for f in fields if f.dataType.typeName() not in code]
+        if odd:
+            raise ValueError(f"no PLY type holds {odd}")
+        self.fields = [(f.name, "u1" if f.name in COLORS and f.dataType.typeName() == "short" else code[f.dataType.typeName()]) for f in fields]
         if {"x", "y", "z"} - {n for n, _ in self.fields}:
             raise ValueError("x, y and z are needed")
 
@@ -126,8 +141,14 @@ class PlyWriter(DataSourceArrowWriter):
         with tempfile.TemporaryFile() as body:
             for b in batches:
                 rows = np.empty(b.num_rows, kind)
-                for n, _ in self.fields:
-                    rows[n] = b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+                for n, t in self.fields:
+                    col = b.column(b.schema.get_field_index(n))
+                    if col.null_count:
+                        raise ValueError(f"{n} has nulls, which PLY can't hold")
+                    values = col.to_numpy(zero_copy_only=False)
+                    if t in ("u1", "u4") and len(values) and not (0 <= values.min() and values.max() <= np.iinfo(t).max):
+                        raise ValueError(f"{n} has values beyond {names[t]}")
+                    rows[n] = values
                 body.write(rows.tobytes())
                 count += len(rows)
             head = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *(f"property {names[t]} {n}" for n, t in self.fields), "end_header", ""]
