@@ -64,7 +64,8 @@ def instance_color(i: Column) -> Column:
 
 
 def random_color(seed: int) -> Column:
-    return to_bytes(hsv_to_rgb(F.rand(seed), F.lit(0.9), F.lit(0.9)))
+    """A vivid colour of a random hue, which is drawn once for each row."""
+    return F.get(F.transform(F.array(F.rand(seed)), lambda hue: to_bytes(hsv_to_rgb(hue, F.lit(0.9), F.lit(0.9)))), F.lit(0))
 
 
 def component(v: Column, i: int) -> Column:

@@ -46,7 +46,30 @@ def discard(*tables: DataFrame | None) -> None:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, label`` for the ends of undirected edges: the smallest node that
-    each can reach. Null ends and self-edges add no reach.
+    each can reach. Labels spread to neighbours and jump to their labels'
+    labels, so the rounds grow with the logarithm of the longest path; each
+    round is a written table. Null ends and self-edges add no reach."""
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    both = materialise(both.unionAll(both.select("y", "x")).distinct())
+    labels = materialise(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"))
+    old = labels
+    while True:
+        seen = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("seen"))
+        near = labels.join(seen, F.col("node") == F.col("x")).select("node", "label", F.least("label", "seen").alias("near"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = near.join(jump, F.col("near") == F.col("via"), "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label"))
+        new = materialise(new)
+        changed = new.where("old <> label").limit(1).count()
+        discard(old)
+        old, labels = new, new.select("node", "label")
+        labels._written_to = new._written_to
+        if not changed:
+            discard(both)
+            return labels
+
+
+def contract_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """As connected_components, for large graphs with long paths.
 
     By contraction: each node joins the neighbour (or itself) that comes first
     in an order drawn anew each round, and edges are kept between these

@@ -9,7 +9,8 @@ several seeds, so regions that touch and lie in one plane are put together, pair
 by pair, from their moments alone; the steps of a round therefore depend on the
 distance of seeds, not on the size of planes. What holds of a region after that
 (members on its plane, in one piece, enough of them) is kept, the rest goes back.
-Seeds come closer from round to round. Rounds end when nothing is left, when the
+Seeds come closer from round to round, and what grows from them is put together
+with the regions kept before in the same way. Rounds end when nothing is left, when the
 latest attempts succeed too rarely, or when a round with the closest seeds finds
 nothing.
 
@@ -110,14 +111,15 @@ def _refit(regions: DataFrame, sums: DataFrame, multiplier: float) -> DataFrame:
     )
 
 
-def grow(free: DataFrame, start: DataFrame, epsilon: float, fit: Fit, keys: list[str], first_refit: int, multiplier: float) -> tuple[DataFrame, DataFrame]:
+def grow(free: DataFrame, start: DataFrame, epsilon: float, fit: Fit, keys: list[str], first_refit: int, multiplier: float, steps: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: the members of the regions grown from the seeds ``start``
-    until no front is left, and the regions with their planes."""
+    until no front is left or for so many steps, and the regions with their
+    planes."""
     own = start.selectExpr(f"{ID} AS _id", f"{ID} AS region")
     points = materialise(free.join(own, F.col(ID) == F.col("_id"), "left").drop("_id").selectExpr("*", "region IS NOT NULL AS fresh"))
     regions = materialise(start.selectExpr(f"{ID} AS region", *(f"{c} AS p{c}" for c in AXES), "normal AS plane", "1L AS n", "1L AS n_fresh", f"{float(first_refit)!r}D AS next", "false AS refitted"))
     state = points
-    while True:
+    for step in range(steps):
         front = state.where("fresh").join(regions.select("region", *PLANE), "region")
         left = state.where("region IS NULL").selectExpr("*", *(f"{c} AS u{c}" for c in AXES))
         near = neighbor_pairs(front, left, epsilon, tuple(keys), ("region", *PLANE), ("ux", "uy", "uz", "normal"))
@@ -129,10 +131,11 @@ def grow(free: DataFrame, start: DataFrame, epsilon: float, fit: Fit, keys: list
         points, regions = new, grown
         again = regions.where("refitted").selectExpr("region AS _r", *PLANE)
         state = points.join(again, F.col("region") == F.col("_r"), "left").selectExpr(*(f"`{c}`" for c in kept), "region", "fresh", f"(_r IS NULL OR {fit.holds()}) AS _on").selectExpr(*(f"`{c}`" for c in kept), "IF(_on, region, NULL) AS region", "(fresh AND _on) AS fresh")
-        if not (regions.agg(F.sum("n_fresh").alias("n")).first()["n"] or 0):
-            members = materialise(state.where("region IS NOT NULL"))
-            discard(points)
-            return members, regions
+        if step + 1 < steps and not (regions.agg(F.sum("n_fresh").alias("n")).first()["n"] or 0):
+            break
+    members = materialise(state.where("region IS NOT NULL"))
+    discard(points)
+    return members, regions
 
 
 def _touching(members: DataFrame, epsilon: float, keys: list[str]) -> DataFrame:
@@ -203,7 +206,8 @@ def grow_planes(points: DataFrame, epsilon: float = 0.03, k: float = 3.0, alpha:
     less far from the centre (``max_dist``). Planes are fitted at ``first_refit``
     members and each time the size has multiplied. ``tracker_size`` attempts,
     all counted as successes before the first, must succeed with a share of
-    ``min_success_ratio``. ``seed_spacing`` is in multiples of epsilon. With
+    ``min_success_ratio``: a seed succeeds if ``min_points`` points or more that
+    had no region are kept with it. ``seed_spacing`` is in multiples of epsilon. With
     ``chunk`` regions stay in a chunk, while neighbours of all chunks make the
     normals. ``normal`` names a column of given normals, which ``oriented``
     growth needs to tell sides apart. Points without normal stay at -1, and so
@@ -213,46 +217,46 @@ def grow_planes(points: DataFrame, epsilon: float = 0.03, k: float = 3.0, alpha:
     base = materialise(points.select(ID, *AXES, *keys, *([F.col(normal).cast("array<double>").alias("normal")] if normal else [])))
     shape = eigen_features(neighborhood_sums(base, base, epsilon), normals=True, eigenvals=True)
     shape = shape.select(F.col("q_id").alias(ID), F.coalesce("sphericity", F.lit(1.0)).alias("flat"), *([] if normal else ["normal"]))
-    free = materialise(base.join(shape, ID).where("normal IS NOT NULL").withColumn("tries", F.lit(0)))
-    done, tracker, spacing = [], deque([True] * tracker_size, tracker_size), max(seed_spacing, LEAST_SPACING)
+    whole = free = materialise(base.join(shape, ID).where("normal IS NOT NULL").withColumn("tries", F.lit(0)))
+    tracker, spacing, cols = deque([True] * tracker_size, tracker_size), max(seed_spacing, LEAST_SPACING), [ID, *keys, *AXES, "normal"]
+    held = planes_held = None
     for number in itertools.count(1):
         start = materialise(seeds(free, spacing * epsilon, keys))
         if not start.limit(1).count():
+            discard(start)
             break
-        members, regions = grow(free, start, epsilon, fit, keys, first_refit, refit_multiplier)
-        labels, planes = merge(members, regions, epsilon, fit, keys)
-        own = members.drop("fresh").join(labels, "region").join(planes.select("label", *PLANE), "label").where(fit.holds()).select(ID, *AXES, "label")
-        own = materialise(own)
+        members, regions = grow(free, start, epsilon, fit, keys, first_refit, refit_multiplier, math.ceil(1.5 * spacing))
+        every, fits = members.selectExpr(*cols, "region", "fresh", "true AS new"), regions.select("region", *PLANE)
+        if held is not None:
+            every = every.unionByName(held.selectExpr(*cols, "region_id AS region", "false AS fresh", "false AS new"))
+            fits = fits.unionByName(planes_held.selectExpr("region_id AS region", *PLANE))
+        labels, planes = merge(every, fits, epsilon, fit, keys)
+        own = materialise(every.drop("fresh").join(labels, "region").join(planes.select("label", *PLANE), "label").where(fit.holds()).select(*cols, "new", "label"))
         if perform_cca:
             named = voxel_components(own, epsilon, ("label",)).select(ID, "label", F.col("component").alias("region_id"))
         else:
             named = own.join(own.groupBy("label").agg(F.min(ID).alias("region_id")), "label").select(ID, "label", "region_id")
-        big = named.groupBy("label", "region_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points)
-        kept = materialise(named.join(big, ["label", "region_id"], "left_semi"))
-        found = materialise(kept.groupBy("label", "region_id").agg(F.count(F.lit(1)).alias("n")).join(planes.select("label", *PLANE), "label"))
-        failed = planes.join(found, "label", "left_anti").select(F.xxhash64("label").alias("h"), F.lit(False).alias("good"))
-        last = found.select(F.xxhash64("region_id").alias("h"), F.lit(True).alias("good")).unionAll(failed).orderBy("h").limit(tracker_size).collect()
-        tracker.extend(r["good"] for r in last)
+        found = named.groupBy("label", "region_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points)
+        found = materialise(found.join(planes.select("label", *PLANE), "label"))
+        kept = materialise(own.drop("label").join(named.join(found.select("label", "region_id"), ["label", "region_id"], "left_semi").select(ID, "region_id"), ID))
+        tries = labels.join(start.select(F.col(ID).alias("region")), "region", "left_semi").select("label").distinct()
+        gain = kept.groupBy("region_id").agg(F.count_if("new").alias("gain")).join(found, "region_id").groupBy("label").agg((F.sum("gain") >= min_points).alias("good"))
+        tries = tries.join(gain, "label", "left").select(F.xxhash64("label").alias("h"), F.coalesce("good", F.lit(False)).alias("good"))
+        last = [r["good"] for r in tries.orderBy("h").limit(tracker_size).collect()]
+        tracker.extend(last)
         seed = start.select(F.col(ID).alias("_seed"))
-        rest = free.join(kept, ID, "left_anti").join(seed, F.col(ID) == F.col("_seed"), "left").withColumn("tries", F.col("tries") + F.col("_seed").isNotNull().cast("int")).drop("_seed")
-        rest = materialise(rest)
-        discard(free, start, members, regions, labels, planes, own)
-        free = rest
-        some = any(r["good"] for r in last) or found.limit(1).count() > 0
-        if some:
-            done.append((kept.select(ID, "region_id"), found.select("region_id", "n", *PLANE)))
-        if number == max_rounds or sum(tracker) < min_success_ratio * tracker_size or (not some and spacing <= LEAST_SPACING):
+        rest = whole.join(kept.select(ID), ID, "left_anti").join(free.select(ID, F.col("tries").alias("_tries")), ID, "left").join(seed, F.col(ID) == F.col("_seed"), "left")
+        rest = materialise(rest.withColumn("tries", F.coalesce("_tries", F.lit(0)) + F.col("_seed").isNotNull().cast("int")).drop("_seed", "_tries"))
+        discard(start, members, regions, labels, planes, own, held, planes_held, None if free is whole else free)
+        free, held, planes_held = rest, kept, found
+        if number == max_rounds or sum(tracker) < min_success_ratio * tracker_size or (not any(last) and spacing <= LEAST_SPACING):
             break
-        spacing = max(LEAST_SPACING, spacing / 2) if some else LEAST_SPACING
-    if not done:
+        spacing = max(LEAST_SPACING, spacing / 2) if any(last) else LEAST_SPACING
+    if held is None:
         none = base.select(ID, *keys, F.lit(-1).cast("long").alias("region_id"))
         return none, none.limit(0).select("region_id", F.lit(0).cast("long").alias("n"), *(F.lit(0.0).alias("p" + c) for c in AXES), F.array(F.lit(0.0)).alias("plane"))
-    named, found = (list(t) for t in zip(*done, strict=True))
-    for t, more in ((named, named[1:]), (found, found[1:])):
-        for x in more:
-            t[0] = t[0].unionByName(x)
-    whole = base.select(ID, *keys).join(named[0], ID, "left").withColumn("region_id", F.coalesce("region_id", F.lit(-1)).cast("long"))
-    return whole, found[0]
+    named = base.select(ID, *keys).join(held.select(ID, "region_id"), ID, "left").withColumn("region_id", F.coalesce("region_id", F.lit(-1)).cast("long"))
+    return named, planes_held.select("region_id", "n", *PLANE)
 
 
 def segment_planes(points: DataFrame, **params) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import eigenvalues, let, smallest_normal
+from ..functions.storage import materialise
 from .moments import crowded_cells, crowded_sums
 
 AXES = ("x", "y", "z")
@@ -65,6 +66,7 @@ def neighborhood_sums(query: DataFrame, points: DataFrame, r: float, keys: tuple
     dense = crowded_cells(query, points, by, edge)
     if not dense.limit(1).count():
         return scatter(neighbor_pairs(query, points, r, keys), keys)
+    dense = materialise(dense)
     cell = [F.floor(F.col(c) / edge).alias("c" + c) for c in AXES]
     loose = lambda df: df.select(*by, "point_id", *AXES, *cell).join(dense, [*by, "cx", "cy", "cz"], "left_anti").drop("cx", "cy", "cz")
     thin = loose(query)

@@ -85,7 +85,7 @@ def test_a_crowded_cell_makes_no_pairs(spark, monkeypatch):
     xyz = np.array([tuple(r) for r in p.orderBy("point_id").select("x", "y", "z").collect()])
     assert n == {i: int((((xyz - xyz[i]) ** 2).sum(axis=1) <= 100.0**2).sum()) for i in range(0, 40_000, 4001)}
     kinds = [t for t in seen if "kind" in t.columns]
-    assert kinds and all(t.where("kind = 'in' AND qx = dx AND qy = dy AND qz = dz").count() for t in kinds[-1:])
+    assert any(t.where("kind = 'in' AND qx = dx AND qy = dy AND qz = dz").count() for t in kinds)
 
 
 def test_components_by_contraction(spark, monkeypatch):
@@ -100,7 +100,7 @@ def test_components_by_contraction(spark, monkeypatch):
     monkeypatch.setattr(storage, "materialise", written)
     path = spark.range(20_000).selectExpr("id AS a", "id + 1 AS b")
     star = spark.range(1, 500).selectExpr("30000L AS a", "30000 + id AS b")
-    got = storage.connected_components(path.unionAll(star)).groupBy("label").count().collect()
+    got = storage.contract_components(path.unionAll(star)).groupBy("label").count().collect()
     assert sorted((r.label, r["count"]) for r in got) == [(0, 20_001), (30_000, 500)]
     assert all(b < 0.9 * a for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1] == 0
     rng = np.random.default_rng(2)
@@ -115,7 +115,7 @@ def test_components_by_contraction(spark, monkeypatch):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.label for r in storage.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in storage.contract_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges for x in e}
-    assert storage.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-    assert [tuple(r) for r in storage.connected_components(spark.createDataFrame([(5, 5)], "a long, b long")).collect()] == [(5, 5)]
+    assert storage.contract_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert [tuple(r) for r in storage.contract_components(spark.createDataFrame([(5, 5)], "a long, b long")).collect()] == [(5, 5)]

@@ -1,11 +1,12 @@
 import itertools
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nubes.functions.color import dark_text
-from nubes.operators import fields, grid, labels, neighbors, schema, segment, select
+from nubes.operators import fields, grid, growth, labels, neighbors, schema, segment, select
 from nubes.sources import documents, toollog
 from nubes.sources.npy import cloud_from_arrays, read_npy
 from nubes.sources.ply import read_ply, write_ply
@@ -111,7 +112,7 @@ def test_planes_components_cleanup(spark):
     g = [(i * 0.02, j * 0.02) for i in range(20) for j in range(20)]
     rows = [(k, x, y, 0.0) for k, (x, y) in enumerate(g)] + [(1000 + k, x + 5, 0.0, y) for k, (x, y) in enumerate(g)] + [(9000 + k, 50.0 + k, 0.0, 0.0) for k in range(10)]
     p = spark.createDataFrame(rows, P)
-    r = segment.segment_planes(p, epsilon=0.05, min_points=100, max_rounds=1)
+    r = growth.segment_planes(p, epsilon=0.05, min_points=100, max_rounds=1)
     got = {x.point_id: x.region_id for x in r.collect()}
     assert {got[i] for i in range(400)} == {0} and {got[1000 + i] for i in range(400)} == {1000} and {got[9000 + i] for i in range(10)} == {-1}
     part = r.withColumn("region_id", F.when(F.col("point_id") == 210, -1).otherwise(F.col("region_id")))
@@ -237,7 +238,9 @@ def test_documents_are_not_saved_twice(spark, tmp_path):
     assert documents.read_documents(spark, str(tmp_path / "d")).count() == 1
     assert documents.read_log(spark, str(tmp_path / "d")).count() == 0
     assert documents.list_documents(spark, str(tmp_path / "nothing")).count() == 0
-    spark.read.parquet(str(tmp_path / "d/documents")).withColumn("format_version", F.lit(9)).write.parquet(str(tmp_path / "e/documents"))
+    newer = spark.read.parquet(str(tmp_path / "d/documents")).drop("save").withColumn("format_version", F.lit(9))
+    shutil.copytree(tmp_path / "d", tmp_path / "e")
+    newer.write.mode("overwrite").parquet(str(next((tmp_path / "e/documents").iterdir())))
     with pytest.raises(Exception, match="format version 9"):
         documents.list_documents(spark, str(tmp_path / "e")).collect()
     with pytest.raises(ValueError, match="exists"):
