@@ -23,9 +23,6 @@ ignored.
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe, Lexicon
-from .common import discard, map_texts, materialise
+from .common import discard, map_texts, materialise, release
 
-LOT, COMMON = 1 << 18, 1 << 18
+LOT, COMMON = 1 << 19, 1 << 18
 MARK = "▁"
-CHUNK = re.compile(" *[^ ]+| +")
+# ends where a blank follows a character that is no white space
+CHUNK = r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+"
 
 
 class PieceModel:
@@ -63,24 +61,11 @@ class PieceModel:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         #: pieces end where a blank begins, and a blank is added before a text
-        self.known = Lexicon()
-        self.blank = self.model.encode("a ")[1:]
+        #: pieces end where a blank begins, and a blank is added before a text
         self.ends_at_blanks = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode("a", out_type=str)[0].startswith(MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts. Where pieces end before blanks, each distinct chunk (a
-        word with the blanks before it) of a lot is encoded once; its first
-        blank is the one that the model adds."""
-        if not self.ends_at_blanks:
-            return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
-        lot = [CHUNK.findall(" " + t) for t in texts]
-        if new := self.known.new(lot):
-            got = self.model.encode([c[1:] for c in new], num_threads=1)
-            if new[0] == " ":
-                got[0] = self.blank
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.known.learn(new, np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes)
-        return [self.known.ids(words) for words in lot]
+        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
 
 
 class Side:
@@ -98,14 +83,16 @@ class Side:
         self.start = self.end - sizes[self.ids]
 
     def frame(self, name: str) -> pd.DataFrame:
-        return pd.DataFrame({"at": self.start, "unit": self.unit, name: np.arange(len(self.ids))})
+        """Starts are keyed by document: they count on from its base, where both
+        sides have a start, so none meets a token of another document."""
+        return pd.DataFrame({"at": self.start, name: np.arange(len(self.ids))})
 
 
 def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
     """Positions of tokens that overlap, ordered by both."""
     fa, fb = a.frame("a"), b.frame("b")
-    covers = pd.merge_asof(fa, fb, on="at", by="unit")  # A's starts in B's tokens
-    inside = pd.merge_asof(fb, fa, on="at", by="unit")  # B's starts in A's tokens
+    covers = pd.merge_asof(fa, fb, on="at")  # A's starts in B's tokens
+    inside = pd.merge_asof(fb, fa, on="at")  # B's starts in A's tokens
     inside = inside[a.start[inside["a"].to_numpy()] != inside["at"].to_numpy()]  # common starts are there already
     a_at, b_at = (np.concatenate([covers[c].to_numpy(), inside[c].to_numpy()]) for c in "ab")
     order = np.argsort(a_at + b_at, kind="stable")  # overlaps go up on both sides
@@ -115,10 +102,19 @@ def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     def __init__(self, bpe: str, pieces: str):
         self.bpe, self.pieces = ByteBpe(bpe, special=False), PieceModel(pieces)
-        self._shown = None
+        self._start()
+
+    def _start(self) -> None:
+        import regex
+
+        self._shown, self.chunk, self.known = None, regex.compile(CHUNK), (Lexicon(), Lexicon())
 
     def __getstate__(self):
-        return {"bpe": self.bpe, "pieces": self.pieces, "_shown": None}
+        return {"bpe": self.bpe, "pieces": self.pieces}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._start()
 
     def _tables(self):
         if self._shown is None:
@@ -128,6 +124,39 @@ class Aligner:
             self._shown = raw, sizes, shown
         return self._shown
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks on both sides and remember their ids. Chunks that begin
+        with a blank and end with no white space are encoded as one text, which
+        is cut at their ends: no token of either side reaches across."""
+        plain = [c for c in chunks if c[0] == " " and not c[-1].isspace()]
+        odd = sorted(set(chunks).difference(plain))
+        text, ends = "".join(plain), np.cumsum([len(c.encode()) for c in plain])
+        for known, sizes, encode, cut in zip(self.known, self._tables()[1], (self.bpe.encode, self.pieces.encode), (0, 1), strict=True):
+            ids = [encode([text[cut:]])[0].astype(np.int64)] if plain else []
+            at = np.append(0, np.searchsorted(np.cumsum(sizes[ids[0]]), ends) + 1) if plain else np.zeros(1, np.int64)
+            if plain and (at[-1] != len(ids[0]) or int(sizes[ids[0]].sum()) != ends[-1]):  # side B changed a character: one by one
+                ids, at = [x.astype(np.int64) for x in encode([c[cut:] for c in plain])], None
+            count = [np.diff(at) if at is not None else np.array([len(x) for x in ids], np.int64)]
+            more = encode([c[cut:] for c in odd]) if odd else []
+            if cut and " " in odd:  # the added blank alone
+                more[odd.index(" ")] = encode(["a "])[0][1:]
+            count.append(np.array([len(x) for x in more], np.int64))
+            known.learn(plain + odd, np.concatenate([*ids, *more, np.zeros(0, np.int64)]), np.concatenate(count))
+
+    def encode(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Both sides' ids of parts with a blank before them; where pieces end
+        before blanks, each distinct chunk of a lot is encoded once."""
+        if not self.pieces.ends_at_blanks:
+            return self.bpe.encode([" " + p for p in parts]), self.pieces.encode(parts)
+        lot, (a, b) = [self.chunk.findall(" " + p) for p in parts], self.known
+        new = a.new(lot)
+        if not a.index:
+            b.forget()
+        if new:
+            self._learn(new)
+        where = [a.places(words) for words in lot]
+        return [a.ids(w) for w in where], [b.ids(w) for w in where]
+
     def slices(self, text: str):
         """Parts that end before a blank, each without the blank before it."""
         at = 0
@@ -141,8 +170,9 @@ class Aligner:
         a side's tokens don't join to the part again."""
         raw, sizes, shown = self._tables()
         want = [b" " + p.encode() for p in parts]
-        ids = [self.bpe.encode([" " + p for p in parts]), self.pieces.encode(parts)]
-        ok = [all(b"".join(t[x[i].astype(np.int64)]) == w for t, x in zip(raw, ids, strict=True)) for i, w in enumerate(want)]
+        ids = self.encode(parts)
+        # A's words are cut from the text and merges keep their bytes, so its length tells
+        ok = [int(sizes[0][ids[0][i]].sum()) == len(w) and b"".join(raw[1][ids[1][i]]) == w for i, w in enumerate(want)]
         used = [i for i, good in enumerate(ok) if good]
         base = np.cumsum([0, *(len(want[i]) for i in used)])[:-1]
         a, b = (Side([x[i] for i in used], s, base) for x, s in zip(ids, sizes, strict=True))
@@ -204,6 +234,8 @@ def align_tokens(docs: DataFrame, bpe: str, pieces: str, keep: list[str], text:
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32), pa.int32()), pa.array(np.concatenate([*(x[4] for x in got), np.zeros(0, np.int64)]), pa.int64()))
             counts = [pa.array([x[k] for x in got], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in fields), *counts, pa.array(size, pa.int64()), pa.array([x[3] for x in got], pa.string()), lists], names=[*fields, *added])
+            del got, lists, counts
+            release()  # what a batch needed for a short while
 
     zero = F.lit(0).cast("long")
     schema = docs.select(*keep).withColumns({c: zero for c in added[:4]} | {"groups": F.lit(""), "links": F.array().cast("array<long>")}).schema

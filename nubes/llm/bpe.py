@@ -43,6 +43,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 LONG, ROWS, KNOWN, LOT = 128, 4096, 200_000, 1 << 20
+WIDTHS = (4, 8, 12, 16, 24, 32, 64, LONG)
 PLACE = 40  # bits of a position below the rank
 NONE = np.int64(2**63 - 1)
 
@@ -78,11 +79,14 @@ class Lexicon:
         """The words of a lot that are not known."""
         if len(self.index) > KNOWN:
             self.forget()
-        return sorted(set().union(*lot).difference(self.index))
+        return list(set().union(*lot).difference(self.index))
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        """The ids of words that are all known, in order."""
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+    def places(self, words: list[str]) -> np.ndarray:
+        """The numbers of words that are all known."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def ids(self, which: np.ndarray) -> np.ndarray:
+        """The ids of words by their numbers, in order."""
         first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
         end = np.cumsum(size)
         return self.flat[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)]
@@ -147,14 +151,16 @@ class ByteBpe:
         hit = (self.codes[i] == code) & (a >= 0) & (b >= 0)
         return np.where(hit, self.rank_of[i].astype(np.int64) << PLACE | at, NONE)
 
-    def _merge_rows(self, rows: np.ndarray) -> np.ndarray:
-        """Ids of words of one length, a row of bytes each; -1 where a symbol
-        went into the one before it."""
+    def _merge_rows(self, rows: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """Ids of words, a row of bytes each, of all of the row or of ``size``
+        bytes; -1 behind a word and where a symbol went into the one before it."""
         w, n = rows.shape
         leaves = 1 << (n - 1).bit_length()
         sym = np.full((w, n + 1), -1, np.int64)
         sym[:, :n] = self.byte_id[rows]
         here = np.arange(n)
+        if size is not None:
+            sym[:, :n][here[None, :] >= size[:, None]] = -1
         after, before = np.tile(here + 1, (w, 1)), np.tile(np.arange(-1, n), (w, 1))
         tree = np.full((w, 2 * leaves), NONE)
         tree[:, leaves : leaves + n] = self._keys(sym[:, :n], sym[:, 1:], here[None, :])
@@ -222,16 +228,14 @@ class ByteBpe:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(size, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
-            n = int(size[some[0]])
-            if n > LONG:
-                for i in some:
-                    ids.append(np.array(self._merge_long(raw[i]), np.int64)), sizes.append(np.array([len(ids[-1])]))
-                continue
-            for lot in np.split(some, range(ROWS, len(some), ROWS)):
-                got = self._merge_rows(np.frombuffer(b"".join([raw[i] for i in lot]), np.uint8).reshape(len(lot), n))
+        for n, low in zip(WIDTHS, (0, *WIDTHS), strict=False):  # words share trees of a width
+            some = order[np.searchsorted(size[order], low, "right") : np.searchsorted(size[order], n, "right")]
+            for lot in np.split(some, range(ROWS, len(some), ROWS)) if len(some) else ():
+                got = self._merge_rows(np.frombuffer(b"".join([raw[i].ljust(n, b"\0") for i in lot]), np.uint8).reshape(len(lot), n), size[lot])
                 kept = got >= 0
                 ids.append(got[kept]), sizes.append(kept.sum(axis=1))
+        for i in order[np.searchsorted(size[order], LONG, "right") :]:
+            ids.append(np.array(self._merge_long(raw[i]), np.int64)), sizes.append(np.array([len(ids[-1])]))
         self.known.learn([words[i] for i in order], np.concatenate(ids), np.concatenate(sizes))
 
     # ------------------------------------------------------------------ texts
@@ -269,7 +273,7 @@ class ByteBpe:
             if new := self.known.new(lot):
                 self._learn(new)
             for words, i in zip(lot, owner, strict=True):
-                out[i].append(self.known.ids(words))
+                out[i].append(self.known.ids(self.known.places(words)))
             lot.clear(), owner.clear()
             chars = 0
 
