@@ -594,7 +594,7 @@ def _faults(points, regions, planes, epsilon, least):
     said = parts.join(planes.select("region_id", "n"), "region_id", "full")
     off = inside.join(planes, "region_id").where("abs(plane[0] * (x - px) + plane[1] * (y - py) + plane[2] * (z - pz)) > 3.000001 * " + repr(epsilon))
     bad = said.agg(F.count_if(F.col("size") < least).alias("n_small"), F.count_if(F.col("parts") > 1).alias("n_split"), F.count_if(F.col("first") != F.col("region_id")).alias("n_misnamed"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("n_missized"))
-    share = p.agg(F.count(F.lit(1)).alias("n_points"), (F.count_if("region_id >= 0") * 4 >= F.count(F.lit(1))).alias("enough"), (F.count_distinct(F.expr("IF(region_id >= 0, region_id, NULL)")) > 1).alias("several"))
+    share = p.agg(F.count(F.lit(1)).alias("n_points"), (F.count_if(F.col("region_id") >= 0) * 4 >= F.count(F.lit(1))).alias("enough"), (F.count_distinct(F.expr("IF(region_id >= 0, region_id, NULL)")) > 1).alias("several"))
     return bad.crossJoin(F.broadcast(off.agg(F.count(F.lit(1)).alias("n_off")))).crossJoin(F.broadcast(share))
 
 
@@ -615,14 +615,14 @@ def segment_chunked_faults(spark, d):
     return _faults(p, regions.drop("chunk_id"), planes, 0.8, 4)
 
 
-_GRID = "event_id % 400 % 20 * 0.02D AS u, event_id % 400 div 20 * 0.02D AS v, event_id div 400 AS m"
+_GRID = ("event_id % 400 % 20 * 0.02D AS u", "event_id % 400 div 20 * 0.02D AS v", "event_id div 400 AS m")
 _GRID_SQL = "g AS (SELECT event_id AS point_id, event_id % 400 % 20 AS u, event_id // 400 AS m FROM events)"
 
 
 def grids(spark, d):
     """The events as points of flat grids of 20 x 20 that stand apart, in three
     directions, with one point far off in each."""
-    g = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS point_id", _GRID, "event_id % 400 = 399 AS away")
+    g = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id AS point_id", *_GRID, "event_id % 400 = 399 AS away")
     far = "m * 2D + IF(away, 1D, 0D)"
     return g.selectExpr("point_id", f"IF(m % 3 = 2, 0D, u) + {far} AS x", "IF(m % 3 = 2, u, IF(m % 3 = 1, 0D, v)) AS y", "IF(m % 3 = 0, 0D, v) AS z")
 
