@@ -584,7 +584,7 @@ def clean_up(spark, d):
 
 
 def _faults(points, regions, planes, epsilon, least):
-    """One row: whether there are regions and a twentieth of the points has one;
+    """One row: whether there are several regions with points enough for two;
     how many regions are too small, not in one piece, not named by their
     smallest member or of another size than said; how many members lie off
     their plane; and how many points have a row."""
@@ -594,7 +594,7 @@ def _faults(points, regions, planes, epsilon, least):
     said = parts.join(planes.select("region_id", "n"), "region_id", "full")
     off = inside.join(planes, "region_id").where("abs(plane[0] * (x - px) + plane[1] * (y - py) + plane[2] * (z - pz)) > 3.000001 * " + repr(epsilon))
     bad = said.agg(F.count_if(F.col("size") < least).alias("n_small"), F.count_if(F.col("parts") > 1).alias("n_split"), F.count_if(F.col("first") != F.col("region_id")).alias("n_misnamed"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("n_missized"))
-    share = p.agg(F.count(F.lit(1)).alias("n_points"), (F.count_if(F.col("region_id") >= 0) * 20 >= F.count(F.lit(1))).alias("enough"), (F.count_distinct(F.expr("IF(region_id >= 0, region_id, NULL)")) > 1).alias("several"))
+    share = p.agg(F.count(F.lit(1)).alias("n_points"), (F.count_if(F.col("region_id") >= 0) >= 2 * least).alias("enough"), (F.count_distinct(F.expr("IF(region_id >= 0, region_id, NULL)")) > 1).alias("several"))
     return bad.crossJoin(F.broadcast(off.agg(F.count(F.lit(1)).alias("n_off")))).crossJoin(F.broadcast(share))
 
 
