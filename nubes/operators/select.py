@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import in_polygon, project
+from ..functions.storage import materialise
 
 ID = "point_id"
 
@@ -135,21 +136,17 @@ def bbox_filter(points: DataFrame, low, high) -> DataFrame:
 
 
 def with_position(points: DataFrame, buckets: int | None = None, name: str = "position") -> DataFrame:
-    """Number the rows from 0 by point id without one task seeing all: ids are
-    cut at their approximate quantiles, so that buckets are alike in size
-    however the ids are spread; buckets are counted, and each row's rank within
-    its bucket is added to the counts before it. ``buckets`` is the number of
-    shuffle partitions unless given, 1000 at most."""
+    """Number the rows from 0 by point id without one task seeing all: ranges of
+    ids, alike in size however the ids are spread, are sorted and written once;
+    a row's place within its range is added to the counts before it. ``buckets``
+    is the number of shuffle partitions unless given, 1000 at most."""
     n = min(1000, buckets or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / n for i in range(1, n)]
-    cuts = points.agg(F.percentile_approx(ID, shares, 10 * n)).first()[0] if shares else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(ID))) if cuts else F.lit(0)
-    cut = points.withColumn("_b", bucket)
+    cut = materialise(points.repartitionByRange(n, ID).sortWithinPartitions(ID).withColumn("_m", F.monotonically_increasing_id()))
+    cut = cut.withColumn("_b", F.shiftright("_m", 33))  # the range above, the place within it below
     sizes = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(ID)) - 1
-    return cut.withColumn("_r", rank).join(F.broadcast(before), "_b").withColumn(name, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut.join(F.broadcast(before), "_b").withColumn(name, (place + F.col("_before")).cast("long")).drop("_b", "_m", "_before")
 
 
 def every_kth(points: DataFrame, k: int = 100) -> DataFrame:

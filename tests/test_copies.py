@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from nubes.operators import neighbors, segment
+from nubes.operators import neighbors, segment, select
+from nubes.sources import documents
 
 P = "point_id long, x double, y double, z double"
 PLACES = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 2.0, 0.0), (9.0, 9.0, 9.0)]
@@ -51,3 +52,18 @@ def test_clean_up_of_copies(spark, few_pairs):
     p = spark.createDataFrame(flat + free, P + ", region_id long")
     got = {r.point_id: r.region_id for r in segment.clean_up(p.drop("region_id"), p.select("point_id", "region_id"), 1.0, 3.0).collect()}
     assert got == {r[0]: r[4] for r in flat} | {1000 + k: (0, 1, -1)[k % 3] for k in range(900)}
+
+
+def test_positions_read_the_points_once(spark):
+    p = spark.range(1000, 0, -1).select(F.col("id").alias("point_id"), (F.col("id") % 7).alias("v"))
+    got = select.with_position(p, 5)
+    assert "Range (" not in got._jdf.queryExecution().toString()  # from the written table alone
+    assert sorted(map(tuple, got.collect())) == [(k, k % 7, k - 1) for k in range(1, 1001)]
+
+
+def test_export_writes_few_files(spark, tmp_path):
+    p = spark.range(0, 4000, 1, 40).selectExpr("id AS point_id", "id % 2 AS chunk_id", "nullif(id % 3, 0) AS region_id", "id * 1D AS x")
+    documents.export_regions(p, str(tmp_path / "out"), ("x",))
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 12
+    back = spark.read.parquet(str(tmp_path / "out")).groupBy("chunk_id", "region_id").count().collect()
+    assert len(back) == 6 and sum(r["count"] for r in back) == 4000
