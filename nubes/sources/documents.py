@@ -244,11 +244,13 @@ def item_id_of(kind: Column, number: Column) -> Column:
 
 def export_regions(points: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
     """One folder for each chunk and region, with the chosen columns; what has
-    no region goes to the chunk's folder of region -1."""
+    no region goes to the chunk's folder of region -1. Rows of a folder are
+    brought together first, large ones in parts, so that files do not multiply
+    with the tasks."""
     out = points.withColumn("region_id", F.coalesce("region_id", F.lit(-1)))
     if columns:
         out = out.select("chunk_id", "region_id", *columns)
-    out.write.partitionBy("chunk_id", "region_id").parquet(path)
+    out.hint("rebalance", "chunk_id", "region_id").write.partitionBy("chunk_id", "region_id").parquet(path)
 
 
 def split_by_label(points: DataFrame, label: str, path: str) -> None:
