@@ -16,8 +16,9 @@ sets; sets of similarity J or more lie within 1 - J by the first, and within
 3. Within a block one member is the pivot. Each member's distance to it is taken
    between parity sketches of fixed size: a metric that never exceeds the true
    difference. Members that may be partners of the pivot are compared with it
-   exactly; what is linked to it is one component, so a block of copies is done
-   after one comparison each. What is left of the blocks of one pivot is
+   exactly, unless other pivots have put the two in one component before; what
+   is linked to it is one component, so a block of copies is done after one
+   comparison each. What is left of the blocks of one pivot is
    compared in waves, farthest first: members of other components within the
    triangle window |d(x, p) - d(y, p)|, and near enough by their own sketches,
    are compared exactly. A group ends when it is one component or every pair is
@@ -236,6 +237,40 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(linked.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b"))
 
 
+def _link_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: links that join what the pairs (a: pivot, b, dist) join,
+    and the labels of their components. A set has many pivots, and where most
+    sets are near copies nearly all these pairs are links: so each set is
+    compared with its nearest pivot, then one pair for each two components,
+    then the pairs that are still between components."""
+    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b")
+    done = materialise(first)
+    links = _verify(done, sets, percent)
+    labels = connected_components(links)
+    for one_each in (True, False):
+        rest = pairs.join(done, ["a", "b"], "left_anti")
+        for c in "ab":
+            rest = rest.join(labels.select(F.col("node").alias(c), F.col("label").alias("l" + c)), c, "left").withColumn("l" + c, F.coalesce("l" + c, c))
+        rest = rest.where("la <> lb")
+        if one_each:
+            rest = rest.groupBy(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.*")
+        rest = materialise(rest.select("a", "b"))
+        if not rest.limit(1).count():
+            discard(rest)
+            break
+        new = _verify(rest, sets, percent)
+        if new.limit(1).count():
+            old = links, labels
+            links = materialise(links.unionAll(new))
+            labels = connected_components(links)
+            discard(*old)
+        tested = materialise(done.unionAll(rest))
+        discard(new, rest, done)
+        done = tested
+    discard(done)
+    return links, labels
+
+
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows of _sets, ``fp, label`` of the sets that have links)."""
     regions = Regions(percent)
@@ -256,8 +291,7 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     pairs = member.where("fp <> pivot").select("pivot", "fp").distinct()
     far = pairs.join(brief, "fp").join(brief.select(F.col("fp").alias("pivot"), F.col("size").alias("psize"), F.col("sketch").alias("psketch")), "pivot")
     far = materialise(far.select("pivot", "fp", _apart("sketch", "psketch").alias("dist"), _may_differ("size", "psize", percent).alias("most")))
-    links = _verify(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b")), sets, percent)
-    labels = connected_components(links)
+    links, labels = _link_to_pivots(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), "dist"), sets, percent)
 
     # the blocks of one pivot are one group from here on, so that two sets meet
     # once for a pivot and not once for each class content they share

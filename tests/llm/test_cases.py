@@ -297,3 +297,19 @@ def test_crc_of_ids():
     assert zlib.crc32(b"20") % 10 == zlib.crc32(str(20).encode()) % 10
     with pytest.raises(ValueError):
         repeats.find_repeats(None, 3, 4)
+
+
+def test_near_copies_are_not_compared_with_every_pivot(spark, monkeypatch):
+    """A group of near copies, whose sets have many pivots: about as many pairs
+    are compared and kept as there are sets."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(0, 300, 2)], "doc_id long, text string")
+    sizes = []
+
+    def counted(pairs, *a, f=jaccard._verify):
+        sizes.append(pairs.count())
+        return f(pairs, *a)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    assert {(r.doc_id, r.component_id) for r in jaccard.components(docs, 3, 90).collect()} == {(k, 0) for k in range(0, 300, 2)}
+    assert sizes[0] < 150 and sum(sizes) < 2 * 150
