@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import connected_components, discard, materialise
+from ..functions.storage import contract_components, discard, materialise
 from .common import bit_filter, drop_ids, each_text, map_texts, mix64, ngram_hashes, passes, word_hashes
 
 SKETCH, FIRST_WAVE, GROWTH = 1024, 64, 4
@@ -237,16 +237,33 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(linked.where(F.col("inter") * 100 >= (F.col("total") - F.col("inter")) * percent).select("a", "b"))
 
 
-def _link_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: links that join what the pairs (a: pivot, b, dist) join,
-    and the labels of their components. A set has many pivots, and where most
+def _more_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Written: ``labels`` (node, label: its component's smallest node) with the
+    links ``new`` too. Only the components that they join are searched, each as
+    one node, so a link is read once however many links come later."""
+    ends = new
+    for c in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias("l" + c)), c, "left").withColumn("l" + c, F.coalesce("l" + c, c))
+    between = materialise(ends.select("la", "lb").where("la <> lb").distinct())
+    up = contract_components(between, "la", "lb")
+    single = up.join(labels.select("node"), "node", "left_anti")  # was in no component yet
+    old = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    out = materialise(old.select("node", F.coalesce("top", "label").alias("label")).unionByName(single.select("node", "label")))
+    discard(between, up, labels)
+    return out
+
+
+def _link_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Written: the labels of the components that the pairs (a: pivot, b, dist)
+    join, as far as they are links. A set has many pivots, and where most
     sets are near copies nearly all these pairs are links: so each set is
     compared with its nearest pivot, then one pair for each two components,
     then the pairs that are still between components."""
     first = pairs.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b")
     done = materialise(first)
     links = _verify(done, sets, percent)
-    labels = connected_components(links)
+    labels = contract_components(links)
+    discard(links)
     for one_each in (True, False):
         rest = pairs.join(done, ["a", "b"], "left_anti")
         for c in "ab":
@@ -260,15 +277,12 @@ def _link_to_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
             break
         new = _verify(rest, sets, percent)
         if new.limit(1).count():
-            old = links, labels
-            links = materialise(links.unionAll(new))
-            labels = connected_components(links)
-            discard(*old)
+            labels = _more_labels(labels, new)
         tested = materialise(done.unionAll(rest))
         discard(new, rest, done)
         done = tested
     discard(done)
-    return links, labels
+    return labels
 
 
 def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +305,7 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     pairs = member.where("fp <> pivot").select("pivot", "fp").distinct()
     far = pairs.join(brief, "fp").join(brief.select(F.col("fp").alias("pivot"), F.col("size").alias("psize"), F.col("sketch").alias("psketch")), "pivot")
     far = materialise(far.select("pivot", "fp", _apart("sketch", "psketch").alias("dist"), _may_differ("size", "psize", percent).alias("most")))
-    links, labels = _link_to_pivots(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), "dist"), sets, percent)
+    labels = _link_to_pivots(far.where("dist <= most").select(F.col("pivot").alias("a"), F.col("fp").alias("b"), "dist"), sets, percent)
 
     # the blocks of one pivot are one group from here on, so that two sets meet
     # once for a pivot and not once for each class content they share
@@ -310,13 +324,10 @@ def link_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
         if near.limit(1).count():
             new = _verify(near, sets, percent)
             if new.limit(1).count():
-                old = labels, links
-                links = materialise(links.unionAll(new))
-                labels = connected_components(links)
-                discard(*old)
+                labels = _more_labels(labels, new)
             discard(new)
         discard(near)
-    discard(member, sets, far, left, links)
+    discard(member, sets, far, left)
     return rows, labels.withColumnRenamed("node", "fp")
 
 

@@ -313,3 +313,18 @@ def test_near_copies_are_not_compared_with_every_pivot(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_verify", counted)
     assert {(r.doc_id, r.component_id) for r in jaccard.components(docs, 3, 90).collect()} == {(k, 0) for k in range(0, 300, 2)}
     assert sizes[0] < 150 and sum(sizes) < 2 * 150
+
+
+def test_later_links_are_searched_between_components_only(spark, monkeypatch):
+    """A star's links are searched once; what comes later joins components."""
+    searched = []
+
+    def counted(edges, *a, f=jaccard.contract_components):
+        searched.append(edges.count())
+        return f(edges, *a)
+
+    monkeypatch.setattr(jaccard, "contract_components", counted)
+    labels = jaccard.contract_components(spark.range(1, 500).selectExpr("0L AS a", "id AS b").unionAll(spark.createDataFrame([(600, 601)], "a long, b long")))
+    new = spark.createDataFrame([(3, 4), (7, 600), (9, 601), (700, 701), (701, 499), (-5, 800)], "a long, b long")
+    got = {r.node: r.label for r in jaccard._more_labels(labels, new).collect()}
+    assert got == {k: 0 for k in [*range(500), 600, 601, 700, 701]} | {-5: -5, 800: -5} and searched == [500, 4]
